@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from gridloom.llm.mixing import OP7_SQL, op7_mixing
 from gridloom.llm.secrets import op3_secret_scans
+from gridloom.llm.shard import op2_sharding
 
 QUERIES = {
+    "op2_sharding": op2_sharding,
     "op3_secret_scans": op3_secret_scans,
+    "op7_mixing": op7_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_mixing": OP7_SQL,
+}
