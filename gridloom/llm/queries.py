@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from gridloom.llm.fingerprint import op4_fingerprints
+from gridloom.llm.html_extract import op1_html_extraction
 from gridloom.llm.mixing import OP7_SQL, op7_mixing
 from gridloom.llm.secrets import op3_secret_scans
 from gridloom.llm.shard import op2_sharding
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_sharding": op2_sharding,
     "op3_secret_scans": op3_secret_scans,
+    "op4_fingerprints": op4_fingerprints,
     "op7_mixing": op7_mixing,
 }
 
