@@ -4,7 +4,8 @@ Markup is stripped to lines, one for each block of text; whatever marks a contai
 header, footer, sidebar, notice, advert, form or reader comment, leaves WINDOW empty lines. The text length summed
 over a sliding window of lines then rises at a surge point and falls to nothing at a dive point, and the text between
 the two is one stretch. Stretches inside the page's article or main element are its text; where a page has neither,
-those that surge past SURGE characters outside links are (or the longest one, when none does).
+those that surge past SURGE characters outside links are (or the longest one, when none does), with the stretches
+beside them in the same box.
 
 A null or empty page gives an empty text; pages of any length are read whole; repeated rows are extracted each on its
 own; an empty table gives an empty table. Unclosed elements end with what they cannot contain, or with the page.
@@ -41,6 +42,7 @@ _OUTSIDE = frozenset(
     disqus respond reply replies pagination pager toolbar disclaimer copyright paywall form search skip""".split()
 )
 _KEPT = frozenset(("html", "body", "main"))
+_ROOT = frozenset(("html", "body"))
 _INSIDE_P = re.compile(r"h[1-6]$|p$|div$|ul$|ol$|table$|section$|article$|main$|blockquote$|pre$|form$|nav$|header$|footer$|aside$|hr$|dl$|address$|figure$")
 
 
@@ -61,10 +63,12 @@ def _outside(name: str, attributes: str, in_article: bool) -> bool:
 
 
 class _Lines:
-    """The page as lines: (text, characters outside links, inside the article)."""
+    """The page as lines: (text, characters outside links, inside the article, number of the innermost box or 0)."""
 
     def __init__(self) -> None:
-        self.lines: list[tuple[str, int, bool]] = []
+        self.lines: list[tuple[str, int, bool, int]] = []
+        self.boxes: list[tuple[str, int]] = []
+        self.opened = 0
         self.parts: list[str] = []
         self.linked = 0
         self.link = False
@@ -75,16 +79,24 @@ class _Lines:
             if self.link:
                 self.linked += len(piece.strip())
 
+    def box(self, name: str, closing: bool) -> None:
+        if not closing:
+            self.opened += name not in _ROOT
+            self.boxes.append((name, self.opened if name not in _ROOT else 0))
+        elif any(name == x for x, _ in self.boxes):
+            while self.boxes.pop()[0] != name:
+                pass
+
     def end(self, article: bool, gap: bool) -> None:
         if self.parts:
             if line := " ".join("".join(self.parts).split()):
-                self.lines.append((line, max(0, len(line) - self.linked), article))
+                self.lines.append((line, max(0, len(line) - self.linked), article, self.boxes[-1][1] if self.boxes else 0))
             self.parts, self.linked = [], 0
         if gap and self.lines and self.lines[-1][0]:
-            self.lines.extend([("", 0, article)] * WINDOW)
+            self.lines.extend([("", 0, article, 0)] * WINDOW)
 
 
-def to_lines(page: str) -> list[tuple[str, int, bool]]:
+def to_lines(page: str) -> list[tuple[str, int, bool, int]]:
     out = _Lines()
     at, articles, skipped, depth = 0, 0, "", 0
     size = len(page)
@@ -120,8 +132,11 @@ def to_lines(page: str) -> list[tuple[str, int, bool]]:
         if name in ("article", "main"):
             out.end(articles > 0, True)
             articles = max(0, articles + (-1 if closing else 1))
+            out.box(name, closing)
         elif name in _BLOCK:
             out.end(articles > 0, name in _BOX)
+            if name in _BOX:
+                out.box(name, closing)
         elif name == "br":
             out.text(" ")
         elif name == "a":
@@ -130,7 +145,7 @@ def to_lines(page: str) -> list[tuple[str, int, bool]]:
     return out.lines
 
 
-def stretches(lines: list[tuple[str, int, bool]]) -> list[tuple[int, int]]:
+def stretches(lines: list[tuple[str, int, bool, int]]) -> list[tuple[int, int]]:
     """Runs of lines from a surge point to the dive point after it."""
     lengths = [len(x[0]) for x in lines]
     sums, total = [], sum(lengths[:WINDOW])
@@ -158,6 +173,8 @@ def main_text(page: str | None) -> str:
     if not inside:
         free = [(sum(x[1] for x in lines[a:b]), max(sum(x[1] for x in lines[i : i + WINDOW]) for i in range(a, b)), sum(len(x[0]) for x in lines[a:b])) for a, b in runs]
         inside = [r for r, (own, surge, every) in zip(runs, free, strict=True) if surge > SURGE and 2 * own > every]
+        boxes = {x[3] for a, b in inside for x in lines[a:b] if x[0]} - {0}
+        inside = [(a, b) for a, b in runs if (a, b) in inside or any(x[3] in boxes for x in lines[a:b] if x[0])]
         if not inside:
             inside = [runs[max(range(len(runs)), key=lambda i: (free[i][0], -i))]]
     return "\n".join(x[0] for a, b in inside for x in lines[a:b] if x[0])
