@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from gridloom.llm.embed_dedup import op5_embedding_dedup
 from gridloom.llm.fingerprint import op4_fingerprints
 from gridloom.llm.html_extract import op1_html_extraction
+from gridloom.llm.minhash import op6_minhash
 from gridloom.llm.mixing import OP7_SQL, op7_mixing
 from gridloom.llm.secrets import op3_secret_scans
 from gridloom.llm.shard import op2_sharding
@@ -13,6 +15,8 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_secret_scans": op3_secret_scans,
     "op4_fingerprints": op4_fingerprints,
+    "op5_embedding_dedup": op5_embedding_dedup,
+    "op6_minhash": op6_minhash,
     "op7_mixing": op7_mixing,
 }
 
