@@ -148,6 +148,17 @@ def flat_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def small_batches(batches, column: str, most: int = 4 << 20):
+    """The batches cut so that the named texts of each hold at most `most` bytes, or one row."""
+    for batch in batches:
+        _, at = flat_bytes(batch.column(column))
+        i = 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
+            yield batch.slice(i, j - i)
+            i = j
+
+
 def word_bounds(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte starts and ends of all words; a word ends with its text."""
     solid = ~_SPACE[raw]

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialize, mix64, read_table, release, shingle_sets, word_hashes
+from gridloom.llm.common import materialize, mix64, read_table, release, shingle_sets, small_batches, word_hashes
 from gridloom.llm.graph import components
 
 BANDS, ROWS = 24, 4
@@ -48,7 +48,7 @@ def _summaries(width: int):
         import pyarrow as pa
 
         seen = set()
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             digests, counts, signs = [], [], []
             for shingles in shingle_sets(*word_hashes(batch.column("text")), width):
                 counts.append(len(shingles))
@@ -70,7 +70,7 @@ def _packed_sets(width: int):
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             packed, counts, keep = [], [], []
             for i, shingles in enumerate(shingle_sets(*word_hashes(batch.column("text")), width)):
                 name = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
