@@ -10,6 +10,7 @@ from gridloom.llm.mixing import OP7_SQL, op7_mixing
 from gridloom.llm.quality import op9_quality
 from gridloom.llm.secrets import op3_secret_scans
 from gridloom.llm.shard import op2_sharding
+from gridloom.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_minhash": op6_minhash,
     "op7_mixing": op7_mixing,
     "op9_quality": op9_quality,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
