@@ -7,6 +7,7 @@ from gridloom.llm.fingerprint import op4_fingerprints
 from gridloom.llm.html_extract import op1_html_extraction
 from gridloom.llm.minhash import op6_minhash
 from gridloom.llm.mixing import OP7_SQL, op7_mixing
+from gridloom.llm.pieces import op8_sentencepiece
 from gridloom.llm.quality import op9_quality
 from gridloom.llm.secrets import op3_secret_scans
 from gridloom.llm.shard import op2_sharding
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_minhash": op6_minhash,
     "op7_mixing": op7_mixing,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
 }
