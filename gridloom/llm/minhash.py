@@ -1,10 +1,12 @@
 """Near-duplicate documents: MinHash signatures, banding, exact verification, connected components.
 
 Rows whose shingle sets are equal form one class; only classes are banded and compared. A bucket of a band links its
-members to its least member; a class is verified on full sets against the one of these that its signature fits best,
-the links give components, and then every pair of a bucket whose classes are still in different components, and whose
-signatures may fit, is verified too. So no pair that could join two components is left out, and copies never meet in
-all pairs. A link needs 100 * intersection >= 100 * threshold * union on the distinct shingles of the whole texts.
+members to its least member; a class is verified on full sets against the one of these that its signature fits best, and
+the links give components. Components that other fitting pairs hold together form a zone. In a zone every class outside
+the largest component is compared on full sets with all others, blocks against blocks, each task returning only the links
+that join components. What a bucket holds of different zones and may fit is verified pair by pair. So no pair that could
+join two components is left out, and neither copies nor near copies ever become rows of all their pairs. A link needs
+100 * intersection >= 100 * threshold * union on the distinct shingles of the whole texts.
 
 Null and empty texts, and texts of white space, have no shingles and link with nothing; a text of fewer words than a
 shingle has its whole sequence as its one shingle. A null id is a document without a name: it links, but names no
@@ -26,8 +28,8 @@ from gridloom.llm.graph import components
 
 BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
-#: Members of a mixed bucket that are compared in one task.
-BLOCK = 2000
+#: Members of a mixed bucket, and classes of a zone, that meet in one task.
+BLOCK, SIDE = 2000, 400
 
 _A = mix64(np.arange(101, 101 + HASHES, dtype=np.uint64)) | np.uint64(1)
 _B = mix64(np.arange(901, 901 + HASHES, dtype=np.uint64))
@@ -133,7 +135,7 @@ def least_agreement(threshold: float) -> int:
 
 
 def _across(least: int):
-    """Pairs of a block's members that stand in different components and whose signatures may fit."""
+    """Pairs of a block's members that stand in different zones and whose signatures may fit."""
     import pandas as pd
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -149,12 +151,55 @@ def _across(least: int):
     return run
 
 
-def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) of classes whose full shingle sets are alike enough, as a table."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+def _joining(threshold: float):
+    """Of a block of movers and one of members: links that join components, on full sets, and no more than join them."""
+    import pandas as pd
+
+    percent = round(100 * threshold)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        movers, members = group[group.mover], group[~group.mover]
+        found, root = [], {}
+
+        def top(part: int) -> int:
+            while root.get(part, part) != part:
+                part = root[part]
+            return part
+
+        if len(movers) and len(members):
+            sets = [_unpacked(x) for x in members.packed]
+            sizes = np.array([len(x) for x in sets])
+            universe, place = np.unique(np.concatenate(sets), return_inverse=True)
+            first = np.cumsum(sizes) - sizes
+            nodes, parts = members.node.to_numpy(), members.part.to_numpy()
+            mark = np.zeros(len(universe), np.int32)
+            for node, part, packed in zip(movers.node, movers.part, movers.packed, strict=True):
+                own = _unpacked(packed)
+                at = np.searchsorted(universe, own)
+                at = at[(at < len(universe)) & (universe[np.minimum(at, len(universe) - 1)] == own)]
+                mark[at] = 1
+                both = np.add.reduceat(mark[place], first)
+                mark[at] = 0
+                for j in np.flatnonzero((100 * both >= percent * (len(own) + sizes - both)) & (parts != part)):
+                    p, q = top(part), top(int(parts[j]))
+                    if p != q:
+                        root[max(p, q)] = min(p, q)
+                        found.append((node, nodes[j]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _sets(nodes: DataFrame, classes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(node, n, packed): the full shingle sets of the classes in nodes (node), as a table."""
     wanted = nodes.join(classes, "node").select("node", "set_id", F.col("first.doc_id").alias("_doc"), F.col("first.text_hash").alias("_hash"))
     found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_doc"]) & (texts["text_hash"] == wanted["_hash"])).select("node", "set_id", "text")
-    sets = materialize(found.mapInArrow(_packed_sets(width), "node long, n long, packed binary"))
+    return materialize(found.mapInArrow(_packed_sets(width), "node long, n long, packed binary"))
+
+
+def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    """The pairs (a, b) of classes whose full shingle sets are alike enough, as a table."""
+    sets = _sets(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), classes, texts, width)
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("packed").alias("pa"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("packed").alias("pb"))
     joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "na", "nb", "pa", "pb")
@@ -163,6 +208,19 @@ def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, t
     return links
 
 
+def _zone_links(zones: DataFrame, classes: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Links that join the components (part) of each zone's classes (zone, part, node)."""
+    sizes = zones.groupBy("zone", "part").agg(F.count("node").alias("n")).groupBy("zone").agg(F.max_by("part", F.struct("n", "part")).alias("_pivot"), F.sum("n").alias("_n"), F.max("n").alias("_most"))
+    dealt = zones.join(sizes, "zone").join(_sets(zones.select("node").distinct(), classes, texts, width), "node")
+    side = lambda n: F.greatest(F.lit(1), F.ceil(n / SIDE)).cast("int")
+    blocks, movers = side(F.col("_n")), side(F.col("_n") - F.col("_most"))
+    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    others = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    members = dealt.select("zone", others(movers).alias("row"), own(blocks).alias("column"), "node", "part", "packed", F.lit(False).alias("mover"))
+    moving = dealt.where(F.col("part") != F.col("_pivot")).select("zone", own(movers).alias("row"), others(blocks).alias("column"), "node", "part", "packed", F.lit(True).alias("mover"))
+    return materialize(members.union(moving).groupBy("zone", "row", "column").applyInPandas(_joining(threshold), "a long, b long").distinct())
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, threshold: float = 0.8) -> DataFrame:
     """doc_id, text_hash, set_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
     texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
@@ -180,11 +238,23 @@ def near_duplicates(docs: DataFrame, width: int = 4, threshold: float = 0.8) ->
     signs = classes.select("node", "sign")
     stars = buckets.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
     fits = stars.join(signs.toDF("a", "sa"), "a").join(signs.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_agreement, "a long, b long, same long").where(F.col("same") >= least)
+    fits = materialize(fits)
     best = materialize(fits.groupBy("a").agg(F.max_by("b", F.struct("same", "b")).alias("b")))
     links = _links(best, classes, texts, width, threshold)
     parts = materialize(components(links))
 
-    placed = buckets.join(parts, "node", "left").select("band", "node", F.coalesce("component", "node").alias("part"))
+    of = lambda name: parts.select(F.col("node").alias(name), F.col("component").alias(f"_{name}"))
+    ties = fits.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).where("a <> b").distinct()
+    zone = parts.withColumnRenamed("component", "zone")
+    if not (ties := materialize(ties)).isEmpty():
+        held = materialize(components(ties)).select(F.col("node").alias("part"), F.col("component").alias("zone"))
+        zones = materialize(held.join(parts, F.col("part") == F.col("component"), "left").select("zone", "part", F.coalesce("node", "part").alias("node")))
+        links = links.union(_zone_links(zones, classes, texts, width, threshold))
+        inside = zones.select("node", "zone")
+        zone = materialize(zone.join(inside.select("node"), "node", "left_anti").union(inside))
+        parts = materialize(components(links))
+
+    placed = buckets.join(zone, "node", "left").select("band", "node", F.coalesce("zone", "node").alias("part"))
     mixed = placed.groupBy("band").agg(F.min("part").alias("_one"), F.max("part").alias("_other"), F.count("node").alias("_n")).where("_one <> _other")
     members = placed.join(mixed, "band").join(signs, "node")
     blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
