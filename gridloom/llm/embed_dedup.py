@@ -6,7 +6,8 @@ have, both halves taken in ascending sequence, and stops where that distance exc
 it reaches every vector it must be linked with (target recall 1), and each is verified by its cosine in doubles.
 
 Vectors are compared within a label. Equal vectors of a label form one class with a weight, so copies never meet in
-pairs. A crowded cell is split into blocks of BLOCK classes. A block returns counts and a spanning forest of its links,
+pairs. Neighbouring cells share a block of BLOCK classes and a crowded cell has several; a vector is sent once to each
+block that it visits, and compared with all of it. A block returns counts and a spanning forest of its links,
 not the pairs. Vectors that are null, empty, zero or hold null or non-finite parts, or without a label, link with
 nothing and stand alone; so do vectors of different lengths with each other. A null vec_id is a vector without a name.
 Rows that repeat a vec_id are vectors of their own. An empty table gives an empty table. Other columns are not read.
@@ -17,6 +18,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridloom.llm.common import materialize, read_table
 from gridloom.llm.graph import components
@@ -69,8 +71,23 @@ def _units(column, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def _coded(dim: int, books: list[np.ndarray], reach: float, visit: bool):
-    """(node, label, cell, copies, unit): the own cell of each class, or every cell that it visits."""
+def _coded(dim: int, books: list[np.ndarray]):
+    """Every class with its own cell."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        half = dim // 2
+        for batch in batches:
+            x = _units(batch.column("embedding"), dim)
+            cell = _bounds(x[:, :half], books[0])[0] * len(books[1]) + _bounds(x[:, half:], books[1])[0]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int64())], [*batch.schema.names, "cell"])
+
+    return run
+
+
+def _visits(dim: int, books: list[np.ndarray], reach: float):
+    """Every class with each block that holds a cell that it visits; cells holds those of its label with their blocks."""
 
     def run(batches):
         import pyarrow as pa
@@ -80,11 +97,23 @@ def _coded(dim: int, books: list[np.ndarray], reach: float, visit: bool):
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 x = _units(part.column("embedding"), dim)
-                (own_a, a), (own_b, b) = _bounds(x[:, :half], books[0]), _bounds(x[:, half:], books[1])
-                row, first, second = visited(a, b, reach) if visit else (np.arange(len(x)), own_a, own_b)
-                take = pa.array(row)
-                flat = pa.FixedSizeListArray.from_arrays(pa.array(x[row].ravel()), dim).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([part.column("node").take(take), part.column("label").take(take), pa.array(first * len(books[1]) + second, pa.int64()), part.column("copies").take(take), flat], ["node", "label", "cell", "copies", "unit"])
+                row, first, second = visited(_bounds(x[:, :half], books[0])[1], _bounds(x[:, half:], books[1])[1], reach)
+                cell = first * len(books[1]) + second
+                labels = part.column("label").to_numpy()
+                rows, blocks = [], []
+                for label in np.unique(labels):
+                    one = part.column("cells")[int(np.flatnonzero(labels == label)[0])].as_py()
+                    start, count = (np.zeros(len(books[0]) * len(books[1]), np.int64) for _ in range(2))
+                    for c in one:
+                        start[c["cell"]], count[c["cell"]] = c["first"], c["blocks"]
+                    own = labels[row] == label
+                    r, c = row[own], cell[own]
+                    n = count[c]
+                    rows.append(np.repeat(r, n))
+                    blocks.append(np.repeat(start[c], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+                met = np.unique(np.column_stack([np.concatenate(rows), np.concatenate(blocks)]), axis=0)
+                take = pa.array(met[:, 0])
+                yield pa.RecordBatch.from_arrays([*(part.column(n).take(take) for n in ("node", "label", "copies", "embedding")), pa.array(met[:, 1])], ["node", "label", "copies", "embedding", "block"])
 
     return run
 
@@ -102,17 +131,22 @@ def _forest(linked: np.ndarray, queries: np.ndarray, members: np.ndarray) -> lis
     return [(int(n), int(r)) for nodes, roots in ((queries, q), (members, m)) for n, r in zip(nodes, roots, strict=True) if n != r]
 
 
+def _normed(vectors) -> np.ndarray:
+    x = np.stack(vectors.to_numpy()).astype(np.float64)
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
 def _compared(threshold: float):
     import pandas as pd
 
     def run(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(members) and len(queries):
-            nodes, weight, x = members.node.to_numpy(), members.copies.to_numpy(), np.stack(members.unit.to_numpy())
+            nodes, weight, x = members.node.to_numpy(), members.copies.to_numpy(), _normed(members.embedding)
             for at in range(0, len(queries), 1024):
                 part = queries.iloc[at : at + 1024]
                 own = part.node.to_numpy()
-                linked = (np.stack(part.unit.to_numpy()) @ x.T >= threshold) & (own[:, None] != nodes[None])
+                linked = (_normed(part.embedding) @ x.T >= threshold) & (own[:, None] != nodes[None])
                 counts = linked @ weight
                 found += [(int(n), None, int(c)) for n, c in zip(own, counts, strict=True) if c]
                 found += [(a, b, 0) for a, b in _forest(linked, own, nodes)]
@@ -130,14 +164,16 @@ def _linked(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
     half = dim // 2
     books = [codebook(x[:, :half]), codebook(x[:, half:])]
     reach = 2 - 2 * threshold + 1e-9
-    schema = "node long, label long, cell long, copies long, unit array<double>"
-    members = classes.mapInArrow(_coded(dim, books, reach, False), schema)
-    queries = classes.mapInArrow(_coded(dim, books, reach, True), schema)
-    sizes = members.groupBy("label", "cell").agg(F.ceil(F.count("node") / BLOCK).cast("int").alias("blocks"))
-    members = members.join(sizes, ["label", "cell"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    queries = queries.join(sizes, ["label", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keys = ["label", "cell", "block"]
-    pick = lambda df: df.select(*keys, "node", "copies", "unit").groupBy(*keys)
+    held = classes.select("node", "label", "copies", "embedding")
+    members = held.mapInArrow(_coded(dim, books), "node long, label long, copies long, embedding array<float>, cell long")
+    before = Window.partitionBy("label").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = members.groupBy("label", "cell").agg(F.count("node").alias("_n")).withColumn("_s", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    sizes = sizes.select("label", "cell", F.floor(F.col("_s") / BLOCK).alias("first"), (F.floor((F.col("_s") + F.col("_n") - 1) / BLOCK) - F.floor(F.col("_s") / BLOCK) + 1).alias("blocks"))
+    members = members.join(sizes, ["label", "cell"]).withColumn("block", F.col("first") + F.pmod(F.xxhash64("node"), F.col("blocks")))
+    cells = sizes.groupBy("label").agg(F.collect_list(F.struct("cell", "first", "blocks")).alias("cells"))  # CODES^2 at most
+    queries = held.join(cells, "label").mapInArrow(_visits(dim, books, reach), "node long, label long, copies long, embedding array<float>, block long")
+    keys = ["label", "block"]
+    pick = lambda df: df.select(*keys, "node", "copies", "embedding").groupBy(*keys)
     return pick(members).cogroup(pick(queries)).applyInPandas(_compared(threshold), "a long, b long, links long")
 
 
