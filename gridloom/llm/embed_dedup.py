@@ -205,3 +205,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
 
 def op5_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+#: The same by comparing all pairs of a label, in DuckDB's SQL; for unique ids and sound vectors of one length.
+OP5_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+r(vec_id, component) AS (SELECT vec_id, vec_id FROM v UNION SELECT e.b, r.component FROM r JOIN e ON e.a = r.vec_id),
+m AS (SELECT vec_id, min(component) AS component_id FROM r GROUP BY vec_id), n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT m.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, m.vec_id = component_id AS kept FROM m LEFT JOIN n ON n.a = m.vec_id
+"""

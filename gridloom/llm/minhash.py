@@ -293,3 +293,16 @@ def without_near_duplicates(docs: DataFrame, width: int = 5, threshold: float =
 def op6_minhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+#: The same components by joining all shingles, in DuckDB's SQL; for unique ids.
+OP6_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS sh FROM d),
+u AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS h FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM u a JOIN u b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p WHERE 100 * c >= 80 * (na + nb - c)),
+r(doc_id, component) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.component FROM r JOIN e ON e.a = r.doc_id),
+m AS (SELECT doc_id, min(component) AS component_id FROM r GROUP BY doc_id)
+SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN m ON s.doc_id = m.doc_id
+"""

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from gridloom.llm.embed_dedup import op5_embedding_dedup
+from gridloom.llm.embed_dedup import OP5_SQL, op5_embedding_dedup
 from gridloom.llm.fingerprint import op4_fingerprints
 from gridloom.llm.html_extract import op1_html_extraction
-from gridloom.llm.minhash import op6_minhash
+from gridloom.llm.minhash import OP6_SQL, op6_minhash
 from gridloom.llm.mixing import OP7_SQL, op7_mixing
 from gridloom.llm.pieces import op8_sentencepiece
 from gridloom.llm.quality import op9_quality
+from gridloom.llm import secrets
 from gridloom.llm.secrets import op3_secret_scans
 from gridloom.llm.shard import op2_sharding
 from gridloom.llm.toxicity import op10_toxicity
@@ -27,5 +28,8 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_secret_scans": secrets.oracle_sql(),
+    "op5_embedding_dedup": OP5_SQL,
+    "op6_minhash": OP6_SQL,
     "op7_mixing": OP7_SQL,
 }

@@ -26,7 +26,7 @@ THRESHOLDS = {"hex": 2.905, "alnum": 3.605, "base64": 3.805}
 ALLOWED = (
     r"^[A-Za-z_=/+-]*$|^[0-9_=/+-]*$|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
     r"|[0-9]{4}-[0-9]{2}-[0-9]{2}|(?i:example|sample|placeholder|changeme|dummy|xxxx|your_?key)"
-    r"|^[A-Za-z0-9_=-]{0,12}(/[A-Za-z0-9_=-]{0,12}){2,}$|([+/_=-])\2{2}|^[a-z]+([_-][a-z0-9]{1,15})+$"
+    r"|^[A-Za-z0-9_=-]{0,12}(/[A-Za-z0-9_=-]{0,12}){2,}$|\+{3}|/{3}|_{3}|={3}|-{3}|^[a-z]+([_-][a-z0-9]{1,15})+$"
 )
 
 
@@ -141,3 +141,27 @@ def op3_secret_scans(spark, sf_dir: str) -> DataFrame:
 
     found = scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(rendered(F.col("base_spans")), 256).alias("base_sha256"), rendered(F.col("spans")).alias("spans"), "n_entropy")
+
+
+def _sql_hits(kind: int, pattern: str, group: int, keep: str) -> str:
+    """Rows (doc, kind, start, end) of one pattern; keep is a condition on value, which is the hit's group."""
+    quoted = pattern.replace("'", "''")
+    return (
+        f"SELECT r, {kind} AS kind, value, s, s + length(hit) AS e FROM (SELECT r, hits[k] AS hit, vals[k] AS value, list_sum(list_transform(gaps[1:k], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:k - 1], lambda h: length(h))), 0) AS s "
+        f"FROM (SELECT r, hits, vals, gaps, unnest(range(1, len(hits) + 1)) AS k FROM (SELECT r, regexp_extract_all(text, '{quoted}', 0) AS hits, regexp_extract_all(text, '{quoted}', {group}) AS vals, regexp_split_to_array(text, '{quoted}') AS gaps FROM d))) WHERE {keep}"
+    )
+
+
+def oracle_sql() -> str:
+    """The same spans in DuckDB's SQL."""
+    bits = f"list_max(list_transform(range(1, length(value) - {WINDOW} + 2), lambda i: list_aggregate(string_split(value[i:i + {WINDOW - 1}], ''), 'entropy')))"
+    bound = f"CASE WHEN regexp_matches(value, '^([0-9a-f]+|[0-9A-F]+)$') THEN {THRESHOLDS['hex']} WHEN regexp_matches(value, '^[A-Za-z0-9]+$') THEN {THRESHOLDS['alnum']} ELSE {THRESHOLDS['base64']} END"
+    random = f"NOT regexp_matches(value, '{ALLOWED}') AND {bits} > {bound}"
+    parts = " UNION ALL ".join([_sql_hits(0, ASSIGN, 2, "length(value) >= 6"), _sql_hits(1, ACCESS, 0, "length(value) >= 20"), _sql_hits(2, HEX, 0, "true")])
+    names = "['assign', 'access', 'hex', 'entropy'][kind + 1]"
+    return (
+        f"WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents), base AS ({parts}), more AS (SELECT * FROM ({_sql_hits(3, CANDIDATE, 0, 'true')}) WHERE {random}), "
+        "fresh AS (SELECT * FROM more m WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = m.r AND b.s < m.e AND m.s < b.e)), every AS (SELECT * FROM base UNION ALL SELECT * FROM fresh), "
+        f"told AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind = 3) AS n_entropy, string_agg({names} || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (kind < 3) AS b, string_agg({names} || ':' || s || ':' || e, ',' ORDER BY s, kind) AS a FROM every GROUP BY r) "
+        "SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans, coalesce(n_entropy, 0)::BIGINT AS n_entropy FROM d LEFT JOIN told ON d.r = told.r"
+    )
