@@ -65,10 +65,11 @@ class Words:
         count = np.maximum(1, -(-(n - WINDOW) // STRIDE) + 1)
         row = np.repeat(np.arange(len(n)), count)
         k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        place = (k * STRIDE)[:, None] + np.arange(WINDOW)
-        inside = place < n[row][:, None]
-        source = np.append(self.ids, len(self.words))
-        return source[np.where(inside, self.at[row][:, None] + place, len(self.ids))], row
+        place = (k * STRIDE).astype(np.int32)[:, None] + np.arange(WINDOW, dtype=np.int32)
+        inside = place < n[row].astype(np.int32)[:, None]
+        place += self.at[row].astype(np.int32)[:, None]
+        place[~inside] = len(self.ids)
+        return np.append(self.ids, len(self.words)).astype(np.int32)[place], row
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
