@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.functions import voxelwise as vx
-from gridloom.operators import cluster, components, kernels, ranking, registration, reshape, stats, stencil
+from gridloom.operators import bias, cluster, components, kernels, patches, ranking, registration, reshape, stats, stencil
 from gridloom.plans.chain import compile_chain
 from gridloom.sources.voxels import test_volumes
 
@@ -261,6 +261,19 @@ def _march(d, s, p, v):
 
 query("fast_marching")(_march)
 
+query("bias_field")(lambda d, s, p, v: bias.bias_field(d.where("t < 40"), (4, 4, 4), 2).select("t", "i", r("bias").alias("bias")))
+query("relaxed_prior")(lambda d, s, p, v: bias.relaxed_prior(stencil.gaussian(stencil.together(d.where("t < 40")), 1.0), d, 0.3).select("t", "i", r(v).alias("v")))
+query("nmi")(lambda d, s, p, v: bias.smoothed_nmi(d.withColumn("v", v * 60 + 34), first(d).withColumn("v", v * 60 + 34)).select("t", r("nmi").alias("nmi")))
+query("patch_matches")(lambda d, s, p, v: patches.patch_matches(d.where("t = 0"), d.where("t between 1 and 8"), 3))
+query("patch_labels")(lambda d, s, p, v: patches.fuse_labels(patches.patch_matches(d.where("t = 0"), d.where("t between 1 and 8"), 3), d.select("t", "x", "y", "z", (v > 0).cast("int").alias("label"))))
+query("masked_polynomial")(lambda d, s, p, v: stats.polynomial_normalized(stats.masked(d, first(d)), first(d), 2).select("t", "i", r(v).alias("v")))
+query("prior_strength")(lambda d, s, p, v: s.createDataFrame([(k, round(x, 6)) for k, x in sorted(cluster.mrf_strength(d.withColumn("label", (F.col("i") * 7 + F.col("t")) % 3 + 1), 3)[0].items())], "label int, share double"))
+query("spline_field")(lambda d, s, p, v: registration.spline_field(d.where("t < 5"), s.range(216).select((F.col("id") % 6 - 1).cast("int").alias("cx"), (F.expr("id div 6") % 6 - 1).cast("int").alias("cy"), (F.expr("id div 36") - 1).cast("int").alias("cz")).withColumns({"ux": F.col("cx") * 2.0, "uy": F.col("cy") * 2.0, "uz": F.col("cz") * 2.0 + 1}), 2).select("t", "i", *[r(f"p{a}").alias(f"p{a}") for a in "xyz"]))
+query("bending_energy")(lambda d, s, p, v: registration.bending_energy(d.where("t = 0").select(*[F.col(a).alias(f"c{a}") for a in "xyz"], v.alias("ux"), (v * v).alias("uy"), F.lit(0.0).alias("uz"))).select(r("bending_energy").alias("bending_energy")))
+query("affine_fit")(lambda d, s, p, v: s.createDataFrame([(k, *map(float, (row + 0.0).round(6))) for k, row in enumerate(registration.affine_fit(registration.affine_field(d.where("t = 0"), _TURN).select(*[F.col(a).cast("double").alias(f"p{a}") for a in "xyz"], *[F.col(f"p{a}").alias(f"q{a}") for a in "xyz"])))], "row int, x double, y double, z double, w double"))
+query("close_by_distance")(lambda d, s, p, v: components.distance(d.where("t < 10").withColumn("v", v - 0.1)).select("t", "i", (F.col("d") <= 1.0).cast("int").alias("v")))
+query("components_18")(lambda d, s, p, v: components.sized_components(d.where("v > 0.1 and t < 30"), 18))
+
 # --- the same operators on the other tables
 
 query("lineitem_slice_means", "SELECT l_linenumber AS x, round(avg(l_quantity), 6) AS mean, count(*) AS n FROM lineitem GROUP BY 1", raw=True)(lambda d, s, p, v: stats.summary(s.read.parquet(f"{p}/lineitem.parquet").select(F.col("l_linenumber").alias("x"), F.col("l_quantity").alias("v")), ["x"]).select("x", r("mean").alias("mean"), "n"))
