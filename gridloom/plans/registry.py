@@ -26,8 +26,12 @@ VOX = "WITH vox AS (SELECT vec_id t, label, (u - 1)::INT i, ((u - 1) % 4)::INT x
 def query(name: str, sql: str | None = None, raw: bool = False):
     """Register f(voxels, spark, sf_dir, v), v being the column of values; sql may use vox unless raw."""
 
+    def run(f: Callable, spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = f(test_volumes(spark, sf_dir), spark, sf_dir, F.col("v"))
+        return out.withColumns({c: F.col(c) + 0.0 for c, kind in out.dtypes if kind == "double"})  # no negative zero
+
     def add(f: Callable) -> Callable:
-        QUERIES[name] = lambda spark, sf_dir: f(test_volumes(spark, sf_dir), spark, sf_dir, F.col("v"))
+        QUERIES[name] = lambda spark, sf_dir: run(f, spark, sf_dir)
         if sql:
             ORACLE_SQL[name] = sql if raw else VOX + (", " + sql[5:] if sql.startswith("WITH ") else sql)
         return f
@@ -51,7 +55,7 @@ UNARY = {
     "vox_cubic_spline_slope": (lambda v: r(vx.cubic_spline_slope(v * 8), 9), "round(sign(v) * CASE WHEN abs(v * 8) < 1 THEN (1.5::DOUBLE * abs(v * 8) - 2) * abs(v * 8) WHEN abs(v * 8) < 2 THEN -pow(abs(v * 8) - 2, 2) / 2 ELSE 0 END, 9)"),
 }
 for _name, (_column, _sql) in UNARY.items():
-    query(_name, f"SELECT t, i, {_sql} AS v FROM vox")(lambda d, s, p, v, c=_column: d.select("t", "i", c(v).alias("v")))
+    query(_name, f"SELECT t, i, ({_sql}) + 0 AS v FROM vox")(lambda d, s, p, v, c=_column: d.select("t", "i", c(v).alias("v")))
 
 for _op, _sql in {"add": "a.v + b.v", "sub": "a.v - b.v", "mul": "a.v * b.v", "div": "CASE WHEN b.v <> 0 THEN a.v / b.v END", "min": "least(a.v, b.v)"}.items():
     query(f"vox_{_op}_image", f"SELECT a.t, a.i, {_sql} AS v FROM vox a JOIN vox b ON a.i = b.i AND b.t = 0")(lambda d, s, p, v, op=_op: d.join(d.where("t = 0").select("i", F.col("v").alias("w")), "i").select("t", "i", vx.combine(op, v, F.col("w")).alias("v")))
@@ -134,7 +138,7 @@ query("ssd_log", "SELECT b.t, round(ln(sum((a.v - b.v) * (a.v - b.v)) + 1), 6) A
 query("joint_entropies")(lambda d, s, p, v: stats.joint_entropies(d.withColumn("v", F.floor(v * 16 + 8)), first(d).withColumn("v", F.floor(v * 16 + 8)), 16).select("t", *[r(c).alias(c) for c in ("h_a", "h_b", "h_joint", "nmi")]))
 query("mean_rms", "WITH l AS (SELECT t // 3 AS t, i, sqrt(sum(v * v)) l FROM vox GROUP BY ALL) SELECT t, round(avg(l), 6) AS mean_rms, round(max(l), 6) AS max_length FROM l GROUP BY t")(lambda d, s, p, v: stats.mean_rms(d.select(F.expr("t div 3").alias("t"), (F.col("t") % 3).alias("u"), "i", "v")).select("t", r("mean_rms").alias("mean_rms"), r("max_length").alias("max_length")))
 query("line_fit", "SELECT b.t, round(regr_slope(a.v, b.v), 6) AS slope, round(regr_intercept(a.v, b.v), 6) AS intercept FROM vox a JOIN vox b ON a.i = b.i WHERE a.t = 0 GROUP BY b.t")(lambda d, s, p, v: stats.line_fit(d, first(d)).select("t", r("slope").alias("slope"), r("intercept").alias("intercept")))
-query("line_normalized", "WITH f AS (SELECT b.t, regr_slope(a.v, b.v) s, regr_intercept(a.v, b.v) c FROM vox a JOIN vox b ON a.i = b.i WHERE a.t = 0 GROUP BY b.t) SELECT vox.t, i, round(s * v + c, 6) AS v FROM vox JOIN f ON vox.t = f.t")(lambda d, s, p, v: stats.line_normalized(d, first(d)).select("t", "i", r(v).alias("v")))
+query("line_normalized", "WITH f AS (SELECT b.t, regr_slope(a.v, b.v) s, regr_intercept(a.v, b.v) c FROM vox a JOIN vox b ON a.i = b.i WHERE a.t = 0 GROUP BY b.t) SELECT vox.t, i, round(s * v + c, 6) + 0 AS v FROM vox JOIN f ON vox.t = f.t")(lambda d, s, p, v: stats.line_normalized(d, first(d)).select("t", "i", r(v).alias("v")))
 query("trimmed_line_fit")(lambda d, s, p, v: stats.trimmed_line_fit(d, first(d)).select("t", r("slope").alias("slope"), r("intercept").alias("intercept")))
 query("polynomial_normalized")(lambda d, s, p, v: stats.polynomial_normalized(d, first(d), 2).select("t", "i", r(v).alias("v")))
 query("quantile_matched")(lambda d, s, p, v: stats.quantile_matched(d, first(d), 32).select("t", "i", r(v).alias("v")))
@@ -152,7 +156,7 @@ query("subsample_xy", "SELECT t, x // 2 AS x, y // 2 AS y, z, v FROM vox WHERE x
 query("subsample_smooth")(lambda d, s, p, v: reshape.subsample(stencil.gaussian(d, 0.5)).select("t", "x", "y", "z", r(v).alias("v")))
 query("flip", "SELECT t, 3 - x AS x, y, z, v FROM vox")(lambda d, s, p, v: reshape.flip(d, "x", 4).select("t", "x", "y", "z", "v"))
 query("swap_time", "SELECT (t // 10)::BIGINT AS u, (t % 10)::BIGINT AS t, i, v FROM vox")(lambda d, s, p, v: reshape.swap_time_and_component(d.select((F.col("t") % 10).alias("u"), F.expr("t div 10").alias("_t"), "i", "v").withColumnRenamed("_t", "t")).select("u", "t", "i", "v"))
-query("relabel", COARSE + "SELECT t, i, CASE v WHEN 1 THEN 9.0::DOUBLE WHEN 2 THEN 8.0::DOUBLE ELSE v END AS v FROM q")(lambda d, s, p, v: reshape.relabel(coarse(d), {1: 9, 2: 8}).select("t", "i", "v"))
+query("relabel", COARSE + "SELECT t, i, CASE v WHEN 1 THEN 9.0::DOUBLE WHEN 2 THEN 8.0::DOUBLE ELSE v END + 0 AS v FROM q")(lambda d, s, p, v: reshape.relabel(coarse(d), {1: 9, 2: 8}).select("t", "i", "v"))
 query("mask_intersect", "SELECT t, i FROM vox WHERE v > 0 INTERSECT SELECT t, i FROM vox WHERE v < 0.1::DOUBLE")(lambda d, s, p, v: reshape.intersect(d, d.withColumn("v", 0.1 - v)))
 query("mask_difference", "SELECT t, i FROM vox WHERE v > 0 EXCEPT SELECT t, i FROM vox WHERE v > 0.1::DOUBLE")(lambda d, s, p, v: reshape.difference(d, d.withColumn("v", v - 0.1)))
 
@@ -222,7 +226,7 @@ query("fill_holes")(lambda d, s, p, v: components.fill_holes(d.where("t < 30"),
 query("distance")(lambda d, s, p, v: components.distance(d.where("t < 30").withColumn("v", v - 0.2)).select("t", "i", r("d").alias("d"), "seed"))
 query("geodesic")(lambda d, s, p, v: components.geodesic(d.where("t < 30").withColumn("v", v - 0.2).withColumn("speed", F.abs(v) + 0.5)).select("t", "i", r("time").alias("time")))
 _TURN = [[0.9, 0.1, 0.0, 0.2], [-0.1, 0.9, 0.0, 0.3], [0.0, 0.0, 1.0, 0.5], [0.0, 0.0, 0.0, 1.0]]
-query("affine_field", "SELECT t, i, round(0.9::DOUBLE * x + 0.1::DOUBLE * y + 0.2::DOUBLE, 6) AS px, round(-0.1::DOUBLE * x + 0.9::DOUBLE * y + 0.3::DOUBLE, 6) AS py, round(z + 0.5::DOUBLE, 6) AS pz FROM vox")(lambda d, s, p, v: registration.affine_field(d, _TURN).select("t", "i", r("px").alias("px"), r("py").alias("py"), r("pz").alias("pz")))
+query("affine_field", "SELECT t, i, round(0.9::DOUBLE * x + 0.1::DOUBLE * y + 0.2::DOUBLE, 6) + 0 AS px, round(-0.1::DOUBLE * x + 0.9::DOUBLE * y + 0.3::DOUBLE, 6) + 0 AS py, round(z + 0.5::DOUBLE, 6) AS pz FROM vox")(lambda d, s, p, v: registration.affine_field(d, _TURN).select("t", "i", r("px").alias("px"), r("py").alias("py"), r("pz").alias("pz")))
 query("resample_nearest", "WITH p AS (SELECT t, i, floor(0.9::DOUBLE * x + 0.1::DOUBLE * y + 0.2::DOUBLE + 0.5)::INT x, floor(-0.1::DOUBLE * x + 0.9::DOUBLE * y + 0.3::DOUBLE + 0.5)::INT y, floor(z + 0.5::DOUBLE + 0.5)::INT z FROM vox) SELECT p.t, p.i, coalesce(vox.v, 0) AS v FROM p LEFT JOIN vox ON p.t = vox.t AND p.x = vox.x AND p.y = vox.y AND p.z = vox.z")(lambda d, s, p, v: registration.resample(registration.affine_field(d, _TURN), d, False))
 query("resample_linear")(lambda d, s, p, v: registration.resample(registration.affine_field(d, _TURN), d).select("t", "i", r(v).alias("v")))
 query("jacobian")(lambda d, s, p, v: registration.jacobian(registration.affine_field(d, _TURN)).select("t", "i", r("jacobian").alias("jacobian")))
