@@ -41,6 +41,8 @@ _OUTSIDE = frozenset(
     signup signin login register share sharing social follow related recommended recommendations recirculation comment comments commentlist discussion
     disqus respond reply replies pagination pager toolbar disclaimer copyright paywall form search skip""".split()
 )
+#: Words beside which "header" names the article's own heading.
+_OF_ARTICLE = frozenset("entry post article story content".split())
 _KEPT = frozenset(("html", "body", "main"))
 _ROOT = frozenset(("html", "body"))
 _INSIDE_P = re.compile(r"h[1-6]$|p$|div$|ul$|ol$|table$|section$|article$|main$|blockquote$|pre$|form$|nav$|header$|footer$|aside$|hr$|dl$|address$|figure$")
@@ -55,7 +57,8 @@ def _outside(name: str, attributes: str, in_article: bool) -> bool:
         key, value = m[1].lower(), next((v for v in m.groups()[1:] if v is not None), "").lower()
         if key in ("class", "id"):
             words = re.split(r"[\s_:-]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", next((v for v in m.groups()[1:] if v is not None), ""))) if value else []
-            if any(w.lower() in _OUTSIDE for w in words):
+            names = {w.lower() for w in words}
+            if names & _OUTSIDE - ({"header"} if in_article or names & _OF_ARTICLE else set()):
                 return True
         elif key == "role" and value in _ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             return True

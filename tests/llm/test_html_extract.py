@@ -34,6 +34,12 @@ def test_parts_outside_the_article_go():
         assert gone not in text
 
 
+def test_headings_of_the_article_stay():
+    words = "enough words to surge past the line that is asked for, and then some more of them to be safe. " * 2
+    assert main_text(f'<div class="site-header">Site</div><div class="entry-header"><h1>Own</h1><p>{words}</p></div>').startswith("Own")
+    assert main_text(f'<article><div class="header"><h1>Own</h1></div><p>{words}</p><div class="post-footer">Tags</div></article>') == "Own\n" + words.strip()
+
+
 def test_edges(spark):
     rows = [(1, "u", None, 5), (2, "u", "", 5), (3, None, "no markup at all", 5), (4, "u", "<p>a<p class=ad>b<p>c", 5), (4, "u", "<p>a<p class=ad>b<p>c", 5), (5, "u", "<article><p>Be.</p><p>x " + "y" * 300000 + "</p></article>", 5), (6, "u", "<!-- open <p>x", 5)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")
