@@ -222,7 +222,7 @@ def _zone_links(zones: DataFrame, classes: DataFrame, texts: DataFrame, width: i
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, threshold: float = 0.8) -> DataFrame:
-    """doc_id, text_hash, set_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
+    """doc_id, text_hash, part, n_shingles, component_id, kept of every row of docs (doc_id, text); part numbers the group."""
     texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     rows = materialize(texts.mapInArrow(_summaries(width), "doc_id long, text_hash long, set_id binary, n_shingles long, sign binary"))
     named = rows.where("set_id is not null").groupBy("set_id").agg(F.first("sign", ignorenulls=True).alias("sign"), F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("first"))
@@ -269,24 +269,25 @@ def near_duplicates(docs: DataFrame, width: int = 4, threshold: float = 0.8) ->
 
     ids = classes.join(parts, "node", "left").select("set_id", "least_id", F.coalesce("component", "node").alias("_part"))
     joined = ids.join(parts.select(F.col("component").alias("_part")).distinct(), "_part").groupBy("_part").agg(F.min("least_id").alias("_id"))
-    ids = ids.join(joined, "_part", "left").select("set_id", F.coalesce("_id", "least_id").alias("component_id"), F.lit(True).alias("_named"))
-    done = rows.join(ids, "set_id", "left").withColumn("component_id", F.when(F.col("_named"), F.col("component_id")).otherwise(F.col("doc_id")))
+    ids = ids.join(joined, "_part", "left").select("set_id", F.coalesce("_id", "least_id").alias("component_id"), F.col("_part").alias("part"))
+    done = rows.join(ids, "set_id", "left").withColumn("component_id", F.when(F.col("part").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")))
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    return done.select("doc_id", "text_hash", "set_id", "n_shingles", "component_id", kept.alias("kept"))
+    return done.select("doc_id", "text_hash", "part", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """One document of each group of near copies: the one with the least id, once even where its row is repeated."""
+    """One document of each group of near copies: the one with the least id, once even where its row is repeated; of a group
+    without ids any one."""
     found = materialize(near_duplicates(docs.select("doc_id", "text"), width, threshold))
     gone = found.where("not kept").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
     hashed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     left = hashed.join(gone, hashed["doc_id"].eqNullSafe(gone["_doc"]) & (hashed["_text_hash"] == gone["_hash"]), "left_anti")
-    again = found.where("kept and set_id is not null").groupBy("component_id").count().where("count > 1")
-    if not again.isEmpty():
-        alike = left.join(again.select(F.col("component_id").alias("_again")), F.col("doc_id").eqNullSafe(F.col("_again")), "left_anti")
-        twice = left.join(again.select(F.col("component_id").alias("_again")), F.col("doc_id").eqNullSafe(F.col("_again")), "left_semi").join(found.where("kept and set_id is not null").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "component_id").distinct(), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_text_hash") == F.col("_h")), "left")
-        nameless = twice.where("_h is null").select(*left.columns)
-        left = alike.unionByName(nameless).unionByName(twice.where("_h is not null").dropDuplicates(["component_id"]).select(*left.columns))
+    kept = found.where("kept and part is not null")
+    again = kept.groupBy("part").count().where("count > 1").select("part")
+    if not again.isEmpty():  # repeated rows, or groups without any id
+        marked = kept.join(again, "part").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("part").alias("_part")).distinct()
+        same = left["doc_id"].eqNullSafe(marked["_doc"]) & (left["_text_hash"] == marked["_hash"])
+        left = left.join(marked, same, "left_anti").unionByName(left.join(marked, same).dropDuplicates(["_part"]).select(*left.columns))
     return left.select(*[f"`{c}`" for c in docs.columns])
 
 

@@ -50,11 +50,11 @@ def test_components_match_brute_force(spark):
 
 
 def test_one_stays_and_empty_tables(spark):
-    rows = [(1, "a b c d e f g h", "x"), (1, "a b c d e f g h", "x"), (2, "A b c d e f g h", "y"), (3, None, "z"), (4, "", "z"), (None, "q r s t u v", "n"), (5, "q r s t u v", "n")]
+    rows = [(1, "a b c d e f g h", "x"), (1, "a b c d e f g h", "x"), (2, "A b c d e f g h", "y"), (3, None, "z"), (4, "", "z"), (None, "q r s t u v", "n"), (5, "q r s t u v", "n"), (None, "one two three four five six", "p"), (None, "seven eight nine ten eleven", "q"), (None, "seven eight nine ten eleven", "q")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, set_id string")
     left = minhash.without_near_duplicates(docs)
     assert left.columns == docs.columns
-    assert sorted((r.doc_id or 0, r.set_id) for r in left.collect()) == [(1, "x"), (3, "z"), (4, "z"), (5, "n")]
+    assert sorted((r.doc_id or 0, r.set_id) for r in left.collect()) == [(0, "p"), (0, "q"), (1, "x"), (3, "z"), (4, "z"), (5, "n")]
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
