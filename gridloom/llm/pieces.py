@@ -29,7 +29,9 @@ BLANK = "▁"
 LONG = 96
 _MEMO = 1 << 21
 #: Distinct segments whose ids a process remembers before it starts anew.
-KNOWN = 1 << 20
+KNOWN = 1 << 19
+#: Bytes of new segments that are matched at once.
+CHUNK = 1 << 18
 
 
 def _fields(data: bytes):
@@ -247,7 +249,15 @@ class Model:
         size = (ends - starts)[first[fresh]]
         seg_at = np.r_[0, np.cumsum(size)]
         take = np.arange(seg_at[-1]) - np.repeat(seg_at[:-1], size) + np.repeat(starts[first[fresh]], size)
-        ids, id_at = self.encode_segments(raw[take], seg_at)
+        text, parts, made = raw[take], [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        i = 0
+        while i < len(size):  # bounded chunks: matching needs some hundred bytes for each byte of text
+            j = max(i + 1, int(np.searchsorted(seg_at, seg_at[i] + CHUNK, "right")) - 1)
+            own, own_at = self.encode_segments(text[seg_at[i] : seg_at[j]], seg_at[i : j + 1] - seg_at[i])
+            parts.append(own)
+            made.append(own_at[1:] + made[-1][-1])
+            i = j
+        ids, id_at = np.concatenate(parts), np.concatenate(made)
         base = len(self.seen_ids)
         self.seen_ids = np.r_[self.seen_ids, ids]
         place = np.searchsorted(self.seen, distinct[fresh])
@@ -295,7 +305,7 @@ def tokenize(docs: DataFrame, model: str = MODEL, decoded: bool = False) -> Data
         import pyarrow as pa
 
         pieces = _model(sent.value)
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", 2 << 20):
             ids, at = pieces.encode(batch.column(batch.schema.get_field_index("text")))
             more = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))]
             if decoded:
