@@ -133,7 +133,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
     text = F.aggregate("spans", start, swallow, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.col("text").substr((acc["at"] + 1).cast("int"), F.greatest(F.length("text") - acc["at"], F.lit(0)).cast("int"))))
     clean = F.when(F.size("spans") > 0, text).otherwise(F.col("text"))
-    return scanned.select(*[(clean.alias("text") if c == "text" else F.when(F.size("spans") > 0, F.length(clean).cast("bigint")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`")) for c in docs.columns])
+    done = scanned.select(*[(F.struct(clean.alias("text"), (F.size("spans") > 0).alias("changed")).alias("_clean") if c == "text" else F.col(f"`{c}`")) for c in docs.columns])
+    count = F.when(F.col("_clean.changed"), F.length("_clean.text").cast("bigint")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    return done.select(*[(F.col("_clean.text").alias("text") if c == "text" else count.alias(c) if c == "n_chars" else F.col(f"`{c}`")) for c in docs.columns])
 
 
 def op3_secret_scans(spark, sf_dir: str) -> DataFrame:
