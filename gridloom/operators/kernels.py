@@ -27,24 +27,28 @@ def per_volume(voxels: DataFrame, shape: tuple[int, int, int], kernel) -> DataFr
     return voxels.select("t", "i", "v").groupBy("t").applyInPandas(run, SCHEMA)
 
 
-def _shifted(a: np.ndarray, d: tuple[int, int, int]) -> np.ndarray:
-    return np.roll(np.pad(a, 4, mode="edge"), [-x for x in d], (0, 1, 2))[4:-4, 4:-4, 4:-4]
+def _box_sum(a: np.ndarray, reach: int) -> np.ndarray:
+    """Sum over a cube of the given reach, edges repeated, axis by axis."""
+    for axis in range(3):
+        m = np.moveaxis(a, axis, 0)
+        e = np.concatenate([m[:1]] * reach + [m] + [m[-1:]] * reach)
+        a = np.moveaxis(sum(e[k : k + len(m)] for k in range(2 * reach + 1)), 0, axis)
+    return a
 
 
 def non_local_means(h: float, search: int = 3, patch: int = 1):
     """Mean over a search box, weighted by the likeness of patches; the centre weighs as much as its best match."""
     reach = range(-search, search + 1)
-    inner = range(-patch, patch + 1)
 
     def kernel(a: np.ndarray) -> np.ndarray:
         total, weight, best = np.zeros_like(a), np.zeros_like(a), np.zeros_like(a)
+        wide = np.pad(a, search, mode="edge")
         for dz in reach:
             for dy in reach:
                 for dx in reach:
                     if dz or dy or dx:
-                        other = _shifted(a, (dz, dy, dx))
-                        gap = (a - other) ** 2
-                        near = sum(_shifted(gap, (p, q, r)) for p in inner for q in inner for r in inner) / (2 * patch + 1) ** 3
+                        other = wide[tuple(slice(search + d, search + d + n) for d, n in zip((dz, dy, dx), a.shape, strict=True))]
+                        near = _box_sum((a - other) ** 2, patch) / (2 * patch + 1) ** 3
                         w = np.exp(-near / (h * h))
                         total += w * other
                         weight += w

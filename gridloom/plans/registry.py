@@ -87,7 +87,7 @@ query("vox_rescale", "SELECT t, i, round((v - min(v) OVER w) / (max(v) OVER w -
 query("vox_sharpen")(lambda d, s, p, v: stencil.sharpen(d, 1.0).select("t", "i", r(v).alias("v")))
 query("vox_normalized_array", "SELECT vec_id, round(abs(embedding[1]) / list_sum(list_transform(embedding, lambda e: abs(e)::DOUBLE)), 6) AS p FROM embeddings", raw=True)(lambda d, s, p, v: s.read.parquet(f"{p}/embeddings.parquet").select("vec_id", r(vx.normalized(F.transform("embedding", lambda e: F.abs(e).cast("double")))[0]).alias("p")))
 query("vox_first_argmax", "SELECT vec_id, list_position(embedding, list_max(embedding))::INT AS place FROM embeddings", raw=True)(lambda d, s, p, v: s.read.parquet(f"{p}/embeddings.parquet").select("vec_id", vx.first_argmax(F.col("embedding")).alias("place")))
-query("vox_mixed_gaussian")(lambda d, s, p, v: d.where("t < 20").select("t", "i", r(vx.mixed_gaussian(v, -0.1, 0.1, 0.01, 0.02)).alias("v")))
+query("vox_mixed_gaussian")(lambda d, s, p, v: d.select("t", "i", r(vx.mixed_gaussian(v, -0.1, 0.1, 0.01, 0.02)).alias("v")))
 query("vox_rician_factor")(lambda d, s, p, v: first(d).select("i", r(vx.rician_factor(F.abs(v) * 10), 6).alias("v")))
 
 
@@ -180,13 +180,13 @@ query("count_erode", f"WITH m AS (SELECT t, max(v) top FROM vox GROUP BY t) SELE
 query("count_dilate", f"WITH m AS (SELECT t, max(v) top FROM vox GROUP BY t) SELECT a.t, a.i, CASE WHEN sum((b.v > 0.5::DOUBLE * top)::INT) >= 1 THEN 1.0::DOUBLE ELSE 0 END AS v FROM vox a {_NEAR} JOIN m ON m.t = a.t GROUP BY a.t, a.i")(lambda d, s, p, v: stencil.count_dilate(d).select("t", "i", "v"))
 query("local_moments", f"SELECT a.t, a.i, round(avg(b.v), 6) AS mean, round(var_samp(b.v), 6) AS var FROM vox a {_NEAR} GROUP BY a.t, a.i")(lambda d, s, p, v: stencil.local_moments(d).select("t", "i", r("mean").alias("mean"), r("var").alias("var")))
 query("median3", f"SELECT t, i, list_sort(w)[((len(w) - 1) // 2 + 1)::INT] AS v FROM (SELECT a.t, a.i, list(b.v) w FROM vox a {_NEAR} GROUP BY a.t, a.i)")(lambda d, s, p, v: stencil.median3(d).select("t", "i", "v"))
-query("label_smooth")(lambda d, s, p, v: stencil.label_smooth(coarse(d).where("t < 50"), 1.0).select("t", "i", "v"))
+query("label_smooth")(lambda d, s, p, v: stencil.label_smooth(coarse(d), 1.0).select("t", "i", "v"))
 query("edge")(lambda d, s, p, v: stencil.edge(d, 0.5).select("t", "i", "v"))
 query("gradient", "SELECT t, i, round(gx, 6) AS gx, round(sqrt(gx * gx + gy * gy + gz * gz), 6) AS mag FROM (SELECT t, i, " + ", ".join(f"(coalesce(lead(v) OVER w{a}, v) - coalesce(lag(v) OVER w{a}, v)) / (CASE WHEN lag(v) OVER w{a} IS NULL OR lead(v) OVER w{a} IS NULL THEN 1 ELSE 2 END) g{a}" for a in "xyz") + " FROM vox WINDOW " + ", ".join(f"w{a} AS (PARTITION BY t, {', '.join(b for b in 'xyz' if b != a)} ORDER BY {a})" for a in "xyz") + ")")(lambda d, s, p, v: stencil.gradient(d).select("t", "i", r("gx").alias("gx"), r("mag").alias("mag")))
 query("sobel3")(lambda d, s, p, v: stencil.sobel(stencil.together(d), 3).select("t", "i", r(v).alias("v")))
 query("sobel5")(lambda d, s, p, v: stencil.sobel(stencil.together(d), 5).select("t", "i", r(v).alias("v")))
-query("local_ncc_rank")(lambda d, s, p, v: ranking.top_each_voxel(stencil.local_ncc(d.where("t < 40"), first(d), 1.0).where("t > 0").withColumn("lncc", r("lncc")), "lncc", 3).select("i", "t", "rank", "lncc"))
-query("local_ssd")(lambda d, s, p, v: stencil.local_ssd(d.where("t < 40"), first(d), 1.0).select("t", "i", r(v).alias("v")))
+query("local_ncc_rank")(lambda d, s, p, v: ranking.top_each_voxel(stencil.local_ncc(d, first(d), 1.0).where("t > 0").withColumn("lncc", r("lncc")), "lncc", 3).select("i", "t", "rank", "lncc"))
+query("local_ssd")(lambda d, s, p, v: stencil.local_ssd(d, first(d), 1.0).select("t", "i", r(v).alias("v")))
 query("diffuse")(lambda d, s, p, v: stencil.diffuse(stencil.together(d), 0.3, 2).select("t", "i", r(v).alias("v")))
 query("laplace")(lambda d, s, p, v: stencil.laplace(stencil.together(d).withColumn("free", F.col("i") % 3 > 0), 3).select("t", "i", r(v).alias("v")))
 query("split_norm")(lambda d, s, p, v: stencil.split_norm(d, "z").select("t", "i", r(v).alias("v")))
@@ -209,10 +209,10 @@ query("kmeans")(lambda d, s, p, v: cluster.kmeans(d.withColumn("v", F.abs(v)), 3
 query("class_means")(lambda d, s, p, v: cluster.class_means(cluster.kmeans(d.withColumn("v", F.abs(v)), 3)[0]).select("label", r("mean").alias("mean"), "n"))
 query("neighbour_counts")(lambda d, s, p, v: cluster.neighbour_counts(d.withColumn("label", (F.col("i") * 7 + F.col("t")) % 3 + 1), 3))
 query("gaussian_mixture")(lambda d, s, p, v: cluster.mixture(d, 2, 5)[0].select("t", "i", r(F.col("p")[0]).alias("p")))
-query("mean_field")(lambda d, s, p, v: cluster.mean_field(cluster.mixture(d.where("t < 40"), 2, 3)[0], 2, 0.4).select("t", "i", r(F.col("p")[0]).alias("p")))
-query("icm_labels")(lambda d, s, p, v: cluster.icm(cluster.mixture(d.where("t < 6"), 2, 3)[0].withColumn("label", F.when(F.col("p")[0] >= 0.5, 1).otherwise(2)), 2, 0.1, 1).select("t", "i", "label"))
+query("mean_field")(lambda d, s, p, v: cluster.mean_field(cluster.mixture(d, 2, 3)[0], 2, 0.4).select("t", "i", r(F.col("p")[0]).alias("p")))
+query("icm_labels")(lambda d, s, p, v: cluster.icm(cluster.mixture(d, 2, 3)[0].withColumn("label", F.when(F.col("p")[0] >= 0.5, 1).otherwise(2)), 2, 0.1, 1).select("t", "i", "label"))
 query("block_moments", "WITH k AS (SELECT t, (i % 2 + 1)::INT AS label, v, unnest(list_distinct([x // 2, (x + 1) // 2]))::INT nx, y, z FROM vox), l AS (SELECT t, label, v, nx, unnest(list_distinct([y // 2, (y + 1) // 2]))::INT ny, z FROM k), m AS (SELECT t, label, v, nx, ny, unnest(list_distinct([z // 2, (z + 1) // 2]))::INT nz FROM l) SELECT t, nx, ny, nz, label, round(avg(v), 6) AS mean, count(*) AS n FROM m GROUP BY ALL HAVING count(*) > 6")(lambda d, s, p, v: cluster.block_moments(d.withColumn("label", F.col("i") % 2 + 1), 2).select("t", "nx", "ny", "nz", "label", r("mean").alias("mean"), "n"))
-query("local_map_labels")(lambda d, s, p, v: cluster.local_map_labels(d.where("t < 20").withColumn("label", F.when(v > 0, 2).otherwise(1)), 2, 2, 1).select("t", "i", "label"))
+query("local_map_labels")(lambda d, s, p, v: cluster.local_map_labels(d.withColumn("label", F.when(v > 0, 2).otherwise(1)), 2, 2, 1).select("t", "i", "label"))
 
 # --- components, distances, warps
 
@@ -220,19 +220,19 @@ _CC = """WITH RECURSIVE vox AS (SELECT vec_id t, (u - 1)::INT i, ((u - 1) % 4)::
 s AS (SELECT * FROM vox WHERE v > 0.05::DOUBLE AND t < 60), e AS (SELECT a.t, a.i AS a, b.i AS b FROM s a JOIN s b ON a.t = b.t AND abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1),
 c(t, i, component) AS (SELECT t, i, i FROM s UNION SELECT e.t, e.b, c.component FROM c JOIN e ON e.t = c.t AND e.a = c.i) SELECT t, i, min(component) AS component FROM c GROUP BY t, i"""
 query("components", _CC, raw=True)(lambda d, s, p, v: components.components(d.where("v > 0.05 and t < 60"), 6).select("t", "i", "component"))
-query("components_26")(lambda d, s, p, v: components.sized_components(d.where("v > 0.1 and t < 60"), 26))
-query("largest_component")(lambda d, s, p, v: components.largest_component(d.where("v > 0.05 and t < 30"), 6).select("t", "i"))
-query("fill_holes")(lambda d, s, p, v: components.fill_holes(d.where("t < 30"), 4, 4, 4).select("t", "i", "v"))
-query("distance")(lambda d, s, p, v: components.distance(d.where("t < 30").withColumn("v", v - 0.2)).select("t", "i", r("d").alias("d"), "seed"))
-query("geodesic")(lambda d, s, p, v: components.geodesic(d.where("t < 30").withColumn("v", v - 0.2).withColumn("speed", F.abs(v) + 0.5)).select("t", "i", r("time").alias("time")))
+query("components_26")(lambda d, s, p, v: components.sized_components(d.where("v > 0.1"), 26))
+query("largest_component")(lambda d, s, p, v: components.largest_component(d.where("v > 0.05"), 6).select("t", "i"))
+query("fill_holes")(lambda d, s, p, v: components.fill_holes(d, 4, 4, 4).select("t", "i", "v"))
+query("distance")(lambda d, s, p, v: components.distance(d.withColumn("v", v - 0.2)).select("t", "i", r("d").alias("d"), "seed"))
+query("geodesic")(lambda d, s, p, v: components.geodesic(d.withColumn("v", v - 0.2).withColumn("speed", F.abs(v) + 0.5)).select("t", "i", r("time").alias("time")))
 _TURN = [[0.9, 0.1, 0.0, 0.2], [-0.1, 0.9, 0.0, 0.3], [0.0, 0.0, 1.0, 0.5], [0.0, 0.0, 0.0, 1.0]]
 query("affine_field", "SELECT t, i, round(0.9::DOUBLE * x + 0.1::DOUBLE * y + 0.2::DOUBLE, 6) + 0 AS px, round(-0.1::DOUBLE * x + 0.9::DOUBLE * y + 0.3::DOUBLE, 6) + 0 AS py, round(z + 0.5::DOUBLE, 6) AS pz FROM vox")(lambda d, s, p, v: registration.affine_field(d, _TURN).select("t", "i", r("px").alias("px"), r("py").alias("py"), r("pz").alias("pz")))
 query("resample_nearest", "WITH p AS (SELECT t, i, floor(0.9::DOUBLE * x + 0.1::DOUBLE * y + 0.2::DOUBLE + 0.5)::INT x, floor(-0.1::DOUBLE * x + 0.9::DOUBLE * y + 0.3::DOUBLE + 0.5)::INT y, floor(z + 0.5::DOUBLE + 0.5)::INT z FROM vox) SELECT p.t, p.i, coalesce(vox.v, 0) AS v FROM p LEFT JOIN vox ON p.t = vox.t AND p.x = vox.x AND p.y = vox.y AND p.z = vox.z")(lambda d, s, p, v: registration.resample(registration.affine_field(d, _TURN), d, False))
 query("resample_linear")(lambda d, s, p, v: registration.resample(registration.affine_field(d, _TURN), d).select("t", "i", r(v).alias("v")))
 query("jacobian")(lambda d, s, p, v: registration.jacobian(registration.affine_field(d, _TURN)).select("t", "i", r("jacobian").alias("jacobian")))
-query("block_match")(lambda d, s, p, v: registration.block_match(d.where("t < 20"), d.where("t < 20").withColumn("x", F.col("x") + 1), 2, 1).select("t", "bx", "by", "bz", "dx", "dy", "dz"))
-query("exponentiate")(lambda d, s, p, v: registration.exponentiate(d.where("t < 5").withColumns({"ux": v * 0.1, "uy": F.lit(0.05), "uz": F.lit(0.0)}), 2).select("t", "i", *[r(f"p{a}").alias(f"p{a}") for a in "xyz"]))
-query("non_local_means")(lambda d, s, p, v: kernels.per_volume(d.where("t < 20"), (4, 4, 4), kernels.non_local_means(0.2)).select("t", "i", r(v).alias("v")))
+query("block_match")(lambda d, s, p, v: registration.block_match(d, d.withColumn("x", F.col("x") + 1), 2, 1).select("t", "bx", "by", "bz", "dx", "dy", "dz"))
+query("exponentiate")(lambda d, s, p, v: registration.exponentiate(d.withColumns({"ux": v * 0.1, "uy": F.lit(0.05), "uz": F.lit(0.0)}), 2).select("t", "i", *[r(f"p{a}").alias(f"p{a}") for a in "xyz"]))
+query("non_local_means")(lambda d, s, p, v: kernels.per_volume(d, (4, 4, 4), kernels.non_local_means(0.2)).select("t", "i", r(v).alias("v")))
 
 
 def _watershed(d, s, p, v):
@@ -240,7 +240,7 @@ def _watershed(d, s, p, v):
 
     markers = np.zeros((4, 4, 4))
     markers[0, 0, 0], markers[3, 3, 3] = 1, 2
-    return kernels.per_volume(d.where("t < 20"), (4, 4, 4), kernels.watershed(markers))
+    return kernels.per_volume(d, (4, 4, 4), kernels.watershed(markers))
 
 
 query("watershed")(_watershed)
@@ -251,7 +251,7 @@ def _patch_fill(d, s, p, v):
 
     mask = np.zeros((4, 4, 4), bool)
     mask[1:3, 1:3, 1:3] = True
-    return kernels.per_volume(d.where("t < 10"), (4, 4, 4), kernels.patch_fill(mask)).select("t", "i", r(v).alias("v"))
+    return kernels.per_volume(d, (4, 4, 4), kernels.patch_fill(mask)).select("t", "i", r(v).alias("v"))
 
 
 query("patch_fill")(_patch_fill)
@@ -260,23 +260,23 @@ query("patch_fill")(_patch_fill)
 def _march(d, s, p, v):
     import numpy as np
 
-    return kernels.per_volume(d.where("t < 20").withColumn("v", v - 0.2), (4, 4, 4), kernels.fast_marching(np.ones((4, 4, 4)))).where("v < 1e30").select("t", "i", r(v).alias("v"))
+    return kernels.per_volume(d.withColumn("v", v - 0.2), (4, 4, 4), kernels.fast_marching(np.ones((4, 4, 4)))).where("v < 1e30").select("t", "i", r(v).alias("v"))
 
 
 query("fast_marching")(_march)
 
-query("bias_field")(lambda d, s, p, v: bias.bias_field(d.where("t < 40"), (4, 4, 4), 2).select("t", "i", r("bias").alias("bias")))
-query("relaxed_prior")(lambda d, s, p, v: bias.relaxed_prior(stencil.gaussian(stencil.together(d.where("t < 40")), 1.0), d, 0.3).select("t", "i", r(v).alias("v")))
+query("bias_field")(lambda d, s, p, v: bias.bias_field(d, (4, 4, 4), 2).select("t", "i", r("bias").alias("bias")))
+query("relaxed_prior")(lambda d, s, p, v: bias.relaxed_prior(stencil.gaussian(stencil.together(d), 1.0), d, 0.3).select("t", "i", r(v).alias("v")))
 query("nmi")(lambda d, s, p, v: bias.smoothed_nmi(d.withColumn("v", v * 60 + 34), first(d).withColumn("v", v * 60 + 34)).select("t", r("nmi").alias("nmi")))
 query("patch_matches")(lambda d, s, p, v: patches.patch_matches(d.where("t = 0"), d.where("t between 1 and 8"), 3))
 query("patch_labels")(lambda d, s, p, v: patches.fuse_labels(patches.patch_matches(d.where("t = 0"), d.where("t between 1 and 8"), 3), d.select("t", "x", "y", "z", (v > 0).cast("int").alias("label"))))
 query("masked_polynomial")(lambda d, s, p, v: stats.polynomial_normalized(stats.masked(d, first(d)), first(d), 2).select("t", "i", r(v).alias("v")))
 query("prior_strength")(lambda d, s, p, v: s.createDataFrame([(k, round(x, 6)) for k, x in sorted(cluster.mrf_strength(d.withColumn("label", (F.col("i") * 7 + F.col("t")) % 3 + 1), 3)[0].items())], "label int, share double"))
-query("spline_field")(lambda d, s, p, v: registration.spline_field(d.where("t < 5"), s.range(216).select((F.col("id") % 6 - 1).cast("int").alias("cx"), (F.expr("id div 6") % 6 - 1).cast("int").alias("cy"), (F.expr("id div 36") - 1).cast("int").alias("cz")).withColumns({"ux": F.col("cx") * 2.0, "uy": F.col("cy") * 2.0, "uz": F.col("cz") * 2.0 + 1}), 2).select("t", "i", *[r(f"p{a}").alias(f"p{a}") for a in "xyz"]))
+query("spline_field")(lambda d, s, p, v: registration.spline_field(d, s.range(216).select((F.col("id") % 6 - 1).cast("int").alias("cx"), (F.expr("id div 6") % 6 - 1).cast("int").alias("cy"), (F.expr("id div 36") - 1).cast("int").alias("cz")).withColumns({"ux": F.col("cx") * 2.0, "uy": F.col("cy") * 2.0, "uz": F.col("cz") * 2.0 + 1}), 2).select("t", "i", *[r(f"p{a}").alias(f"p{a}") for a in "xyz"]))
 query("bending_energy")(lambda d, s, p, v: registration.bending_energy(d.where("t = 0").select(*[F.col(a).alias(f"c{a}") for a in "xyz"], v.alias("ux"), (v * v).alias("uy"), F.lit(0.0).alias("uz"))).select(r("bending_energy").alias("bending_energy")))
 query("affine_fit")(lambda d, s, p, v: s.createDataFrame([(k, *map(float, (row + 0.0).round(6))) for k, row in enumerate(registration.affine_fit(registration.affine_field(d.where("t = 0"), _TURN).select(*[F.col(a).cast("double").alias(f"p{a}") for a in "xyz"], *[F.col(f"p{a}").alias(f"q{a}") for a in "xyz"])))], "row int, x double, y double, z double, w double"))
-query("close_by_distance")(lambda d, s, p, v: components.distance(d.where("t < 10").withColumn("v", v - 0.1)).select("t", "i", (F.col("d") <= 1.0).cast("int").alias("v")))
-query("components_18")(lambda d, s, p, v: components.sized_components(d.where("v > 0.1 and t < 30"), 18))
+query("close_by_distance")(lambda d, s, p, v: components.distance(d.withColumn("v", v - 0.1)).select("t", "i", (F.col("d") <= 1.0).cast("int").alias("v")))
+query("components_18")(lambda d, s, p, v: components.sized_components(d.where("v > 0.1"), 18))
 
 # --- the same operators on the other tables
 
