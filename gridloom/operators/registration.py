@@ -113,15 +113,16 @@ def spline_field(voxels: DataFrame, control: DataFrame, spacing: int) -> DataFra
 
 
 def bending_energy(control: DataFrame) -> DataFrame:
-    """Mean squared second differences of a control grid (cx, cy, cz, ux, uy, uz) along its axes."""
+    """Mean squared second differences of a control grid (cx, cy, cz, ux, uy, uz) along its axes, of each t where there is one."""
+    keys = ["t"] if "t" in control.columns else []
     total = F.lit(0.0)
     for axis in "xyz":
-        w = Window.partitionBy(*[f"c{a}" for a in "xyz" if a != axis]).orderBy(f"c{axis}")
+        w = Window.partitionBy(*keys, *[f"c{a}" for a in "xyz" if a != axis]).orderBy(f"c{axis}")
         for u in "xyz":
             second = F.lag(f"u{u}", 1).over(w) - 2 * F.col(f"u{u}") + F.lead(f"u{u}", 1).over(w)
             control = control.withColumn(f"_{u}{axis}", F.coalesce(second * second, F.lit(0.0)))
             total = total + F.col(f"_{u}{axis}")
-    return control.agg(F.avg(total).alias("bending_energy"))
+    return control.groupBy(*keys).agg(F.avg(total).alias("bending_energy"))
 
 
 def compose(first: DataFrame, second: DataFrame) -> DataFrame:

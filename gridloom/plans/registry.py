@@ -88,7 +88,7 @@ query("vox_sharpen")(lambda d, s, p, v: stencil.sharpen(d, 1.0).select("t", "i",
 query("vox_normalized_array", "SELECT vec_id, round(abs(embedding[1]) / list_sum(list_transform(embedding, lambda e: abs(e)::DOUBLE)), 6) AS p FROM embeddings", raw=True)(lambda d, s, p, v: s.read.parquet(f"{p}/embeddings.parquet").select("vec_id", r(vx.normalized(F.transform("embedding", lambda e: F.abs(e).cast("double")))[0]).alias("p")))
 query("vox_first_argmax", "SELECT vec_id, list_position(embedding, list_max(embedding))::INT AS place FROM embeddings", raw=True)(lambda d, s, p, v: s.read.parquet(f"{p}/embeddings.parquet").select("vec_id", vx.first_argmax(F.col("embedding")).alias("place")))
 query("vox_mixed_gaussian")(lambda d, s, p, v: d.select("t", "i", r(vx.mixed_gaussian(v, -0.1, 0.1, 0.01, 0.02)).alias("v")))
-query("vox_rician_factor")(lambda d, s, p, v: first(d).select("i", r(vx.rician_factor(F.abs(v) * 10), 6).alias("v")))
+query("vox_rician_factor")(lambda d, s, p, v: d.select("t", "i", r(vx.rician_factor(F.abs(v) * 10), 6).alias("v")))
 
 
 @query("vox_partial_volume", "WITH q AS (SELECT t, i, v, (i % 5 + 1) AS l, greatest(0, least(1, (v + 0.1::DOUBLE) / 0.1::DOUBLE)) a, greatest(0, least(1, v / 0.1::DOUBLE)) b FROM vox) SELECT t, i, round(CASE l WHEN 1 THEN 1 WHEN 2 THEN 1 - a ELSE 0 END, 6) AS first, round(CASE l WHEN 3 THEN 1 WHEN 2 THEN a WHEN 4 THEN 1 - b ELSE 0 END, 6) AS second, round(CASE l WHEN 5 THEN 1 WHEN 4 THEN b ELSE 0 END, 6) AS third FROM q")
@@ -195,24 +195,24 @@ query("chain", "SELECT t, i, CASE WHEN abs(v * 2) > 0.1::DOUBLE THEN 1.0::DOUBLE
 # --- ranking, fusion, clustering
 
 
-def _votes(d: DataFrame, raters: int = 9) -> DataFrame:
-    return d.where(F.col("t") < raters).select("i", F.col("t").alias("rater"), F.least(F.lit(2), F.greatest(F.lit(0), F.round(F.col("v") * 8 + 1))).cast("int").alias("label"))
+def _votes(d: DataFrame) -> DataFrame:
+    return d.select("i", F.col("t").alias("rater"), F.least(F.lit(2), F.greatest(F.lit(0), F.round(F.col("v") * 8 + 1))).cast("int").alias("label"))
 
 
 _VOTES = "WITH r AS (SELECT i, t AS rater, least(2, greatest(0, round(v * 8 + 1)))::INT AS label FROM vox WHERE t < 9) "
-query("majority_vote", _VOTES + ", c AS (SELECT i, label, count(*) n FROM r GROUP BY ALL) SELECT i, label, n FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY n DESC, label) k FROM c) WHERE k = 1")(lambda d, s, p, v: ranking.majority(_votes(d)).select("i", "label", "n"))
-query("uncertain_voxels", _VOTES + ", c AS (SELECT i, label, count(*) n FROM r GROUP BY ALL) SELECT i FROM c GROUP BY i HAVING max(n) < ceil(sum(n) * 0.7::DOUBLE)")(lambda d, s, p, v: ranking.uncertain(_votes(d), 0.7))
-query("staple")(lambda d, s, p, v: ranking.staple(_votes(d), 3, 6)[0].select("i", "label", r("p").alias("p")))
-query("shape_average")(lambda d, s, p, v: ranking.shape_average(components.signed_distance(d.where("t < 3").withColumn("v", (v > 0).cast("double"))).select("i", F.col("t").alias("rater"), F.explode(F.array(F.struct(F.lit(0).alias("label"), (-F.col("d")).alias("d")), F.struct(F.lit(1).alias("label"), F.col("d").alias("d")))).alias("_s")).select("i", "rater", "_s.label", "_s.d")))
+query("majority_vote", _VOTES + ", c AS (SELECT i, label, count(*) n FROM r GROUP BY ALL) SELECT i, label, n FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY n DESC, label) k FROM c) WHERE k = 1")(lambda d, s, p, v: ranking.majority(_votes(d.where("t < 9"))).select("i", "label", "n"))
+query("uncertain_voxels", _VOTES + ", c AS (SELECT i, label, count(*) n FROM r GROUP BY ALL) SELECT i FROM c GROUP BY i HAVING max(n) < ceil(sum(n) * 0.7::DOUBLE)")(lambda d, s, p, v: ranking.uncertain(_votes(d.where("t < 9")), 0.7))
+query("staple")(lambda d, s, p, v: ranking.staple(_votes(d), 3)[0].select("i", "label", r("p").alias("p")))
+query("shape_average")(lambda d, s, p, v: ranking.shape_average(components.signed_distance(d.withColumn("v", (v > 0).cast("double"))).select("i", F.col("t").alias("rater"), F.explode(F.array(F.struct(F.lit(0).alias("label"), (-F.col("d")).alias("d")), F.struct(F.lit(1).alias("label"), F.col("d").alias("d")))).alias("_s")).select("i", "rater", "_s.label", "_s.d")))
 query("block_variances", "SELECT t, bx, \"by\", bz, round(var, 6) AS var FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY var DESC, bz, \"by\", bx) k, count(*) OVER (PARTITION BY t) c FROM (SELECT t, (x // 2) AS bx, (y // 2) AS \"by\", (z // 2) AS bz, var_pop(v) var FROM vox GROUP BY ALL)) WHERE k <= ceil(c * 0.5)")(lambda d, s, p, v: ranking.block_variances(d, 2, 0.5).select("t", "bx", "by", "bz", r("var").alias("var")))
 query("kmeans")(lambda d, s, p, v: cluster.kmeans(d.withColumn("v", F.abs(v)), 3)[0].select("t", "i", "label"))
 query("class_means")(lambda d, s, p, v: cluster.class_means(cluster.kmeans(d.withColumn("v", F.abs(v)), 3)[0]).select("label", r("mean").alias("mean"), "n"))
 query("neighbour_counts")(lambda d, s, p, v: cluster.neighbour_counts(d.withColumn("label", (F.col("i") * 7 + F.col("t")) % 3 + 1), 3))
-query("gaussian_mixture")(lambda d, s, p, v: cluster.mixture(d, 2, 5)[0].select("t", "i", r(F.col("p")[0]).alias("p")))
-query("mean_field")(lambda d, s, p, v: cluster.mean_field(cluster.mixture(d, 2, 3)[0], 2, 0.4).select("t", "i", r(F.col("p")[0]).alias("p")))
-query("icm_labels")(lambda d, s, p, v: cluster.icm(cluster.mixture(d, 2, 3)[0].withColumn("label", F.when(F.col("p")[0] >= 0.5, 1).otherwise(2)), 2, 0.1, 1).select("t", "i", "label"))
+query("gaussian_mixture")(lambda d, s, p, v: cluster.mixture(d, 2)[0].select("t", "i", r(F.col("p")[0]).alias("p")))
+query("mean_field")(lambda d, s, p, v: cluster.mean_field(cluster.mixture(d, 2)[0], 2, 0.4).select("t", "i", r(F.col("p")[0]).alias("p")))
+query("icm_labels")(lambda d, s, p, v: cluster.icm(cluster.mixture(d, 2)[0].withColumn("label", F.when(F.col("p")[0] >= 0.5, 1).otherwise(2)), 2, 0.1).select("t", "i", "label"))
 query("block_moments", "WITH k AS (SELECT t, (i % 2 + 1)::INT AS label, v, unnest(list_distinct([x // 2, (x + 1) // 2]))::INT nx, y, z FROM vox), l AS (SELECT t, label, v, nx, unnest(list_distinct([y // 2, (y + 1) // 2]))::INT ny, z FROM k), m AS (SELECT t, label, v, nx, ny, unnest(list_distinct([z // 2, (z + 1) // 2]))::INT nz FROM l) SELECT t, nx, ny, nz, label, round(avg(v), 6) AS mean, count(*) AS n FROM m GROUP BY ALL HAVING count(*) > 6")(lambda d, s, p, v: cluster.block_moments(d.withColumn("label", F.col("i") % 2 + 1), 2).select("t", "nx", "ny", "nz", "label", r("mean").alias("mean"), "n"))
-query("local_map_labels")(lambda d, s, p, v: cluster.local_map_labels(d.withColumn("label", F.when(v > 0, 2).otherwise(1)), 2, 2, 1).select("t", "i", "label"))
+query("local_map_labels")(lambda d, s, p, v: cluster.local_map_labels(d.withColumn("label", F.when(v > 0, 2).otherwise(1)), 2, 2).select("t", "i", "label"))
 
 # --- components, distances, warps
 
@@ -268,13 +268,13 @@ query("fast_marching")(_march)
 query("bias_field")(lambda d, s, p, v: bias.bias_field(d, (4, 4, 4), 2).select("t", "i", r("bias").alias("bias")))
 query("relaxed_prior")(lambda d, s, p, v: bias.relaxed_prior(stencil.gaussian(stencil.together(d), 1.0), d, 0.3).select("t", "i", r(v).alias("v")))
 query("nmi")(lambda d, s, p, v: bias.smoothed_nmi(d.withColumn("v", v * 60 + 34), first(d).withColumn("v", v * 60 + 34)).select("t", r("nmi").alias("nmi")))
-query("patch_matches")(lambda d, s, p, v: patches.patch_matches(d.where("t = 0"), d.where("t between 1 and 8"), 3))
-query("patch_labels")(lambda d, s, p, v: patches.fuse_labels(patches.patch_matches(d.where("t = 0"), d.where("t between 1 and 8"), 3), d.select("t", "x", "y", "z", (v > 0).cast("int").alias("label"))))
+query("patch_matches")(lambda d, s, p, v: patches.patch_matches(d.where("t = 0"), d.where("t <> 0"), 3))
+query("patch_labels")(lambda d, s, p, v: patches.fuse_labels(patches.patch_matches(d.where("t = 0"), d.where("t <> 0"), 3), d.select("t", "x", "y", "z", (v > 0).cast("int").alias("label"))))
 query("masked_polynomial")(lambda d, s, p, v: stats.polynomial_normalized(stats.masked(d, first(d)), first(d), 2).select("t", "i", r(v).alias("v")))
 query("prior_strength")(lambda d, s, p, v: s.createDataFrame([(k, round(x, 6)) for k, x in sorted(cluster.mrf_strength(d.withColumn("label", (F.col("i") * 7 + F.col("t")) % 3 + 1), 3)[0].items())], "label int, share double"))
 query("spline_field")(lambda d, s, p, v: registration.spline_field(d, s.range(216).select((F.col("id") % 6 - 1).cast("int").alias("cx"), (F.expr("id div 6") % 6 - 1).cast("int").alias("cy"), (F.expr("id div 36") - 1).cast("int").alias("cz")).withColumns({"ux": F.col("cx") * 2.0, "uy": F.col("cy") * 2.0, "uz": F.col("cz") * 2.0 + 1}), 2).select("t", "i", *[r(f"p{a}").alias(f"p{a}") for a in "xyz"]))
-query("bending_energy")(lambda d, s, p, v: registration.bending_energy(d.where("t = 0").select(*[F.col(a).alias(f"c{a}") for a in "xyz"], v.alias("ux"), (v * v).alias("uy"), F.lit(0.0).alias("uz"))).select(r("bending_energy").alias("bending_energy")))
-query("affine_fit")(lambda d, s, p, v: s.createDataFrame([(k, *map(float, (row + 0.0).round(6))) for k, row in enumerate(registration.affine_fit(registration.affine_field(d.where("t = 0"), _TURN).select(*[F.col(a).cast("double").alias(f"p{a}") for a in "xyz"], *[F.col(f"p{a}").alias(f"q{a}") for a in "xyz"])))], "row int, x double, y double, z double, w double"))
+query("bending_energy")(lambda d, s, p, v: registration.bending_energy(d.select("t", *[F.col(a).alias(f"c{a}") for a in "xyz"], v.alias("ux"), (v * v).alias("uy"), F.lit(0.0).alias("uz"))).select("t", r("bending_energy").alias("bending_energy")))
+query("affine_fit")(lambda d, s, p, v: s.createDataFrame([(k, *map(float, (row + 0.0).round(6))) for k, row in enumerate(registration.affine_fit(registration.affine_field(d, _TURN).select(*[F.col(a).cast("double").alias(f"p{a}") for a in "xyz"], *[F.col(f"p{a}").alias(f"q{a}") for a in "xyz"])))], "row int, x double, y double, z double, w double"))
 query("close_by_distance")(lambda d, s, p, v: components.distance(d.withColumn("v", v - 0.1)).select("t", "i", (F.col("d") <= 1.0).cast("int").alias("v")))
 query("components_18")(lambda d, s, p, v: components.sized_components(d.where("v > 0.1"), 18))
 

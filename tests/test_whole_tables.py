@@ -25,3 +25,35 @@ def test_every_volume_has_rows(spark, tables, name):
 
 def test_ranks_hold_every_image(spark, tables):
     assert {r.t for r in registry.QUERIES["local_ncc_rank"](spark, tables).select("t").distinct().collect()} == set(IDS) - {0}
+
+
+def test_every_rater_and_atlas_image_counts(spark, tables):
+    run = lambda name: registry.QUERIES[name](spark, tables)
+    v = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(tables + "/embeddings.parquet").collect()}
+    x = np.arange(64) % 4, np.arange(64) // 4 % 4, np.arange(64) // 16
+    assert {r.t for r in run("patch_matches").select("t").distinct().collect()} == set(IDS) - {0}
+    assert {r.t for r in run("vox_rician_factor").select("t").distinct().collect()} == set(IDS)
+    want = {}
+    for t, a in v.items():
+        total = np.zeros((4, 4, 4))
+        for u in (a.reshape(4, 4, 4), (a * a).reshape(4, 4, 4)):
+            for axis in range(3):
+                total[tuple(slice(1, -1) if k == axis else slice(None) for k in range(3))] += np.diff(u, 2, axis) ** 2
+        want[t] = total.mean()
+    assert {r.t: r.bending_energy for r in run("bending_energy").collect()} == pytest.approx(want, abs=1e-5)
+    label = {t: (a > 0).astype(int) for t, a in v.items()}
+    at = np.column_stack(x)
+    sums = np.zeros((64, 2))
+    for t in IDS:
+        gap = np.sqrt(((at[:, None] - at[None]) ** 2).sum(2))
+        near = [(np.where(label[t][None] == k, gap, np.inf)).min(1) for k in (0, 1)]
+        d = np.where(label[t] > 0, near[0], -near[1])
+        sums += np.column_stack([-d * np.abs(d), d * np.abs(d)])
+    got = {r.i: r.label for r in run("shape_average").collect()}
+    clear = [i for i in range(64) if abs(sums[i, 1]) > 0.5]
+    assert clear and all(got[i] == int(sums[i, 1] > 0) for i in clear)
+    votes = {i: {min(2, max(0, int(np.floor(v[t][i] * 8 + 1.5)))) for t in IDS} for i in range(64)}
+    told = {}
+    for r in run("staple").collect():
+        told.setdefault(r.i, set()).add(r.label)
+    assert told == votes
