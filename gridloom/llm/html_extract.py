@@ -3,9 +3,9 @@
 Markup is stripped to lines, one for each block of text; whatever marks a container's edge, or a part that is a menu,
 header, footer, sidebar, notice, advert, form or reader comment, leaves WINDOW empty lines. The text length summed
 over a sliding window of lines then rises at a surge point and falls to nothing at a dive point, and the text between
-the two is one stretch. Stretches inside the page's article or main element are its text; where a page has neither,
-those that surge past SURGE characters outside links are (or the longest one, when none does), with the stretches
-beside them in the same box.
+the two is one stretch. Stretches inside the page's article or main element are its text. Where a page has neither, those
+that surge past SURGE characters outside links are sought (or the longest one, when none does): the text is all of the
+lowest box that holds them, and what else is on the page unless it consists mostly of links.
 
 A null or empty page gives an empty text; pages of any length are read whole; repeated rows are extracted each on its
 own; an empty table gives an empty table. Unclosed elements end with what they cannot contain, or with the page.
@@ -72,6 +72,8 @@ class _Lines:
         self.lines: list[tuple[str, int, bool, int]] = []
         self.boxes: list[tuple[str, int]] = []
         self.opened = 0
+        self.parent = [0]
+        self.last: dict[int, int] = {}
         self.parts: list[str] = []
         self.linked = 0
         self.link = False
@@ -84,11 +86,23 @@ class _Lines:
 
     def box(self, name: str, closing: bool) -> None:
         if not closing:
-            self.opened += name not in _ROOT
+            if name not in _ROOT:
+                self.opened += 1
+                self.parent.append(self.boxes[-1][1] if self.boxes else 0)
             self.boxes.append((name, self.opened if name not in _ROOT else 0))
         elif any(name == x for x, _ in self.boxes):
-            while self.boxes.pop()[0] != name:
-                pass
+            while True:
+                open_, number = self.boxes.pop()
+                self.last[number] = self.opened
+                if open_ == name:
+                    break
+
+    def around(self, numbers: set[int]) -> tuple[int, int]:
+        """First and last number of the boxes in the lowest one that holds all of the given ones."""
+        low, high = min(numbers), max(numbers)
+        while low and self.last.get(low, self.opened) < high:
+            low = self.parent[low]
+        return low, self.last.get(low, self.opened) if low else self.opened
 
     def end(self, article: bool, gap: bool) -> None:
         if self.parts:
@@ -100,6 +114,10 @@ class _Lines:
 
 
 def to_lines(page: str) -> list[tuple[str, int, bool, int]]:
+    return _read(page).lines
+
+
+def _read(page: str) -> _Lines:
     out = _Lines()
     at, articles, skipped, depth = 0, 0, "", 0
     size = len(page)
@@ -145,7 +163,7 @@ def to_lines(page: str) -> list[tuple[str, int, bool, int]]:
         elif name == "a":
             out.link = not closing
     out.end(articles > 0, False)
-    return out.lines
+    return out
 
 
 def stretches(lines: list[tuple[str, int, bool, int]]) -> list[tuple[int, int]]:
@@ -168,7 +186,8 @@ def stretches(lines: list[tuple[str, int, bool, int]]) -> list[tuple[int, int]]:
 
 
 def main_text(page: str | None) -> str:
-    lines = to_lines(page or "")
+    read = _read(page or "")
+    lines = read.lines
     runs = stretches(lines)
     if not runs:
         return ""
@@ -176,10 +195,11 @@ def main_text(page: str | None) -> str:
     if not inside:
         free = [(sum(x[1] for x in lines[a:b]), max(sum(x[1] for x in lines[i : i + WINDOW]) for i in range(a, b)), sum(len(x[0]) for x in lines[a:b])) for a, b in runs]
         inside = [r for r, (own, surge, every) in zip(runs, free, strict=True) if surge > SURGE and 2 * own > every]
-        boxes = {x[3] for a, b in inside for x in lines[a:b] if x[0]} - {0}
-        inside = [(a, b) for a, b in runs if (a, b) in inside or any(x[3] in boxes for x in lines[a:b] if x[0])]
         if not inside:
             inside = [runs[max(range(len(runs)), key=lambda i: (free[i][0], -i))]]
+        low, high = read.around({x[3] for a, b in inside for x in lines[a:b] if x[0]})
+        chosen = set(inside)
+        inside = [r for r, (own, _, every) in zip(runs, free, strict=True) if r in chosen or low and any(low <= x[3] <= high for x in lines[r[0] : r[1]] if x[0]) or 2 * own > every]
     return "\n".join(x[0] for a, b in inside for x in lines[a:b] if x[0])
 
 

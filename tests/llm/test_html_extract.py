@@ -49,3 +49,15 @@ def test_edges(spark):
     assert got[4].text == "a\nc" or got[4].text == "a"
     assert got[5].n_chars == 300006
     assert stretches(to_lines("<div>a</div><div>b</div>")) == [(0, 1), (4, 5)]
+
+
+def test_headings_and_short_paragraphs_in_their_own_boxes_stay():
+    words = "enough words to surge past the line that is asked for, and then some more of them to be safe. " * 2
+    menu = "<div><a href=a>One link</a> <a href=b>Another link</a></div>"
+    parts = f"<div class=title><h1>T</h1></div><div><p>{words}</p></div><div><p>Short.</p></div>"
+    want = f"T\n{words.strip()}\nShort."
+    assert main_text(f"<body>{menu}<div class=post>{parts}</div>{menu}</body>") == want
+    assert main_text(f"<body>{menu}{parts}</body>") == want
+    refs = "<div><a href=c>A source</a></div>"
+    assert main_text(f"<body>{menu}<div>{parts}{refs}<div><p>{words}</p></div></div></body>") == f"{want}\nA source\n{words.strip()}"
+    assert main_text("<div><h2>A</h2></div><div><p>Both are short.</p></div>") == "A\nBoth are short."
