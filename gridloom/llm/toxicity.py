@@ -1,7 +1,9 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, over word and character inputs, in numpy.
 
-A word is a run of letters and digits (A-Z lower-cased). Its input is the learned vector of its hash beside the sum of
-the learned vectors of its first 3 to 8 and last 3 and 4 bytes. Windows of WINDOW words, each half over the last, cover
+A word is a run of letters and digits (A-Z lower-cased); a run of more than UNIT bytes, such as a compound or a clause
+without spaces, is cut into words of UNIT bytes (to whole characters), each half over the last. A word's input is the
+learned vector of its hash beside the sum of the learned vectors of its first 3 to 8 and last 3 and 4 bytes and of any
+INNER bytes of it, wherever they stand. Windows of WINDOW words, each half over the last, cover
 the whole text, and every one is scored. A small logistic layer turns a document's window scores (largest, second, mean,
 expected number of toxic windows) into its score.
 
@@ -28,10 +30,24 @@ from gridloom.llm.quality import _KIND, held_out
 WINDOW, STRIDE, HIDDEN = 64, 32, 12
 WORD_BUCKETS, WORD_DIM, CHAR_BUCKETS, CHAR_DIM = 16384, 8, 16384, 12
 PREFIXES, SUFFIXES = (3, 4, 5, 6, 7, 8), (3, 4)
+UNIT, INNER = 12, 5
 TRAIN, ROUNDS = 2400, 9
 THRESHOLD = 0.5
 
 
+def _units(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words as they are up to UNIT bytes; longer ones cut every half UNIT, from and to whole characters (3 bytes more on either side)."""
+    count = np.maximum(1, -(-(ends - starts - UNIT) // (UNIT // 2)) + 1)
+    k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    low, high = np.repeat(starts, count), np.repeat(ends, count)
+    a = low + k * (UNIT // 2)
+    b = np.minimum(a + UNIT, high)
+    for _ in range(3):
+        a = np.where((a > low) & (raw[np.minimum(a, len(raw) - 1)] >> 6 == 2), a - 1, a)
+        b = np.where((b < high) & (raw[np.minimum(b, len(raw) - 1)] >> 6 == 2), b + 1, b)
+    return a, b
+
+
 class Words:
     """A string column as numbers of distinct words: ids of all words, offsets of rows, and each distinct word's buckets."""
 
@@ -45,6 +61,7 @@ class Words:
         cuts = np.flatnonzero(edge)
         keep = solid[cuts[:-1]] if len(cuts) > 1 else np.zeros(0, bool)
         starts, ends = (cuts[:-1][keep], cuts[1:][keep]) if len(cuts) > 1 else (np.zeros(0, np.int64),) * 2
+        starts, ends = _units(raw, starts, ends)
         low = _LOWER[raw]
         hashes = span_hashes(low, starts, ends)
         _, first, self.ids = np.unique(hashes, return_index=True, return_inverse=True)
@@ -53,11 +70,15 @@ class Words:
         s, e = starts[first[order]], ends[first[order]]
         self.words = np.zeros(len(first), np.int64)
         self.words[order] = (hashes[first[order]] % np.uint64(WORD_BUCKETS)).astype(np.int64)
-        self.grams = np.zeros((len(first), len(PREFIXES) + len(SUFFIXES)), np.int64)
+        self.grams = np.zeros((len(first), len(PREFIXES) + len(SUFFIXES) + UNIT + 6 - INNER + 1), np.int64)
         for k, n in enumerate(PREFIXES + SUFFIXES):
             a, b = (s, np.minimum(s + n, e)) if k < len(PREFIXES) else (np.maximum(e - n, s), e)
             bucket = (span_hashes(low, a, b) ^ np.uint64(k * 0x9E37)) % np.uint64(CHAR_BUCKETS - 1) + np.uint64(1)
             self.grams[order, k] = np.where(e - s >= n, bucket.astype(np.int64), 0)
+        for k in range(UNIT + 6 - INNER + 1):
+            a = np.minimum(s + k, e)
+            bucket = (span_hashes(low, a, np.minimum(a + INNER, e)) ^ np.uint64(0xA5A5)) % np.uint64(CHAR_BUCKETS - 1) + np.uint64(1)
+            self.grams[order, len(PREFIXES) + len(SUFFIXES) + k] = np.where(a + INNER <= e, bucket.astype(np.int64), 0)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """(n, WINDOW) word numbers, the number after the last standing for none, and each window's row."""

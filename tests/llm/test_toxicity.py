@@ -61,3 +61,25 @@ def test_small_tables(spark):
     assert {r.predicted for r in got if r.text == "you idiot there"} == {1} and {r.predicted for r in got if r.text == "a calm day"} == {0}
     assert tox.score(docs.limit(0), labels).count() == 0
     assert len({r.score for r in tox.score(docs, labels.limit(0)).collect()}) == 1
+
+
+def test_every_byte_of_long_runs_is_read():
+    texts = ["short", "x" * 12, "donaudampfschifffahrtsgesellschaft", "\u4f60\u662f\u50bb\u74dc\u3002" * 40, "a\u00e9" * 33, "\U0001f600" * 9]
+    for text in texts:
+        raw = text.encode()
+        a, b = tox._units(np.frombuffer(raw, np.uint8), np.array([0]), np.array([len(raw)]))
+        assert (b - a).max() <= tox.UNIT + 6 and a[0] == 0 and b[-1] == len(raw)
+        for i in range(len(raw) - tox.INNER + 1):
+            assert ((a <= i) & (b >= i + tox.INNER)).any()
+        for s, e in zip(a, b, strict=True):
+            raw[s:e].decode()
+    words = tox.Words(pa.array(texts[2:4]))
+    assert (np.diff(words.at) > 4).all()
+
+
+def test_toxic_words_inside_runs_are_found():
+    clean, bad = ["a calm day", "some quiet words", "the long river"], "you idiot there"
+    texts = [bad if i % 3 == 0 else clean[i % 3] for i in range(300)]
+    scorer = tox.Scorer(pa.array(texts), np.array([float(i % 3 == 0) for i in range(300)]), (0.7, 0.3))
+    inside, without = scorer.score(pa.array(["calmquietriverwordsidiotlongcalmquietday", "calmquietriverwordsriverlongcalmquietday"]))
+    assert inside > without + 0.2
