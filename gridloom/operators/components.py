@@ -11,7 +11,7 @@ from gridloom.operators.tables import cut
 
 
 def _relax(voxels: DataFrame, value: str, around, step, most: int) -> DataFrame:
-    """value becomes the least of itself and step(neighbour's value, dx, dy, dz) until nothing changes."""
+    """value becomes the least of itself and step(neighbour's value, dx, dy, dz) until nothing changes; more than most rounds are an error."""
     voxels = cut(voxels)
     for _ in range(most):
         near = spread(voxels, around, value).withColumn("_w", step(F.col("w"))).groupBy("t", "x", "y", "z").agg(F.min("_w").alias("_w"))
@@ -19,8 +19,8 @@ def _relax(voxels: DataFrame, value: str, around, step, most: int) -> DataFrame:
         changed = not after.where(F.col("_new") < F.col(value)).isEmpty()
         voxels = after.withColumn(value, F.col("_new")).drop("_new")
         if not changed:
-            break
-    return voxels
+            return voxels
+    raise RuntimeError(f"not settled after {most} rounds")
 
 
 def components(voxels: DataFrame, connect: int = 6, most: int = 10000) -> DataFrame:
@@ -77,5 +77,5 @@ def geodesic(voxels: DataFrame, most: int = 10000) -> DataFrame:
         changed = not after.where("_new < time").isEmpty()
         timed = after.withColumn("time", F.col("_new")).drop("_new")
         if not changed:
-            break
-    return timed.drop("_cost")
+            return timed.drop("_cost")
+    raise RuntimeError(f"not settled after {most} rounds")

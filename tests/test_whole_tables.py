@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom.operators import components
 from gridloom.plans import registry
 
 IDS = (0, 1, 75, 5000)
@@ -57,3 +58,11 @@ def test_every_rater_and_atlas_image_counts(spark, tables):
     for r in run("staple").collect():
         told.setdefault(r.i, set()).add(r.label)
     assert told == votes
+
+
+def test_unsettled_relaxation_is_an_error(spark):
+    row = spark.createDataFrame([(0, i, i, 0, 0, float(i == 0), 1.0) for i in range(5)], "t int, i int, x int, y int, z int, v double, speed double")
+    for run in (lambda: components.components(row.withColumn("v", F.lit(1.0)), 6, 2), lambda: components.geodesic(row, 2)):
+        with pytest.raises(RuntimeError):
+            run()
+    assert {r.component for r in components.components(row.withColumn("v", F.lit(1.0)), 6, 6).collect()} == {0}
