@@ -1,17 +1,8 @@
-"""Tables in the folder that driver and executors share: where loops cut their lineage."""
+"""Where loops cut their lineage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from gridloom.shared import materialize as cut
+from gridloom.shared import release, tidy
 
-from pyspark.sql import DataFrame
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df once under spark.checkpoint.dir (a new local folder where that is unset) and read it back."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-")
-    path = f"{base.rstrip('/')}/grid-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["cut", "release", "tidy"]
