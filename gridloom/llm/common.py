@@ -2,47 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.shared import materialize, release, tidy  # noqa: F401
+
 #: White space of every word definition here: blank and code points 9 to 13.
 WORD_SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="gridloom-")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df once as a table in the shared folder and read it back: lineage ends, lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/gridloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(df: DataFrame) -> None:
-    """Delete the files of a materialized table that no later plan reads."""
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/gridloom-" in name:
-            spark = df.sparkSession
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row, however often body uses it."""
     return F.transform(F.array(value), body)[0]
@@ -94,12 +67,12 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_PRIME = np.uint64(0x9E3779B97F4A7C15)
+_FOLDED = np.where(_SPACE, np.uint8(32), _LOWER)
 _SEGMENT = 1 << 20
-
-
-def _inverse(p: int) -> int:
-    return pow(p, -1, 1 << 64)
+#: Spans of more bytes are hashed one by one.
+_LONG = 1 << 12
+#: Two primes below 2^31, each with a base of its own.
+_MODULI = ((2147483647, 1103515245), (2147483629, 1566083941))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -113,18 +86,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    """Powers of the hash base and their inverses, grown as needed."""
+    """Powers of both hash bases and of their inverses for every place of a segment, made once."""
 
     def __init__(self) -> None:
-        self.up = self.down = np.ones(0, np.uint64)
+        self.up: list[np.ndarray] = []
+        self.down: list[np.ndarray] = []
 
-    def need(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, _SEGMENT + 4096)
-            for name, base in (("up", int(_PRIME)), ("down", _inverse(int(_PRIME)))):
-                x = np.full(n, base, np.uint64)
-                x[0] = 1
-                setattr(self, name, np.cumprod(x))
+    def need(self) -> None:
+        if not self.up:
+            for p, base in _MODULI:
+                for held, x in ((self.up, base), (self.down, pow(base, -1, p))):
+                    out = np.ones(1, np.uint64)
+                    while len(out) < _SEGMENT + _LONG + 1:
+                        out = np.concatenate([out, out * np.uint64(pow(x, len(out), p)) % np.uint64(p)])
+                    held.append(out)
 
 
 _POWERS = Powers()
@@ -175,28 +150,52 @@ def word_bounds(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans in ascending order, in segments of bounded memory."""
+    """64-bit hashes of byte spans in ascending order of their starts, in segments of bounded memory.
+
+    A span of up to _LONG bytes is hashed as a polynomial modulo two primes (a power of two as modulus would give some
+    long words equal hashes under any base), a longer one by BLAKE2b. Equal hashes mean equal spans but for chance.
+    """
     out = np.empty(len(starts), np.uint64)
+    size = ends - starts
+    short = np.flatnonzero(size <= _LONG)
+    for i in np.flatnonzero(size > _LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    _POWERS.need()
+    starts, ends, size = starts[short], ends[short], size[short].astype(np.uint64)
     i = 0
     while i < len(starts):
         base = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(ends, base + _SEGMENT, "right")))
+        j = max(i + 1, int(np.searchsorted(starts, base + _SEGMENT - 1, "right")))
         top = int(ends[i:j].max())
-        _POWERS.need(top - base + 1)
-        sums = np.zeros(top - base + 1, np.uint64)
-        np.cumsum((raw[base:top].astype(np.uint64) + np.uint64(1)) * _POWERS.up[: top - base], out=sums[1:])
         s, e = starts[i:j] - base, ends[i:j] - base
-        out[i:j] = mix64((sums[e] - sums[s]) * _POWERS.down[s] + (e - s).astype(np.uint64))
+        text = raw[base:top].astype(np.uint64) + np.uint64(1)
+        both = []
+        for (p, _), up, down in zip(_MODULI, _POWERS.up, _POWERS.down, strict=True):
+            sums = np.zeros(top - base + 1, np.uint64)  # below 2^8 * 2^31 * 2^21
+            np.cumsum(text * up[: top - base], out=sums[1:])
+            both.append((sums[e] - sums[s]) % np.uint64(p) * down[s] % np.uint64(p))
+        out[short[i:j]] = mix64(both[0] << np.uint64(33) | both[1] << np.uint64(2) | size[i:j] & np.uint64(3))
         i = j
     return out
 
 
-def word_hashes(column, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of a string column (A-Z lower-cased) and the n + 1 word offsets of its rows."""
+def joined_words(column) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of every text's words (A-Z lower-cased) with one blank between two, and the n + 1 offsets of the texts."""
     raw, at = flat_bytes(column)
     starts, ends = word_bounds(raw, at)
-    hashes = span_hashes(_LOWER[raw] if lower else raw, starts, ends)
-    return hashes, np.searchsorted(starts, at)
+    words = np.searchsorted(starts, at)
+    keep = ~_SPACE[raw]
+    followed = np.ones(len(starts), bool)
+    followed[words[1:][np.diff(words) > 0] - 1] = False
+    keep[ends[followed]] = True
+    text = _FOLDED[raw[keep]]
+    return text, np.concatenate([[0], np.cumsum(keep)])[at]
+
+
+def word_hashes(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts text[at[i]:at[i + 1]] and the n + 1 word offsets of these."""
+    starts, ends = word_bounds(text, at)
+    return span_hashes(text, starts, ends), np.searchsorted(starts, at)
 
 
 _SHINGLE = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)

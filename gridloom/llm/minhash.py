@@ -1,17 +1,18 @@
 """Near-duplicate documents: MinHash signatures, banding, exact verification, connected components.
 
-Rows whose shingle sets are equal form one class; only classes are banded and compared. A bucket of a band links its
-members to its least member; a class is verified on full sets against the one of these that its signature fits best, and
-the links give components. Components that other fitting pairs hold together form a zone. In a zone every class outside
-the largest component is compared on full sets with all others, blocks against blocks, each task returning only the links
-that join components. What a bucket holds of different zones and may fit is verified pair by pair. So no pair that could
+Rows whose sequences of words are equal form one class; only classes are banded and compared. A bucket of a band links
+its members to its least member; a class is verified against the one of these that its signature fits best, and the
+links give components. Components that other fitting pairs hold together form a zone. In a zone every class outside the
+largest component is compared with all others, blocks against blocks, each task returning only the links that join
+components. The members of a bucket that fit one of another zone are compared in the same way. So no pair that could
 join two components is left out, and neither copies nor near copies ever become rows of all their pairs. A link needs
-100 * intersection >= 100 * threshold * union on the distinct shingles of the whole texts.
+100 * intersection >= 100 * threshold * union on the distinct shingles of the whole texts: hashed sets propose it, the
+shingles' own bytes decide.
 
 Null and empty texts, and texts of white space, have no shingles and link with nothing; a text of fewer words than a
 shingle has its whole sequence as its one shingle. A null id is a document without a name: it links, but names no
 component. Rows with one id and one text are one document twice: both have the same result. An empty table gives an
-empty table. Only doc_id and text are read.
+empty table. Only doc_id and text are read; without_near_duplicates() keeps all columns as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,16 +21,18 @@ import hashlib
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialize, mix64, read_table, release, shingle_sets, small_batches, word_hashes
+from gridloom.llm.common import joined_words, materialize, mix64, read_table, release, shingle_sets, small_batches, tidy, word_hashes
 from gridloom.llm.graph import components
 
 BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
-#: Members of a mixed bucket, and classes of a zone, that meet in one task.
-BLOCK, SIDE = 2000, 400
+#: Members of a mixed bucket, and shingles of compared sets (a set counts SET_LOAD more), that meet in one task.
+BLOCK, SHINGLES, SET_LOAD = 500, 200_000, 100
+#: Classes whose signature a task remembers.
+REMEMBERED = 1 << 16
 
 _A = mix64(np.arange(101, 101 + HASHES, dtype=np.uint64)) | np.uint64(1)
 _B = mix64(np.arange(901, 901 + HASHES, dtype=np.uint64))
@@ -45,74 +48,74 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
+def _name(words: np.ndarray) -> bytes:
+    return hashlib.blake2b(words.tobytes(), digest_size=16).digest()
+
+
 def _summaries(width: int):
+    """Each text's class (a digest of its words), number of shingles and, once a task, its class's signature."""
+
     def run(batches):
         import pyarrow as pa
 
-        seen = set()
+        seen: set[bytes] = set()
         for batch in small_batches(batches, "text"):
-            digests, counts, signs = [], [], []
-            for shingles in shingle_sets(*word_hashes(batch.column("text")), width):
+            names, counts, signs = [], [], []
+            text, at = joined_words(batch.column("text"))
+            for i, shingles in enumerate(shingle_sets(*word_hashes(text, at), width)):
                 counts.append(len(shingles))
                 if not len(shingles):
-                    digests.append(None)
+                    names.append(None)
                     signs.append(None)
                     continue
-                digests.append(name := hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
+                names.append(name := _name(text[at[i] : at[i + 1]]))
                 signs.append(None if name in seen else signature(shingles).tobytes())
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
                 seen.add(name)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(signs, pa.binary())], ["doc_id", "text_hash", "set_id", "n_shingles", "sign"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(names, pa.binary()), pa.array(counts, pa.int64()), pa.array(signs, pa.binary())], ["doc_id", "text_hash", "name", "n_shingles", "sign"])
 
     return run
 
 
-def _packed_sets(width: int):
-    """48 bits of each shingle hash, in order: two sets of a million differ from their 64-bit hashes once in 300 pairs at most."""
+def _words(batches):
+    """The words of each row whose text is that of its class (another text may share the row's id and hash)."""
+    import pyarrow as pa
 
-    def run(batches):
-        import pyarrow as pa
+    for batch in small_batches(batches, "text"):
+        text, at = joined_words(batch.column("text"))
+        words = [text[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        keep = [i for i, (w, name) in enumerate(zip(words, batch.column("name").to_pylist(), strict=True)) if _name(w) == name]
+        yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(keep, pa.int64())), pa.array([words[i].tobytes() for i in keep], pa.binary())], ["node", "words"])
 
-        for batch in small_batches(batches, "text"):
-            packed, counts, keep = [], [], []
-            for i, shingles in enumerate(shingle_sets(*word_hashes(batch.column("text")), width)):
-                name = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
-                if name == batch.column("set_id")[i].as_py():
-                    keep.append(i)
-                    counts.append(len(shingles))
-                    packed.append(np.ascontiguousarray((shingles >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(keep, pa.int64())), pa.array(counts, pa.int64()), pa.array(packed, pa.large_binary()).cast(pa.binary())], ["node", "n", "packed"])
 
-    return run
+def _hashed(words: list[bytes], width: int) -> list[np.ndarray]:
+    """Sorted shingle hashes of each of these texts."""
+    text = np.frombuffer(b"".join(words), np.uint8)
+    return list(shingle_sets(*word_hashes(text, np.cumsum([0, *map(len, words)])), width))
 
 
-def _unpacked(packed: bytes) -> np.ndarray:
-    out = np.zeros((len(packed) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
+class _Exact:
+    """Decides links on the shingles themselves."""
 
+    def __init__(self, width: int, threshold: float) -> None:
+        self.width, self.percent = width, round(100 * threshold)
+        self.held: dict[int, frozenset[bytes]] = {}
 
-def _verified(threshold: float):
-    """Pairs whose full sets are alike enough; 100 * intersection >= 100 * threshold * union in integers."""
-    percent = round(100 * threshold)
+    def shingles(self, node: int, words: bytes) -> frozenset[bytes]:
+        if node not in self.held:
+            if len(self.held) > 64:
+                self.held.clear()
+            w = words.split(b" ")
+            self.held[node] = frozenset(b" ".join(w[i : i + self.width]) for i in range(max(1, len(w) - self.width + 1)))
+        return self.held[node]
 
-    def run(batches):
-        import pyarrow as pa
+    def alike(self, both: int | np.ndarray, a: int, b: int | np.ndarray) -> bool | np.ndarray:
+        return 100 * both >= self.percent * (a + b - both)
 
-        last, held = None, None
-        for batch in batches:
-            a, b, na, nb = (batch.column(i).to_numpy() for i in (0, 1, 2, 3))
-            keep = []
-            for i in range(len(a)):
-                if min(na[i], nb[i]) * 100 < percent * max(na[i], nb[i]):
-                    continue
-                if last != b[i]:
-                    last, held = b[i], _unpacked(batch.column(5)[i].as_py())
-                both = np.intersect1d(_unpacked(batch.column(4)[i].as_py()), held, assume_unique=True)
-                if 100 * len(both) >= percent * (na[i] + nb[i] - len(both)):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
-
-    return run
+    def linked(self, a: int, a_words: bytes, b: int, b_words: bytes) -> bool:
+        one, other = self.shingles(a, a_words), self.shingles(b, b_words)
+        return self.alike(len(one & other), len(one), len(other))
 
 
 def _signs(column) -> np.ndarray:
@@ -134,29 +137,28 @@ def least_agreement(threshold: float) -> int:
     return math.floor(HASHES * threshold - 4 * math.sqrt(HASHES * threshold * (1 - threshold)))
 
 
-def _across(least: int):
-    """Pairs of a block's members that stand in different zones and whose signatures may fit."""
+def _active(least: int):
+    """Of a block of movers and one of members: those that stand in different zones and whose signatures may fit."""
     import pandas as pd
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        movers, stay = group[group.mover], group[~group.mover]
-        found = []
-        if len(movers) and len(stay):
-            signs, nodes, parts = _signs(stay.sign), stay.node.to_numpy(), stay.part.to_numpy()
+        movers, members = group[group.mover], group[~group.mover]
+        found = set()
+        if len(movers) and len(members):
+            signs, nodes, parts = _signs(members.sign), members.node.to_numpy(), members.part.to_numpy()
             for node, part, sign in zip(movers.node, movers.part, movers.sign, strict=True):
                 fits = ((signs == np.frombuffer(sign, np.uint32)).sum(axis=1) >= least) & (parts != part)
-                found += [(min(node, x), max(node, x)) for x in nodes[fits]]
-        return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
+                if fits.any():
+                    found |= {node, *nodes[fits]}
+        return pd.DataFrame({"zone": group.zone.iloc[0], "node": sorted(found)}, columns=["zone", "node"]).astype("int64")
 
     return run
 
 
-def _joining(threshold: float):
-    """Of a block of movers and one of members: links that join components, on full sets, and no more than join them."""
+def _joining(width: int, threshold: float):
+    """Of a block of movers and one of members: links that join components, and no more than join them."""
     import pandas as pd
 
-    percent = round(100 * threshold)
-
     def run(group: pd.DataFrame) -> pd.DataFrame:
         movers, members = group[group.mover], group[~group.mover]
         found, root = [], {}
@@ -167,22 +169,22 @@ def _joining(threshold: float):
             return part
 
         if len(movers) and len(members):
-            sets = [_unpacked(x) for x in members.packed]
+            exact = _Exact(width, threshold)
+            sets = _hashed(list(members.words), width)
             sizes = np.array([len(x) for x in sets])
             universe, place = np.unique(np.concatenate(sets), return_inverse=True)
             first = np.cumsum(sizes) - sizes
-            nodes, parts = members.node.to_numpy(), members.part.to_numpy()
+            nodes, parts, words = members.node.to_numpy(), members.part.to_numpy(), list(members.words)
             mark = np.zeros(len(universe), np.int32)
-            for node, part, packed in zip(movers.node, movers.part, movers.packed, strict=True):
-                own = _unpacked(packed)
+            for node, part, spelled, own in zip(movers.node, movers.part, movers.words, _hashed(list(movers.words), width), strict=True):
                 at = np.searchsorted(universe, own)
                 at = at[(at < len(universe)) & (universe[np.minimum(at, len(universe) - 1)] == own)]
                 mark[at] = 1
                 both = np.add.reduceat(mark[place], first)
                 mark[at] = 0
-                for j in np.flatnonzero((100 * both >= percent * (len(own) + sizes - both)) & (parts != part)):
+                for j in np.flatnonzero(exact.alike(both, len(own), sizes) & (parts != part)):
                     p, q = top(part), top(int(parts[j]))
-                    if p != q:
+                    if p != q and exact.linked(node, spelled, int(nodes[j]), words[j]):
                         root[max(p, q)] = min(p, q)
                         found.append((node, nodes[j]))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
@@ -190,42 +192,77 @@ def _joining(threshold: float):
     return run
 
 
-def _sets(nodes: DataFrame, classes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """(node, n, packed): the full shingle sets of the classes in nodes (node), as a table."""
-    wanted = nodes.join(classes, "node").select("node", "set_id", F.col("first.doc_id").alias("_doc"), F.col("first.text_hash").alias("_hash"))
-    found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_doc"]) & (texts["text_hash"] == wanted["_hash"])).select("node", "set_id", "text")
-    return materialize(found.mapInArrow(_packed_sets(width), "node long, n long, packed binary"))
+def _sets(nodes: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, words): the words of the classes in nodes (node), each once, as a table."""
+    wanted = nodes.join(classes, "node").select("node", "name", F.col("first.doc_id").alias("_doc"), F.col("first.text_hash").alias("_hash"))
+    found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_doc"]) & (texts["text_hash"] == wanted["_hash"])).select("node", "name", "text")
+    return materialize(found.mapInArrow(_words, "node long, words binary").groupBy("node").agg(F.first("words").alias("words")))
+
+
+def _dealt(members: DataFrame, load: Column, most: int) -> DataFrame:
+    """members (zone, part, node, ...) as blocks of movers against blocks of all: rows with row, column and mover.
 
+    Movers are those outside a zone's largest part. However large a zone is, what stands under one (zone, row, column)
+    has about twice the load `most`, or is one member; of each pair in different parts one is a mover that meets the other.
+    """
+    sizes = members.groupBy("zone", "part").agg(F.sum(load).alias("_n")).groupBy("zone").agg(F.max_by("part", F.struct("_n", "part")).alias("_pivot"), F.sum("_n").alias("_all"), F.max("_n").alias("_most"))
+    sized = members.join(sizes, "zone")
+    side = lambda n: F.greatest(F.lit(1), F.ceil(n / most)).cast("int")
+    blocks, movers = side(F.col("_all")), side(F.col("_all") - F.col("_most"))
+    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    others = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    stay = sized.select(*members.columns, F.lit(False).alias("mover"), own(blocks).alias("column"), others(movers).alias("row"))
+    move = sized.where(F.col("part") != F.col("_pivot")).select(*members.columns, F.lit(True).alias("mover"), others(blocks).alias("column"), own(movers).alias("row"))
+    return stay.union(move)
+
+
+def _star(width: int, threshold: float):
+    """Links of a star's centre with these of its other classes."""
+    import pandas as pd
 
-def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) of classes whose full shingle sets are alike enough, as a table."""
-    sets = _sets(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), classes, texts, width)
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("packed").alias("pa"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("packed").alias("pb"))
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "na", "nb", "pa", "pb")
-    links = materialize(joined.mapInArrow(_verified(threshold), "a long, b long").distinct())
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        centre, others = group[group.center], group[~group.center]
+        found = []
+        if len(centre) and len(others):
+            exact = _Exact(width, threshold)
+            b, b_words = int(centre.node.iloc[0]), centre.words.iloc[0]
+            held = _hashed([b_words], width)[0]
+            for a, a_words, own in zip(others.node, others.words, _hashed(list(others.words), width), strict=True):
+                if exact.alike(len(np.intersect1d(own, held, assume_unique=True)), len(own), len(held)) and exact.linked(a, a_words, b, b_words):
+                    found.append((a, b))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _star_links(stars: DataFrame, classes: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose sets are alike enough, as a table; a centre b with many others has several tasks."""
+    sets = _sets(stars.select(F.col("a").alias("node")).union(stars.select(F.col("b").alias("node"))).distinct(), classes, texts)
+    sized = stars.join(classes.select(F.col("node").alias("a"), "n_shingles"), "a")
+    chunks = sized.groupBy("b").agg(F.ceil(F.sum(F.col("n_shingles") + SET_LOAD) / SHINGLES).cast("int").alias("_chunks"))
+    others = stars.join(chunks, "b").select("b", F.pmod(F.xxhash64("a"), F.col("_chunks")).cast("int").alias("chunk"), F.col("a").alias("node"), F.lit(False).alias("center"))
+    centres = chunks.select("b", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("chunk"), F.col("b").alias("node"), F.lit(True).alias("center"))
+    links = materialize(others.union(centres).join(sets, "node").groupBy("b", "chunk").applyInPandas(_star(width, threshold), "a long, b long"))
     release(sets)
     return links
 
 
 def _zone_links(zones: DataFrame, classes: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
-    """Links that join the components (part) of each zone's classes (zone, part, node)."""
-    sizes = zones.groupBy("zone", "part").agg(F.count("node").alias("n")).groupBy("zone").agg(F.max_by("part", F.struct("n", "part")).alias("_pivot"), F.sum("n").alias("_n"), F.max("n").alias("_most"))
-    dealt = zones.join(sizes, "zone").join(_sets(zones.select("node").distinct(), classes, texts, width), "node")
-    side = lambda n: F.greatest(F.lit(1), F.ceil(n / SIDE)).cast("int")
-    blocks, movers = side(F.col("_n")), side(F.col("_n") - F.col("_most"))
-    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    others = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    members = dealt.select("zone", others(movers).alias("row"), own(blocks).alias("column"), "node", "part", "packed", F.lit(False).alias("mover"))
-    moving = dealt.where(F.col("part") != F.col("_pivot")).select("zone", own(movers).alias("row"), others(blocks).alias("column"), "node", "part", "packed", F.lit(True).alias("mover"))
-    return materialize(members.union(moving).groupBy("zone", "row", "column").applyInPandas(_joining(threshold), "a long, b long").distinct())
+    """Links that join the parts of each zone's classes (zone, part, node), as a table."""
+    sets = _sets(zones.select("node").distinct(), classes, texts)
+    members = zones.join(classes.select("node", "n_shingles"), "node").select("zone", "part", "node", "n_shingles")
+    blocks = _dealt(members, F.col("n_shingles") + SET_LOAD, SHINGLES).drop("n_shingles").join(sets, "node")
+    links = materialize(blocks.groupBy("zone", "row", "column").applyInPandas(_joining(width, threshold), "a long, b long").distinct())
+    release(sets)
+    return links
 
 
+@tidy
 def near_duplicates(docs: DataFrame, width: int = 4, threshold: float = 0.8) -> DataFrame:
     """doc_id, text_hash, part, n_shingles, component_id, kept of every row of docs (doc_id, text); part numbers the group."""
     texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
-    rows = materialize(texts.mapInArrow(_summaries(width), "doc_id long, text_hash long, set_id binary, n_shingles long, sign binary"))
-    named = rows.where("set_id is not null").groupBy("set_id").agg(F.first("sign", ignorenulls=True).alias("sign"), F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    rows = materialize(texts.mapInArrow(_summaries(width), "doc_id long, text_hash long, name binary, n_shingles long, sign binary"))
+    named = rows.where("name is not null").groupBy("name").agg(F.first("sign", ignorenulls=True).alias("sign"), F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("n_shingles").alias("n_shingles"))
     classes = materialize(named.withColumn("node", F.monotonically_increasing_id()))
 
     width_bytes = 4 * ROWS
@@ -239,8 +276,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, threshold: float = 0.8) ->
     stars = buckets.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
     fits = stars.join(signs.toDF("a", "sa"), "a").join(signs.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_agreement, "a long, b long, same long").where(F.col("same") >= least)
     fits = materialize(fits)
-    best = materialize(fits.groupBy("a").agg(F.max_by("b", F.struct("same", "b")).alias("b")))
-    links = _links(best, classes, texts, width, threshold)
+    best = fits.groupBy("a").agg(F.max_by("b", F.struct("same", "b")).alias("b"))
+    links = _star_links(materialize(best), classes, texts, width, threshold)
     parts = materialize(components(links))
 
     of = lambda name: parts.select(F.col("node").alias(name), F.col("component").alias(f"_{name}"))
@@ -253,42 +290,47 @@ def near_duplicates(docs: DataFrame, width: int = 4, threshold: float = 0.8) ->
         inside = zones.select("node", "zone")
         zone = materialize(zone.join(inside.select("node"), "node", "left_anti").union(inside))
         parts = materialize(components(links))
+    release(fits, ties)
+
+    placed = buckets.join(zone, "node", "left").select(F.col("band").alias("zone"), "node", F.coalesce("zone", "node").alias("part"))
+    mixed = placed.groupBy("zone").agg(F.min("part").alias("_one"), F.max("part").alias("_other")).where("_one <> _other").select("zone")
+    members = materialize(placed.join(mixed, "zone"))
+    active = _dealt(members, F.lit(1), BLOCK).join(signs, "node").groupBy("zone", "row", "column").applyInPandas(_active(least), "zone long, node long").distinct()
+    if not (active := materialize(active)).isEmpty():
+        split = active.join(parts, "node", "left").select("zone", F.coalesce("component", "node").alias("part"), "node")
+        links = links.union(_zone_links(materialize(split), classes, texts, width, threshold))
+        parts = materialize(components(links))
+    release(buckets, members)
 
-    placed = buckets.join(zone, "node", "left").select("band", "node", F.coalesce("zone", "node").alias("part"))
-    mixed = placed.groupBy("band").agg(F.min("part").alias("_one"), F.max("part").alias("_other"), F.count("node").alias("_n")).where("_one <> _other")
-    members = placed.join(mixed, "band").join(signs, "node")
-    blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
-    mover = F.col("part") != F.col("_one")
-    stay = members.select("band", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), "node", "part", "sign", F.lit(False).alias("mover"))
-    move = members.where(mover).select("band", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "node", "part", "sign", F.lit(True).alias("mover"))
-    across = materialize(stay.union(move).groupBy("band", "block").applyInPandas(_across(least), "a long, b long").distinct())
-    if not across.isEmpty():
-        more = _links(across, classes, texts, width, threshold)
-        if not more.isEmpty():
-            parts = materialize(components(links.union(more)))
-
-    ids = classes.join(parts, "node", "left").select("set_id", "least_id", F.coalesce("component", "node").alias("_part"))
+    ids = classes.join(parts, "node", "left").select("name", "least_id", F.coalesce("component", "node").alias("_part"))
     joined = ids.join(parts.select(F.col("component").alias("_part")).distinct(), "_part").groupBy("_part").agg(F.min("least_id").alias("_id"))
-    ids = ids.join(joined, "_part", "left").select("set_id", F.coalesce("_id", "least_id").alias("component_id"), F.col("_part").alias("part"))
-    done = rows.join(ids, "set_id", "left").withColumn("component_id", F.when(F.col("part").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")))
+    ids = ids.join(joined, "_part", "left").select("name", F.coalesce("_id", "least_id").alias("component_id"), F.col("_part").alias("part"))
+    done = rows.join(ids, "name", "left").withColumn("component_id", F.when(F.col("part").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")))
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
     return done.select("doc_id", "text_hash", "part", "n_shingles", "component_id", kept.alias("kept"))
 
 
+@tidy
 def without_near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
     """One document of each group of near copies: the one with the least id, once even where its row is repeated; of a group
-    without ids any one."""
+    without ids any one. Columns of docs are kept as they are."""
     found = materialize(near_duplicates(docs.select("doc_id", "text"), width, threshold))
-    gone = found.where("not kept").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
-    hashed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    left = hashed.join(gone, hashed["doc_id"].eqNullSafe(gone["_doc"]) & (hashed["_text_hash"] == gone["_hash"]), "left_anti")
+    keys = ["doc", "hash"]
+    named = lambda df, *more: df.select(F.col("doc_id").alias("doc"), F.col("text_hash").alias("hash"), *more)
+    left = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.col("doc_id").alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+
+    def same(other: DataFrame) -> Column:
+        return left["doc"].eqNullSafe(other["doc"]) & (left["hash"] == other["hash"])
+
+    gone = named(found.where("not kept")).distinct()
+    left = left.join(gone, same(gone), "left_anti")
     kept = found.where("kept and part is not null")
     again = kept.groupBy("part").count().where("count > 1").select("part")
     if not again.isEmpty():  # repeated rows, or groups without any id
-        marked = kept.join(again, "part").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("part").alias("_part")).distinct()
-        same = left["doc_id"].eqNullSafe(marked["_doc"]) & (left["_text_hash"] == marked["_hash"])
-        left = left.join(marked, same, "left_anti").unionByName(left.join(marked, same).dropDuplicates(["_part"]).select(*left.columns))
-    return left.select(*[f"`{c}`" for c in docs.columns])
+        marked = named(kept.join(again, "part"), "part").distinct()
+        ones = left.join(marked, same(marked)).select("row", left["doc"], left["hash"], "part").groupBy("part").agg(F.first("row").alias("row"))
+        left = left.join(marked.select(*keys), same(marked), "left_anti").select("row").unionAll(ones.select("row"))
+    return left.select("row.*")
 
 
 def op6_minhash(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ the merge procedure itself. Signs without a piece become byte pieces.
 
 The model file is a parameter, read on the driver and sent to the tasks (half a MB). Models with a normaliser or of another
 kind are refused. A null text has no ids, like an empty one; texts of any length are encoded whole; repeated rows are
-encoded each on its own; an empty table gives an empty table. Other columns pass through; the operator's own (ids,
+encoded each on its own; segments are told apart by their bytes, hashes only find them; an empty table gives an empty table. Other columns pass through; the operator's own (ids,
 n_tokens, decoded) replace equal names. A lower one eighth block (U+2581) reads as a blank, as in the format itself.
 """
 
@@ -90,11 +90,16 @@ class Model:
         packed = np.frombuffer(b"".join(s.ljust(8 * self.keys, b"\0") for s in spelled), ">u8").reshape(-1, self.keys)
         self.packed = packed.astype(np.uint64)
         self.memo_key, self.memo_value = np.full(_MEMO, -1, np.int64), np.zeros(_MEMO, bool)
-        self.nothing = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
-        self.seen, self.seen_at, self.seen_n, self.seen_ids = self.nothing
+        self.forget()
         raw = [bytes([int(p[3:5], 16)]) if k == 6 else p.replace(BLANK, " ").encode() if k == 1 else b"" for p, k in zip(self.pieces, kinds, strict=True)]
         self.raw, self.raw_at = np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])]
 
+    def forget(self) -> None:
+        """Empty the memory of segments: their hashes in order, where their ids and bytes are, and these."""
+        self.seen = np.zeros(0, np.uint64)
+        self.seen_at, self.seen_n, self.spelled_at, self.spelled_n = (np.zeros(0, np.int64) for _ in range(4))
+        self.seen_ids, self.spelled = np.zeros(0, np.int32), np.zeros(0, np.uint8)
+
     def adjacent(self, a: int, b: int) -> bool:
         """Whether merging the signs of both tokens gives these two; a == start: whether b's signs give b."""
         if a == self.other or b == self.other:
@@ -222,6 +227,18 @@ class Model:
             here = came[here]
         return out, out_at
 
+    def distinct(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of the different segments in ascending order, a place of each, and every segment's number among them."""
+        keys, first, back = np.unique(span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+        size = ends - starts
+        if not _same(raw, starts, size, raw, starts[first[back]], size[first[back]]).all():  # one hash of several segments
+            numbers: dict[bytes, int] = {}
+            back = np.array([numbers.setdefault(raw[a:b].tobytes(), len(numbers)) for a, b in zip(starts, ends, strict=True)])
+            first = np.unique(back, return_index=True)[1]
+            keys = np.arange(len(first), dtype=np.uint64)
+            self.forget()
+        return keys, first, back
+
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a string column in turn, and the n + 1 offsets of theirs."""
         import pyarrow as pa
@@ -240,12 +257,15 @@ class Model:
         cut[at[:-1][np.diff(at) > 0]] = True
         starts = np.flatnonzero(cut)
         ends = np.r_[starts[1:], len(raw)]
-        hashes = span_hashes(raw, starts, ends)
-        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        distinct, first, back = self.distinct(raw, starts, ends)
         if len(self.seen) > KNOWN:
-            self.seen, self.seen_at, self.seen_n, self.seen_ids = self.nothing
+            self.forget()
         spot = np.minimum(np.searchsorted(self.seen, distinct), max(0, len(self.seen) - 1))
         fresh = self.seen[spot] != distinct if len(self.seen) else np.ones(len(distinct), bool)
+        known = spot[~fresh]
+        if not _same(raw, starts[first[~fresh]], (ends - starts)[first[~fresh]], self.spelled, self.spelled_at[known], self.spelled_n[known]).all():
+            self.forget()  # two segments of one hash: the new one takes its place
+            fresh[:] = True
         size = (ends - starts)[first[fresh]]
         seg_at = np.r_[0, np.cumsum(size)]
         take = np.arange(seg_at[-1]) - np.repeat(seg_at[:-1], size) + np.repeat(starts[first[fresh]], size)
@@ -258,11 +278,11 @@ class Model:
             made.append(own_at[1:] + made[-1][-1])
             i = j
         ids, id_at = np.concatenate(parts), np.concatenate(made)
-        base = len(self.seen_ids)
-        self.seen_ids = np.r_[self.seen_ids, ids]
         place = np.searchsorted(self.seen, distinct[fresh])
         self.seen = np.insert(self.seen, place, distinct[fresh])
-        self.seen_at, self.seen_n = np.insert(self.seen_at, place, id_at[:-1] + base), np.insert(self.seen_n, place, np.diff(id_at))
+        self.seen_at, self.seen_n = np.insert(self.seen_at, place, id_at[:-1] + len(self.seen_ids)), np.insert(self.seen_n, place, np.diff(id_at))
+        self.spelled_at, self.spelled_n = np.insert(self.spelled_at, place, seg_at[:-1] + len(self.spelled)), np.insert(self.spelled_n, place, size)
+        self.seen_ids, self.spelled = np.r_[self.seen_ids, ids], np.r_[self.spelled, text]
         spot = np.searchsorted(self.seen, distinct)[back]
         count = self.seen_n[spot]
         flat = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.seen_at[spot], count)
@@ -278,6 +298,17 @@ class Model:
         return [t[1:] if t.startswith(" ") else t for t in texts]
 
 
+def _same(a: np.ndarray, a_at: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """Of pairs of spans of a and b: whether they hold the same bytes."""
+    same = a_size == b_size
+    size = np.where(same, a_size, 0)
+    ends = np.cumsum(size)
+    inside = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size)
+    differ = np.flatnonzero(a[inside + np.repeat(a_at, size)] != b[inside + np.repeat(b_at, size)])
+    same[np.searchsorted(ends, differ, "right")] = False
+    return same
+
+
 def load(path: str = MODEL) -> bytes:
     with open(path, "rb") as file:
         return file.read()

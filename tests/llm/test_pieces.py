@@ -41,3 +41,23 @@ def test_table(spark):
     got = pieces.tokenize(docs, decoded=True).collect()
     assert sorted((r.doc_id or 0, r.n_tokens, r.decoded) for r in got) == [(0, 0, ""), (1, 3, "hello world"), (2, 0, ""), (2, 0, "")]
     assert pieces.tokenize(docs.limit(0)).count() == 0
+
+
+def thue_morse(size, start):
+    return "".join("ab"[(bin(i).count("1") + start) % 2] for i in range(size))
+
+
+def test_long_words_that_a_power_of_two_cannot_part():
+    check([thue_morse(2048, 0), thue_morse(2048, 1), thue_morse(1024, 0), thue_morse(1024, 1)])
+
+
+def test_equal_hashes_of_different_segments(monkeypatch):
+    few = lambda raw, starts, ends: (ends - starts).astype("uint64") % 3
+    monkeypatch.setattr(pieces, "span_hashes", few)
+    MODEL.forget()
+    check(["hello world of many words", "and other words of the same size", "world", "hello"])
+    check(["there where other"])
+    check(["other where there"])
+    check(["there"])
+    check(["where"])
+    MODEL.forget()
