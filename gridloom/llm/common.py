@@ -21,13 +21,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def running_sums(lengths: Column) -> Column:
-    """Sums of the elements before each place of an array of bigint, in near linear time: blocks of 64, then inside them."""
+def running_sums(lengths: Column, add: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
+    """Sums (or another running value, from 0) of the elements before each place of an array of bigint, in near linear
+    time: blocks of 64, then inside them."""
     size = 64
     zero = F.array().cast("array<bigint>")
 
     def inside(part: Column, base: Column) -> Column:
-        grown = F.aggregate(part, F.struct(base.alias("at"), zero.alias("seen")), lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["seen"], F.array(acc["at"])).alias("seen")))
+        grown = F.aggregate(part, F.struct(base.alias("at"), zero.alias("seen")), lambda acc, x: F.struct(add(acc["at"], x).alias("at"), F.concat(acc["seen"], F.array(acc["at"])).alias("seen")))
         return grown
 
     def blocks(arr: Column) -> Column:
