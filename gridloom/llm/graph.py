@@ -30,11 +30,12 @@ def components(edges: DataFrame) -> DataFrame:
     Edges with a null end or two equal ends link nothing. No group of neighbours is ever gathered: each step is a
     grouped minimum and a join, whose hot keys Spark may split.
     """
+    mark_of = lambda df: df.agg(F.count("a"), F.bit_xor(F.xxhash64("a", "b"))).first()
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
+    seen = mark_of(edges)
     while True:
         after = materialize(_small_star(_large_star(edges)))
-        mark = after.agg(F.count("a"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        mark = mark_of(after)
         release(edges)
         edges = after
         if mark == seen or not mark[0]:

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -149,8 +150,9 @@ def _active(least: int):
             for node, part, sign in zip(movers.node, movers.part, movers.sign, strict=True):
                 fits = ((signs == np.frombuffer(sign, np.uint32)).sum(axis=1) >= least) & (parts != part)
                 if fits.any():
-                    found |= {node, *nodes[fits]}
-        return pd.DataFrame({"zone": group.zone.iloc[0], "node": sorted(found)}, columns=["zone", "node"]).astype("int64")
+                    found |= {(part, node), *zip(parts[fits], nodes[fits], strict=True)}
+        part, node = zip(*sorted(found), strict=True) if found else ((), ())
+        return pd.DataFrame({"zone": group.zone.iloc[0], "part": part, "node": node}, columns=["zone", "part", "node"]).astype("int64")
 
     return run
 
@@ -202,18 +204,24 @@ def _sets(nodes: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
 def _dealt(members: DataFrame, load: Column, most: int) -> DataFrame:
     """members (zone, part, node, ...) as blocks of movers against blocks of all: rows with row, column and mover.
 
-    Movers are those outside a zone's largest part. However large a zone is, what stands under one (zone, row, column)
-    has about twice the load `most`, or is one member; of each pair in different parts one is a mover that meets the other.
+    Movers are those outside a zone's largest part; a zone of one part has none and is left out. However large a zone is,
+    what stands under one (zone, row, column) has about twice the load `most`, or is one member; of each pair in different
+    parts one is a mover that meets the other.
     """
-    sizes = members.groupBy("zone", "part").agg(F.sum(load).alias("_n")).groupBy("zone").agg(F.max_by("part", F.struct("_n", "part")).alias("_pivot"), F.sum("_n").alias("_all"), F.max("_n").alias("_most"))
-    sized = members.join(sizes, "zone")
+    sizes = members.groupBy("zone", "part").agg(F.sum(load).alias("_n")).groupBy("zone").agg(F.max_by("part", F.struct("_n", "part")).alias("_pivot"), F.sum("_n").alias("_all"), F.max("_n").alias("_most"), F.count("part").alias("_parts"))
+    sized = members.join(sizes.where("_parts > 1"), "zone")
     side = lambda n: F.greatest(F.lit(1), F.ceil(n / most)).cast("int")
     blocks, movers = side(F.col("_all")), side(F.col("_all") - F.col("_most"))
     own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    others = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    stay = sized.select(*members.columns, F.lit(False).alias("mover"), own(blocks).alias("column"), others(movers).alias("row"))
-    move = sized.where(F.col("part") != F.col("_pivot")).select(*members.columns, F.lit(True).alias("mover"), others(blocks).alias("column"), own(movers).alias("row"))
-    return stay.union(move)
+    places = lambda mover, row, column: F.struct(F.lit(mover).alias("mover"), row.cast("int").alias("row"), column.cast("int").alias("column"))
+    stay = F.transform(F.sequence(F.lit(0), movers - 1), lambda k: places(False, k, own(blocks)))
+    move = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: places(True, own(movers), k))
+    return sized.select(*members.columns, F.explode(F.when(F.col("part") == F.col("_pivot"), stay).otherwise(F.concat(stay, move))).alias("_at")).select(*members.columns, "_at.*")
+
+
+def _grouped(blocks: DataFrame, *keys: str):
+    """Grouped by keys over all shuffle partitions, however few bytes they have: a task's work here is not its bytes."""
+    return blocks.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).groupBy(*keys)
 
 
 def _star(width: int, threshold: float):
@@ -242,7 +250,7 @@ def _star_links(stars: DataFrame, classes: DataFrame, texts: DataFrame, width: i
     chunks = sized.groupBy("b").agg(F.ceil(F.sum(F.col("n_shingles") + SET_LOAD) / SHINGLES).cast("int").alias("_chunks"))
     others = stars.join(chunks, "b").select("b", F.pmod(F.xxhash64("a"), F.col("_chunks")).cast("int").alias("chunk"), F.col("a").alias("node"), F.lit(False).alias("center"))
     centres = chunks.select("b", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("chunk"), F.col("b").alias("node"), F.lit(True).alias("center"))
-    links = materialize(others.union(centres).join(sets, "node").groupBy("b", "chunk").applyInPandas(_star(width, threshold), "a long, b long"))
+    links = materialize(_grouped(others.union(centres).join(sets, "node"), "b", "chunk").applyInPandas(_star(width, threshold), "a long, b long"))
     release(sets)
     return links
 
@@ -252,7 +260,7 @@ def _zone_links(zones: DataFrame, classes: DataFrame, texts: DataFrame, width: i
     sets = _sets(zones.select("node").distinct(), classes, texts)
     members = zones.join(classes.select("node", "n_shingles"), "node").select("zone", "part", "node", "n_shingles")
     blocks = _dealt(members, F.col("n_shingles") + SET_LOAD, SHINGLES).drop("n_shingles").join(sets, "node")
-    links = materialize(blocks.groupBy("zone", "row", "column").applyInPandas(_joining(width, threshold), "a long, b long").distinct())
+    links = materialize(_grouped(blocks, "zone", "row", "column").applyInPandas(_joining(width, threshold), "a long, b long").distinct())
     release(sets)
     return links
 
@@ -282,25 +290,23 @@ def near_duplicates(docs: DataFrame, width: int = 4, threshold: float = 0.8) ->
 
     of = lambda name: parts.select(F.col("node").alias(name), F.col("component").alias(f"_{name}"))
     ties = fits.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).where("a <> b").distinct()
-    zone = parts.withColumnRenamed("component", "zone")
+    zone, more = parts.withColumnRenamed("component", "zone"), []
     if not (ties := materialize(ties)).isEmpty():
-        held = materialize(components(ties)).select(F.col("node").alias("part"), F.col("component").alias("zone"))
+        held = components(ties).select(F.col("node").alias("part"), F.col("component").alias("zone"))
         zones = materialize(held.join(parts, F.col("part") == F.col("component"), "left").select("zone", "part", F.coalesce("node", "part").alias("node")))
-        links = links.union(_zone_links(zones, classes, texts, width, threshold))
+        more.append(_zone_links(zones, classes, texts, width, threshold))
         inside = zones.select("node", "zone")
-        zone = materialize(zone.join(inside.select("node"), "node", "left_anti").union(inside))
-        parts = materialize(components(links))
-    release(fits, ties)
-
-    placed = buckets.join(zone, "node", "left").select(F.col("band").alias("zone"), "node", F.coalesce("zone", "node").alias("part"))
-    mixed = placed.groupBy("zone").agg(F.min("part").alias("_one"), F.max("part").alias("_other")).where("_one <> _other").select("zone")
-    members = materialize(placed.join(mixed, "zone"))
-    active = _dealt(members, F.lit(1), BLOCK).join(signs, "node").groupBy("zone", "row", "column").applyInPandas(_active(least), "zone long, node long").distinct()
+        zone = zone.join(inside.select("node"), "node", "left_anti").union(inside)
+    release(fits)
+
+    # classes of one zone have met; a bucket's members of different zones meet here
+    members = materialize(buckets.join(zone, "node", "left").select(F.col("band").alias("zone"), "node", F.coalesce("zone", "node").alias("part")))
+    release(buckets)
+    active = _grouped(_dealt(members, F.lit(1), BLOCK).join(signs, "node"), "zone", "row", "column").applyInPandas(_active(least), "zone long, part long, node long").distinct()
     if not (active := materialize(active)).isEmpty():
-        split = active.join(parts, "node", "left").select("zone", F.coalesce("component", "node").alias("part"), "node")
-        links = links.union(_zone_links(materialize(split), classes, texts, width, threshold))
-        parts = materialize(components(links))
-    release(buckets, members)
+        more.append(_zone_links(active, classes, texts, width, threshold))
+    if more:
+        parts = materialize(components(reduce(DataFrame.union, more, links)))
 
     ids = classes.join(parts, "node", "left").select("name", "least_id", F.coalesce("component", "node").alias("_part"))
     joined = ids.join(parts.select(F.col("component").alias("_part")).distinct(), "_part").groupBy("_part").agg(F.min("least_id").alias("_id"))
