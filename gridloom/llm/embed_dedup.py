@@ -1,16 +1,20 @@
 """Near-duplicate vectors by an inverted multi-index.
 
 The two halves of every unit vector are coded by codebooks of their own (k-means on a bounded sample), and the pair of
-codes is a cell of the product grid. A vector visits cells in the order of the least distance that a vector there can
-have, both halves taken in ascending sequence, and stops where that distance exceeds what the threshold allows: so
-it reaches every vector it must be linked with (target recall 1), and each is verified by its cosine in doubles.
-
-Vectors are compared within a label. Equal vectors of a label form one class with a weight, so copies never meet in
-pairs. Neighbouring cells share a block of BLOCK classes and a crowded cell has several; a vector is sent once to each
-block that it visits, and compared with all of it. A block returns counts and a spanning forest of its links,
-not the pairs. Vectors that are null, empty, zero or hold null or non-finite parts, or without a label, link with
-nothing and stand alone; so do vectors of different lengths with each other. A null vec_id is a vector without a name.
-Rows that repeat a vec_id are vectors of their own. An empty table gives an empty table. Other columns are not read.
+codes is a cell of the product grid. A vector visits cells by multi-sequence traversal: of the two sequences of codes,
+each in ascending order of the least squared distance that a vector there can have, the pair with the least sum is taken
+next. Target recall is 1, so the traversal ends where that sum exceeds what the threshold allows: all vectors that it must
+be linked with have been reached, and each is verified by its cosine in doubles.
+
+Vectors are compared within a label (and length). Equal vectors form one class with a weight, so copies never meet in
+pairs. Cells that are near each other share a tile; a label has about a tile for every BLOCK classes, and a small one needs
+neither tiles nor codes. A vector is sent once to each visited tile from its own on. A tile's members are dealt into parts
+of about BLOCK, its visitors into chunks of about BLOCK, and a task holds one part and one chunk, however large a label
+is or however little structure its vectors have. It returns counts and a spanning forest of its links, not the pairs.
+
+Vectors that are null, empty, zero or hold null or non-finite parts, or without a label, link with nothing and stand
+alone; so do vectors of different lengths with each other. A null vec_id is a vector without a name. Rows that repeat a
+vec_id are vectors of their own. An empty table gives an empty table. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,9 +22,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from gridloom.llm.common import materialize, read_table
+from gridloom.llm.common import materialize, read_table, release, tidy
 from gridloom.llm.graph import components
 
 CODES, SAMPLE, ROUNDS, BLOCK = 24, 8192, 12, 2000
@@ -28,6 +31,8 @@ CODES, SAMPLE, ROUNDS, BLOCK = 24, 8192, 12, 2000
 
 def codebook(x: np.ndarray, codes: int = CODES, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
     """k-means centres; fewer where there are fewer different rows."""
+    if not x.shape[1]:
+        return np.zeros((1, 0))
     rng = np.random.default_rng(seed)
     x = np.unique(x, axis=0)
     centres = x[rng.permutation(len(x))[:codes]]
@@ -42,78 +47,119 @@ def codebook(x: np.ndarray, codes: int = CODES, rounds: int = ROUNDS, seed: int
 
 def _bounds(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each row's own code, and the squared least distance from it to any vector of each code."""
-    square = np.maximum(((x[:, None, :] - centres[None]) ** 2).sum(2), 0) if len(x) * centres.size < 1 << 24 else np.maximum((x**2).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1), 0)
+    square = np.column_stack([((x - c) ** 2).sum(1) for c in centres])
     own = square.argmin(1)
-    apart = np.sqrt(((centres[own][:, None, :] - centres[None]) ** 2).sum(2)) if len(x) * centres.size < 1 << 24 else np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(2))[own]
+    apart = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(2))[own]
     gap = (square - square[np.arange(len(x)), own][:, None]) / np.where(apart > 0, 2 * apart, 1)
     return own, np.maximum(gap, 0) ** 2
 
 
-def visited(a: np.ndarray, b: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, first code and second code of every cell within reach: for each first code in ascending order of its bound the
-    second codes in theirs, while the sum of both allows."""
+def traversal(a: np.ndarray, b: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first code and second code of every cell within reach, each row's in ascending order of the sum of both bounds.
+
+    Every row keeps, for each place of its first sequence, the place of the second one that comes next to it; a step takes
+    the least sum of each row and moves that place on, and a row whose least sum is out of reach has ended.
+    """
     order_a, order_b = a.argsort(1), b.argsort(1)
     sorted_a, sorted_b = np.take_along_axis(a, order_a, 1), np.take_along_axis(b, order_b, 1)
+    sorted_b = np.column_stack([sorted_b, np.full(len(b), np.inf)])
+    following = np.zeros(a.shape, np.int64)
+    live = np.arange(len(a))
     rows, first, second = [], [], []
-    for i in range(a.shape[1]):
-        left = reach - sorted_a[:, i]
-        if not (left >= 0).any():
-            break
-        row, j = np.nonzero(sorted_b <= left[:, None])
-        rows.append(row)
-        first.append(order_a[row, i])
-        second.append(order_b[row, j])
-    return np.concatenate(rows), np.concatenate(first), np.concatenate(second)
+    while len(live):
+        sums = sorted_a[live] + np.take_along_axis(sorted_b[live], following[live], 1)
+        i = sums.argmin(1)
+        near = sums[np.arange(len(live)), i] <= reach
+        live, i = live[near], i[near]
+        j = following[live, i]
+        rows.append(live)
+        first.append(order_a[live, i])
+        second.append(order_b[live, j])
+        following[live, i] += 1
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, first, second))
+
+
+class Grid:
+    """Both codebooks, and the cells' ranks along a curve that keeps near ones together."""
+
+    def __init__(self, sample: np.ndarray) -> None:
+        self.half = -(-sample.shape[1] // 2)
+        self.books = [codebook(sample[:, : self.half]), codebook(sample[:, self.half :])]
+        spread = []
+        for book in self.books:
+            along = book @ np.linalg.svd(book - book.mean(0), full_matrices=False)[2][0] if len(book) > 1 else np.zeros(1)
+            spread.append(along.argsort().argsort())
+        bits = range(max(map(len, self.books)).bit_length())
+        curve = sum(((spread[0][:, None] >> k & 1) << 2 * k + 1) + ((spread[1][None] >> k & 1) << 2 * k) for k in bits)
+        self.rank = curve.ravel().argsort().argsort()
+
+    def tile(self, cell: np.ndarray, tiles: np.ndarray) -> np.ndarray:
+        return self.rank[cell] * np.minimum(tiles, len(self.rank)) // len(self.rank)
+
+    def bounds(self, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [_bounds(x[:, : self.half], self.books[0]), _bounds(x[:, self.half :], self.books[1])]
+
+    def own(self, x: np.ndarray, tiles: np.ndarray) -> np.ndarray:
+        (a, _), (b, _) = self.bounds(x)
+        return self.tile(a * len(self.books[1]) + b, tiles)
+
+    def visits(self, x: np.ndarray, tiles: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and the tiles that they visit, each once."""
+        (_, a), (_, b) = self.bounds(x)
+        row, first, second = traversal(a, b, reach)
+        met = np.unique(np.column_stack([row, self.tile(first * len(self.books[1]) + second, tiles[row])]), axis=0)
+        return met[:, 0], met[:, 1]
+
+
+def _units(column) -> np.ndarray:
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def _units(column, dim: int) -> np.ndarray:
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-    return x / np.sqrt((x * x).sum(1))[:, None]
+def _slices(batches, grids: dict[int, Grid]):
+    """Small batches with the rows, by length, that have more than one tile."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2048):
+            part = batch.slice(at, 2048)
+            dims, tiles = part.column("dim").to_numpy(), part.column("tiles").to_numpy()
+            yield part, tiles, [(dim, np.flatnonzero((dims == dim) & (tiles > 1))) for dim in grids]
 
 
-def _coded(dim: int, books: list[np.ndarray]):
-    """Every class with its own cell."""
+def _coded(grids: dict[int, Grid]):
+    """Every class with its own tile."""
 
     def run(batches):
         import pyarrow as pa
 
-        half = dim // 2
-        for batch in batches:
-            x = _units(batch.column("embedding"), dim)
-            cell = _bounds(x[:, :half], books[0])[0] * len(books[1]) + _bounds(x[:, half:], books[1])[0]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int64())], [*batch.schema.names, "cell"])
+        for part, tiles, by_dim in _slices(batches, grids):
+            own = np.zeros(part.num_rows, np.int64)
+            for dim, rows in by_dim:
+                if len(rows):
+                    own[rows] = grids[dim].own(_units(part.column("embedding").take(pa.array(rows))), tiles[rows])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own)], [*part.schema.names, "own"])
 
     return run
 
 
-def _visits(dim: int, books: list[np.ndarray], reach: float):
-    """Every class with each block that holds a cell that it visits; cells holds those of its label with their blocks."""
+def _visits(grids: dict[int, Grid], reach: float):
+    """Every class with each tile from its own on that it visits."""
 
     def run(batches):
         import pyarrow as pa
 
-        half = dim // 2
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                x = _units(part.column("embedding"), dim)
-                row, first, second = visited(_bounds(x[:, :half], books[0])[1], _bounds(x[:, half:], books[1])[1], reach)
-                cell = first * len(books[1]) + second
-                labels = part.column("label").to_numpy()
-                rows, blocks = [], []
-                for label in np.unique(labels):
-                    one = part.column("cells")[int(np.flatnonzero(labels == label)[0])].as_py()
-                    start, count = (np.zeros(len(books[0]) * len(books[1]), np.int64) for _ in range(2))
-                    for c in one:
-                        start[c["cell"]], count[c["cell"]] = c["first"], c["blocks"]
-                    own = labels[row] == label
-                    r, c = row[own], cell[own]
-                    n = count[c]
-                    rows.append(np.repeat(r, n))
-                    blocks.append(np.repeat(start[c], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-                met = np.unique(np.column_stack([np.concatenate(rows), np.concatenate(blocks)]), axis=0)
-                take = pa.array(met[:, 0])
-                yield pa.RecordBatch.from_arrays([*(part.column(n).take(take) for n in ("node", "label", "copies", "embedding")), pa.array(met[:, 1])], ["node", "label", "copies", "embedding", "block"])
+        for part, tiles, by_dim in _slices(batches, grids):
+            own = part.column("own").to_numpy()
+            one = np.flatnonzero(tiles <= 1)
+            rows, met = [one], [np.zeros(len(one), np.int64)]
+            for dim, some in by_dim:
+                if len(some):
+                    row, tile = grids[dim].visits(_units(part.column("embedding").take(pa.array(some))), tiles[some], reach)
+                    rows.append(some[row])
+                    met.append(tile)
+            row, tile = np.concatenate(rows), np.concatenate(met)
+            ahead = tile >= own[row]
+            taken = part.take(pa.array(row[ahead]))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(tile[ahead])], [*taken.schema.names, "tile"])
 
     return run
 
@@ -143,12 +189,13 @@ def _compared(threshold: float):
         found = []
         if len(members) and len(queries):
             nodes, weight, x = members.node.to_numpy(), members.copies.to_numpy(), _normed(members.embedding)
-            for at in range(0, len(queries), 1024):
-                part = queries.iloc[at : at + 1024]
-                own = part.node.to_numpy()
+            for at in range(0, len(queries), 512):
+                part = queries.iloc[at : at + 512]
+                own, before = part.node.to_numpy(), (part.own < part.tile).to_numpy()
                 linked = (_normed(part.embedding) @ x.T >= threshold) & (own[:, None] != nodes[None])
-                counts = linked @ weight
+                counts, back = linked @ weight, part.copies.to_numpy()[before] @ linked[before]
                 found += [(int(n), None, int(c)) for n, c in zip(own, counts, strict=True) if c]
+                found += [(int(n), None, int(c)) for n, c in zip(nodes, back, strict=True) if c]  # these do not visit the queries' tile
                 found += [(a, b, 0) for a, b in _forest(linked, own, nodes)]
         a, b, n = zip(*found, strict=True) if found else ((), (), ())
         return pd.DataFrame({"a": pd.array(a, "int64"), "b": pd.array(b, "Int64"), "links": pd.array(n, "int64")})
@@ -156,27 +203,41 @@ def _compared(threshold: float):
     return run
 
 
-def _linked(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
-    """(a, null, links) counts and (a, b, 0) edges of the classes of one vector length."""
-    sample = classes.select("embedding", F.xxhash64("node").alias("_luck")).orderBy("_luck").limit(SAMPLE).select("embedding").collect()
-    x = np.array([r[0] for r in sample], np.float64)
-    x /= np.sqrt((x * x).sum(1))[:, None]
-    half = dim // 2
-    books = [codebook(x[:, :half]), codebook(x[:, half:])]
-    reach = 2 - 2 * threshold + 1e-9
-    held = classes.select("node", "label", "copies", "embedding")
-    members = held.mapInArrow(_coded(dim, books), "node long, label long, copies long, embedding array<float>, cell long")
-    before = Window.partitionBy("label").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = members.groupBy("label", "cell").agg(F.count("node").alias("_n")).withColumn("_s", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    sizes = sizes.select("label", "cell", F.floor(F.col("_s") / BLOCK).alias("first"), (F.floor((F.col("_s") + F.col("_n") - 1) / BLOCK) - F.floor(F.col("_s") / BLOCK) + 1).alias("blocks"))
-    members = members.join(sizes, ["label", "cell"]).withColumn("block", F.col("first") + F.pmod(F.xxhash64("node"), F.col("blocks")))
-    cells = sizes.groupBy("label").agg(F.collect_list(F.struct("cell", "first", "blocks")).alias("cells"))  # CODES^2 at most
-    queries = held.join(cells, "label").mapInArrow(_visits(dim, books, reach), "node long, label long, copies long, embedding array<float>, block long")
-    keys = ["label", "block"]
-    pick = lambda df: df.select(*keys, "node", "copies", "embedding").groupBy(*keys)
-    return pick(members).cogroup(pick(queries)).applyInPandas(_compared(threshold), "a long, b long, links long")
-
-
+def _grids(classes: DataFrame, sizes: DataFrame) -> dict[int, Grid]:
+    """The grid of each vector length that some label has more than a block of, from at most SAMPLE vectors."""
+    grids = {}
+    for (dim,) in sizes.where("tiles > 1").select("dim").distinct().orderBy("dim").collect():
+        sample = classes.where(F.col("dim") == dim).select("embedding", F.xxhash64("node").alias("_luck")).orderBy("_luck").limit(SAMPLE).select("embedding").collect()
+        x = np.array([r[0] for r in sample], np.float64)
+        grids[dim] = Grid(x / np.sqrt((x * x).sum(1))[:, None])
+    return grids
+
+
+def _linked(classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, null, links) counts and (a, b, 0) edges of the classes, as a table."""
+    sizes = materialize(classes.groupBy("label", "dim").agg(F.ceil(F.count("node") / BLOCK).alias("tiles")))
+    grids = _grids(classes, sizes)
+    held = "node long, label long, dim int, copies long, embedding array<float>, tiles long, own long"
+    members = materialize(classes.join(sizes, ["label", "dim"]).select("node", "label", "dim", "copies", "embedding", "tiles").mapInArrow(_coded(grids), held))
+    tile = ["label", "dim", "tile"]
+    parts = members.groupBy("label", "dim", F.col("own").alias("tile")).agg(F.ceil(F.count("node") / BLOCK).alias("parts"))
+    visits = members.mapInArrow(_visits(grids, 2 - 2 * threshold + 1e-9), f"{held}, tile long").drop("tiles")
+    visits = materialize(visits.join(parts, tile).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts"))
+    block = [*tile, "part"]
+    chunks = visits.groupBy(*block).agg(F.ceil(F.count("node") / BLOCK).alias("chunks"))
+    placed = members.withColumnRenamed("own", "tile").join(parts, tile).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    placed = placed.join(chunks, block).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+    asking = visits.join(chunks, block).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")))
+    keys = [*block, "chunk"]
+    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a task's work here is not its bytes
+    left = placed.select(*keys, "node", "copies", "embedding").repartition(n, *keys).groupBy(*keys)
+    right = asking.select(*keys, "own", "node", "copies", "embedding").repartition(n, *keys).groupBy(*keys)
+    found = materialize(left.cogroup(right).applyInPandas(_compared(threshold), "a long, b long, links long"))
+    release(visits, members, sizes)
+    return found
+
+
+@tidy
 def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding, label)."""
     parts = F.transform("embedding", lambda x: x.cast("double"))
@@ -186,13 +247,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     rows = vectors.select("vec_id", F.col("label").cast("long").alias("label"), F.when(valid, F.col("embedding")).alias("embedding"))
     named = rows.where("embedding is not null").groupBy("label", "embedding").agg(F.min("vec_id").alias("least_id"), F.count("label").alias("copies"))
     classes = materialize(named.withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.size("embedding")))
-    found = None
-    for (dim,) in classes.select("dim").distinct().orderBy("dim").collect():
-        own = _linked(classes.where(F.col("dim") == dim), dim, threshold)
-        found = own if found is None else found.union(own)
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], "a long, b long, links long")
-    found = materialize(found)
+    found = _linked(classes, threshold)
     joined = components(found.where("b is not null").select("a", "b"))
     counts = found.groupBy("a").agg(F.sum("links").alias("links"))
     ids = materialize(classes.join(joined, "node", "left").join(counts, F.col("node") == F.col("a"), "left").select("label", "embedding", "least_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("_part")))

@@ -1,5 +1,6 @@
 import numpy as np
 
+from gridloom.llm import embed_dedup
 from gridloom.llm.embed_dedup import near_vectors
 
 
@@ -43,3 +44,40 @@ def test_empty_and_repeated_rows(spark):
     assert near_vectors(spark.createDataFrame([], schema)).count() == 0
     got = near_vectors(spark.createDataFrame([(1, [1.0, 0.0], 1, 1)] * 2 + [(None, [1.0, 0.0], 1, 1), (None, None, 1, 1)], schema)).collect()
     assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in got) == [(0, 0, 0), (0, 2, 1), (1, 2, 1), (1, 2, 1)]
+
+
+def test_many_tiles_parts_and_chunks_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "BLOCK", 12)
+    monkeypatch.setattr(embed_dedup, "CODES", 6)
+    rng = np.random.default_rng(2)
+    rows = []
+    for dim, n in ((8, 150), (5, 60), (1, 40)):
+        hubs = rng.normal(size=(n // 8 + 1, dim))
+        for _ in range(n):
+            v = hubs[int(rng.integers(len(hubs)))] + rng.normal(size=dim) * rng.choice([0.02, 0.1, 0.4])
+            rows.append((len(rows), [float(x) for x in v.astype("f4")], int(rng.integers(2)) if dim > 1 else 0))
+    rows += [(1000 + k, rows[3][1], rows[3][2]) for k in range(30)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(table).collect()} == brute(rows)
+
+
+def test_traversal_is_nearest_first_and_whole():
+    rng = np.random.default_rng(3)
+    a, b = rng.random((40, 7)), rng.random((40, 5))
+    a[3], b[4] = 0.5, 0.0  # ties
+    row, first, second = embed_dedup.traversal(a, b, 0.8)
+    want = {(i, j, k) for i in range(40) for j in range(7) for k in range(5) if a[i, j] + b[i, k] <= 0.8}
+    got = list(zip(row.tolist(), first.tolist(), second.tolist(), strict=True))
+    assert len(got) == len(set(got)) and set(got) == want
+    for i in range(40):
+        sums = [a[i, j] + b[i, k] for r, j, k in got if r == i]
+        assert sums == sorted(sums)
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(4)
+    x, centres = rng.normal(size=(200, 6)), rng.normal(size=(9, 6))
+    own, least = embed_dedup._bounds(x, centres)
+    apart = ((x[:, None] - x[None]) ** 2).sum(2)
+    assert (least[:, own] <= apart + 1e-9).all()
+    assert np.array_equal(embed_dedup._bounds(x[:1], centres)[1], least[:1])
