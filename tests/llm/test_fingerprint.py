@@ -1,5 +1,6 @@
 import hashlib
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,3 +60,26 @@ def test_sketches_merge(spark):
         (fp.merged(fp.sketch(F.col("a")), fp.sketch(F.col("b"))) == fp.sketch(F.col("c"))).alias("same"), fp.distinct_estimate(fp.sketch(F.col("a"))).alias("n"), fp.containment(fp.sketch(F.col("a")), fp.sketch(F.col("b"))).alias("inside")
     ).first()
     assert row.n == pytest.approx(896, rel=0.3) and row.inside == pytest.approx(1 / 3, abs=0.15)
+
+
+def test_hot_ids_and_texts_have_several_blocks(spark):
+    least, most = -(1 << 63), (1 << 63) - 1
+    rows = [(None, f"null id with words {i % 300}") for i in range(1500)] + [(7, f"seven has many rows {i}") for i in range(1500)] + [(8, "the same row again and again")] * 6000
+    rows += [(i, f"a row of its own {i}") for i in range(100, 400)] + [(least, "least id of all ids here"), (most, "largest id of all ids here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    placed = fp.with_next(docs).where("ahead = 0").groupBy("block").count().collect()
+    assert sum(r["count"] for r in placed) == len(rows) and max(r["count"] for r in placed) < 2500
+    ties = {t: h for t, h in spark.createDataFrame([(t,) for t in {t for _, t in rows}], "text string").select("text", fp.tie_of(F.col("text"))).collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), ties[r[1]]))
+    want = Counter()
+    for i, (doc, text) in enumerate(ordered):
+        cut = len(text) // 2
+        want[doc, hashlib.sha256((text[: len(text) - cut] + ordered[(i + 1) % len(rows)][1][:cut]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in fp.fingerprints(docs).select("doc_id", "edited_sha256").collect()) == want
+
+
+def test_sketch_of_a_table(spark):
+    docs = spark.createDataFrame([(" ".join(f"w{i + k}" for k in range(40)),) for i in range(0, 400, 7)] + [(None,)], "text string")
+    everything = sorted({h for r in docs.select(fp.shingle_hashes(F.coalesce("text", F.lit(""))).alias("h")).collect() for h in r.h})
+    assert fp.table_sketch(docs.repartition(6)).first().sketch == everything[: fp.K] == fp.table_sketch(docs.coalesce(1)).first().sketch
+    assert fp.table_sketch(docs.limit(0)).first().sketch == []
