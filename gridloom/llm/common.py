@@ -21,6 +21,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with its columns of these names under other names, and what gives its columns back, named as before."""
+    new = {c: c for c in docs.columns}
+    for c in [c for c in docs.columns if c.lower() in names]:
+        while new[c].lower() in {x.lower() for x in (*docs.columns, *names)}:
+            new[c] += "_"
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in new.items()]), lambda out: out.select(*[F.col(f"`{n}`").alias(c) for c, n in new.items()])
+
+
 def running_sums(lengths: Column, add: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
     """Sums (or another running value, from 0) of the elements before each place of an array of bigint, in near linear
     time: blocks of 64, then inside them."""

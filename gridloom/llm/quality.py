@@ -1,6 +1,7 @@
 """Quality classifier: random-indexing word vectors, pooled per document, under a two-layer network.
 
-A unit is a run of letters, digits or other signs. Each of BUCKETS hashed units has a sparse ternary index vector; its
+A unit is a run of letters, digits or other signs. Each of BUCKETS hashed units has a sparse ternary index vector (a
+vocabulary of V words has V / BUCKETS words a bucket, 61 at a million; frequent ones decide a bucket's vector); its
 context vector is the sum of the index vectors of all its neighbours up to SPAN units away in the whole corpus. A
 document is the mean of its units' normed context vectors and index vectors, with the norms of both means, the share of
 units that return one and two places on, and the logarithm of their number. A network of two layers, trained in numpy
@@ -9,7 +10,7 @@ rows calibrates. Only the text is an input of the score.
 
 A null or empty text is the zero vector and gets the network's score of that; texts of any length are pooled whole. A
 null id counts as held out (like an id whose text is empty); repeated rows are scored each on its own; labels that
-disagree on an id count as the least, null labels not at all. Without both classes to learn from, the score is the
+disagree on an id count as the least, null labels not at all; of several rows with one id one is learned from. Without both classes to learn from, the score is the
 share of ones, smoothed. An empty table gives an empty table. Other columns pass through; the operator's own replace
 equal names.
 """
@@ -23,7 +24,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gridloom.llm.common import flat_bytes, mix64, read_table, small_batches, span_hashes
 
-BUCKETS, DIM, SPAN, TRAIN, HIDDEN = 2048, 32, 2, 20000, 24
+BUCKETS, DIM, SPAN, TRAIN, HIDDEN = 16384, 32, 2, 20000, 24
 THRESHOLD = 0.3
 
 #: Kinds of bytes: white space, letters (and all of a multi-byte sign), digits, other signs.
@@ -33,12 +34,18 @@ _KIND[48:58] = 2
 _KIND[65:91] = _KIND[97:123] = _KIND[128:] = 1
 
 
-def index_vectors() -> np.ndarray:
-    """BUCKETS x DIM of -1, 0, 1, four places of each row set, from a hash alone."""
+def index_places() -> tuple[np.ndarray, np.ndarray]:
+    """Four places of each bucket's index vector and the signs there, from a hash alone."""
     spots = mix64(np.arange(BUCKETS * 4, dtype=np.uint64) + np.uint64(77)).reshape(BUCKETS, 4)
+    return (spots % np.uint64(DIM)).astype(np.int64), np.where(spots >> np.uint64(63), 1, -1)
+
+
+def index_vectors() -> np.ndarray:
+    """BUCKETS x DIM of -1, 0, 1."""
+    places, signs = index_places()
     out = np.zeros((BUCKETS, DIM), np.float32)
     for k in range(4):
-        out[np.arange(BUCKETS), (spots[:, k] % np.uint64(DIM)).astype(int)] = np.where(spots[:, k] >> np.uint64(63), 1, -1)
+        out[np.arange(BUCKETS), places[:, k]] = signs[:, k]
     return out
 
 
@@ -62,25 +69,30 @@ def _contexts(batches):
     """This partition's part of all context vectors, as whole numbers: any partitioning adds up to the same."""
     import pyarrow as pa
 
-    pairs = np.zeros(BUCKETS * BUCKETS, np.int64)
+    sums = np.zeros((BUCKETS, DIM), np.int64)
+    places, signs = index_places()
+    for k in range(1, 4):  # the last of equal places is the one that counts
+        for j in range(k):
+            signs[:, j] *= places[:, j] != places[:, k]
     for batch in small_batches(batches, "text"):
         ids, at = units(batch.column(0))
         owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
         for gap in range(1, SPAN + 1):
             near = owner[gap:] == owner[:-gap]
-            pairs += np.bincount((ids[:-gap] * BUCKETS + ids[gap:])[near], minlength=BUCKETS * BUCKETS)
-    counts = pairs.reshape(BUCKETS, BUCKETS).astype(np.float64)
-    sums = ((counts + counts.T) @ index_vectors().astype(np.float64)).astype(np.int64)
+            left, right = ids[:-gap][near], ids[gap:][near]
+            for own, other in ((left, right), (right, left)):
+                for k in range(4):
+                    sums += np.bincount(own * DIM + places[other, k], signs[other, k], BUCKETS * DIM).astype(np.int64).reshape(BUCKETS, DIM)
     seen = np.flatnonzero(sums.any(axis=1))
-    yield pa.RecordBatch.from_arrays([pa.array(seen), *(pa.array(sums[seen, d]) for d in range(DIM))], ["bucket", *(f"d{d}" for d in range(DIM))])
+    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.FixedSizeListArray.from_arrays(pa.array(sums[seen].ravel()), DIM).cast(pa.list_(pa.int64()))], ["bucket", "sums"])
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """BUCKETS x 2 DIM: normed context and index vectors, the former from all documents."""
-    parts = docs.select("text").mapInArrow(_contexts, "bucket long, " + ", ".join(f"d{d} long" for d in range(DIM)))
+    parts = docs.select("text").mapInArrow(_contexts, "bucket long, sums array<long>")
     context = np.zeros((BUCKETS, DIM))
-    for row in parts.groupBy("bucket").agg(*(F.sum(f"d{d}").alias(f"d{d}") for d in range(DIM))).collect():  # BUCKETS rows at most
-        context[row[0]] = row[1:]
+    total = parts.groupBy("bucket").agg(*(F.sum(F.col("sums")[d]).alias(f"d{d}") for d in range(DIM))).toArrow()  # BUCKETS rows at most
+    context[total.column("bucket").to_numpy()] = np.column_stack([total.column(f"d{d}").to_numpy() for d in range(DIM)])
     context /= np.maximum(np.sqrt((context**2).sum(1)), 1e-9)[:, None]
     return np.hstack([context, index_vectors() / 2]).astype(np.float32)
 
@@ -172,7 +184,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pooled(batch.column(2), vectors).tolist(), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
     found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text").mapInArrow(features, "doc_id long, label int, x array<double>")
-    rows = found.orderBy("doc_id", "x").limit(2 * TRAIN).collect()
+    rows = found.groupBy("doc_id", "label").agg(F.min("x").alias("x")).orderBy("doc_id").collect()  # TRAIN rows at most
     network = Network(np.array([r.x for r in rows]).reshape(len(rows), 2 * DIM + 5), np.array([r.label for r in rows], float))
 
     def scores(batches):

@@ -7,7 +7,8 @@ INNER bytes of it, wherever they stand. Windows of WINDOW words, each half over
 the whole text, and every one is scored. A small logistic layer turns a document's window scores (largest, second, mean,
 expected number of toxic windows) into its score.
 
-Learning uses at most TRAIN rows of each label, those with the least hashed ids. A toxic document's label holds for its
+Learning uses at most TRAIN rows of each label, those with the least hashed ids, and of these no more than LEARNED bytes of
+text, one row of an id. A toxic document's label holds for its
 most toxic window only, so in each round the windows that the network finds most toxic are learned, of clean documents
 too. A fifth of the rows is kept from the network to fit the document layer, weighted back to the labels' true shares.
 
@@ -19,6 +20,8 @@ the operator's own replace equal names.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +34,7 @@ WINDOW, STRIDE, HIDDEN = 64, 32, 12
 WORD_BUCKETS, WORD_DIM, CHAR_BUCKETS, CHAR_DIM = 16384, 8, 16384, 12
 PREFIXES, SUFFIXES = (3, 4, 5, 6, 7, 8), (3, 4)
 UNIT, INNER = 12, 5
-TRAIN, ROUNDS = 2400, 9
+TRAIN, LEARNED, ROUNDS = 2400, 64 << 20, 9
 THRESHOLD = 0.5
 
 
@@ -283,8 +286,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
     import pyarrow as pa
 
     rows, shares = _sample(labels)
-    sample = docs.sparkSession.createDataFrame(rows, "doc_id long, label int")  # 2 TRAIN rows at most
-    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").orderBy("doc_id", F.xxhash64("text")).limit(4 * TRAIN).collect()
+    sample = F.broadcast(docs.sparkSession.createDataFrame(rows, "doc_id long, label int"))  # 2 TRAIN rows at most
+    known = docs.select("doc_id", "text").join(sample, "doc_id")
+    sizes = known.groupBy("doc_id", "label").agg(F.min(F.struct(F.coalesce(F.octet_length("text"), F.lit(0)), F.xxhash64("text"))).alias("one")).collect()
+    sizes.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
+    enough = np.searchsorted(np.cumsum([r.one[0] for r in sizes]), LEARNED, "right")
+    taken = [(r.doc_id, r.label, r.one[1]) for r in sizes[:enough]]
+    if not taken:
+        return Scorer(pa.array([], pa.string()), np.zeros(0), shares)
+    taken = F.broadcast(docs.sparkSession.createDataFrame(taken, "doc_id long, label int, hash long"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).join(taken, ["doc_id", "hash"]).groupBy("doc_id", "label").agg(F.first("text").alias("text"))
+    found = texts.orderBy("doc_id").collect()  # LEARNED bytes at most
     return Scorer(pa.array([r.text for r in found], pa.string()), np.array([r.label for r in found], float), shares)
 
 

@@ -46,8 +46,11 @@ def test_each_stage_against_brute_force(spark):
 def test_null_rows_pass(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
     odd = spark.createDataFrame([(None, None, None, None, None), (-5, "", "en", None, 0), (-5, "", "en", None, 0)], docs.schema)
-    docs = docs.union(odd).withColumn("score", F.lit("clash"))
+    clashing = ("score", "Predicted", "spans", "n_hex", "_hex", "slope", "target", "part", "_text_hash", "row", "order")
+    docs = docs.union(odd).withColumns({c: F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in clashing}).cache()
     for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, docs, SF).count() >= 0 and stage(spark, docs.limit(0), SF).count() == 0
+        rows, columns = stage(spark, docs, SF).collect(), stage(spark, docs, SF).columns
+        assert stage(spark, docs.limit(0), SF).count() == 0
         if stage is not corpus_pipeline.tokens_stage:
-            assert stage(spark, docs, SF).columns == docs.columns
+            assert rows and columns == docs.columns
+            assert all(r[c] == f"{c} of {'none' if r.doc_id is None else r.doc_id}" for r in rows for c in clashing)

@@ -83,3 +83,44 @@ def test_toxic_words_inside_runs_are_found():
     scorer = tox.Scorer(pa.array(texts), np.array([float(i % 3 == 0) for i in range(300)]), (0.7, 0.3))
     inside, without = scorer.score(pa.array(["calmquietriverwordsidiotlongcalmquietday", "calmquietriverwordsriverlongcalmquietday"]))
     assert inside > without + 0.2
+
+
+def test_scores_match_a_plain_forward_pass():
+    """Every window's logit again, word by word in plain Python."""
+    import math
+
+    words = tox.Words(pa.array(["the quick fox and The fox é12", "one two " * 50, ""]))
+    net = tox.Network(seed=9, kind=np.float64)
+    logits, _ = net.logits(words)
+    ids, _ = words.windows()
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    h = tox.HIDDEN
+    for window, want in zip(ids, logits, strict=True):
+        own = [int(i) for i in window if i < len(words.words)]
+        x = [np.r_[net.p["word"][words.words[i]], sum(net.p["char"][g] for g in words.grams[i])] for i in own]
+        states = [[], []]
+        for k in (0, 1):
+            state = [0.0] * h
+            for v in x if k == 0 else x[::-1]:
+                gate = [sum(a * b for a, b in zip(v, column, strict=True)) + o for column, o in zip(net.p[f"in{k}"].T, net.p[f"off{k}"], strict=True)]
+                turn = [sum(a * b for a, b in zip(state, column, strict=True)) for column in net.p[f"rec{k}"].T]
+                z, r = [sig(gate[d] + turn[d]) for d in range(h)], [sig(gate[h + d] + turn[h + d]) for d in range(h)]
+                new = [math.tanh(gate[2 * h + d] + r[d] * turn[2 * h + d]) for d in range(h)]
+                state = [(1 - z[d]) * new[d] + z[d] * state[d] for d in range(h)]
+                states[k].append(state)
+        both = [a + b for a, b in zip(states[0], states[1][::-1], strict=True)]
+        look = [math.exp(sum(a * b for a, b in zip(s, net.p["look"], strict=True))) for s in both]
+        pooled = [sum(w * s[d] for w, s in zip(look, both, strict=True)) / sum(look) for d in range(2 * h)] if both else [0.0] * (2 * h)
+        assert abs(sum(a * b for a, b in zip(pooled, net.p["out"], strict=True)) + net.p["bias"][0] - want) < 1e-6
+
+
+def test_learning_takes_bounded_text(spark, monkeypatch):
+    monkeypatch.setattr(tox, "LEARNED", 3000)
+    rows = [(i, "you idiot there" if i % 3 == 0 else "a calm day") for i in range(300)] + [(1, "a calm day")] * 400 + [(2, "a calm day " * 4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(tox, "Scorer", lambda texts, y, shares: seen.append((texts, y)))
+    tox.train(docs, labels)
+    texts, y = seen[0]
+    assert 0 < sum(len(t.as_py()) for t in texts) <= 3000 and len(y) == len(texts) and set(y) == {0.0, 1.0}
