@@ -1,7 +1,7 @@
 """The corpus pipeline: quality, near copies, secrets, mixture, tokens.
 
 Every stage takes (spark, docs, sf_dir), works on all rows of docs and returns the columns of docs, but for the last,
-which returns the tokens. Nulls, empty texts, ties, repeated rows and empty tables are treated as the operators' own
+which returns the tokens; columns named like an operator's own keep their values. Nulls, empty texts, ties, repeated rows and empty tables are treated as the operators' own
 descriptions say; a null text is kept by every stage that does not reject it, and has no words to be mixed.
 """
 
@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import minhash, mixing, pieces, quality, secrets
-from gridloom.llm.common import materialize, read_table
+from gridloom.llm.common import aside, materialize, read_table, release, tidy
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    return quality.score(docs, read_table(spark, sf_dir, "labels")).where("predicted = 1").select(*[f"`{c}`" for c in docs.columns])
+    renamed, back = aside(docs, ("held_out", "score", "predicted"))
+    return back(quality.score(renamed, read_table(spark, sf_dir, "labels")).where("predicted = 1"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,11 +51,11 @@ STAGES = [
 ORACLE_SQL = None
 
 
+@tidy
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents after every stage in turn, each written and read again."""
     docs = read_table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = materialize(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        before, docs = docs, materialize(stage(spark, docs, sf_dir))
+        release(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
