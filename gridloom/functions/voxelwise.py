@@ -146,23 +146,30 @@ def cubic_spline_slope(x: Column) -> Column:
     return F.signum(x) * F.when(a < 1, (1.5 * a - 2) * a).when(a < 2, -F.pow(a - 2, 2.0) / 2).otherwise(0.0)
 
 
-def bessel_i(x: Column, order: int, terms: int = 40) -> Column:
-    """Modified Bessel function of the first kind by its power series."""
-    half = x / 2
+def scaled_bessel_i(x: Column, order: int, terms: int = 60) -> Column:
+    """exp(-x) times the modified Bessel function of the first kind, x >= 0: its power series up to 20, its asymptotic one beyond."""
+    half = F.least(x, F.lit(20.0)) / 2
 
     def step(acc: Column, k: Column) -> Column:
         term = acc["term"] * half * half / (k * (k + order))
         return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
 
     first = F.pow(half, float(order)) / math.factorial(order)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.struct(first.alias("term"), first.alias("sum")), step, lambda acc: acc["sum"])
+    near = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.struct(first.alias("term"), first.alias("sum")), step, lambda acc: acc["sum"]) * F.exp(-2 * half)
+    large = F.greatest(x, F.lit(20.0))
+    term, far = F.lit(1.0), F.lit(1.0)
+    for k in range(1, 16):
+        term = term * (((2 * k - 1) ** 2 - 4 * order * order) / (8.0 * k)) / large
+        far = far + term
+    return F.when(x <= 20, near).otherwise(far / F.sqrt(2 * math.pi * large))
 
 
 def rician_factor(snr: Column) -> Column:
-    """Correction of the noise variance of a magnitude image at this signal to noise ratio."""
+    """Correction of the noise variance of a magnitude image at this signal to noise ratio; 1 where it leaves 0.001 to 10."""
     q = snr * snr / 4
-    core = (2 + snr * snr) * bessel_i(q, 0) + snr * snr * bessel_i(q, 1)
-    return 2 + snr * snr - math.pi / 8 * F.exp(-2 * q) * core * core
+    core = (2 + snr * snr) * scaled_bessel_i(q, 0) + snr * snr * scaled_bessel_i(q, 1)
+    found = 2 + snr * snr - math.pi / 8 * core * core
+    return F.when((found < 0.001) | (found > 10), 1.0).otherwise(found)
 
 
 def world(matrix: list[list[float]], x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:

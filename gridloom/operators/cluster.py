@@ -39,7 +39,7 @@ def histogram_counts(voxels: DataFrame) -> tuple[np.ndarray, float]:
     for b, n in rows:
         counts[b] = n
     counts[0] = 0
-    share = np.floor(1000 * counts.cumsum() / max(1, counts.sum()))
+    share = np.floor(1000 * counts.cumsum() / max(1, counts.sum()) + 0.5)
     return np.where((share > 10) & (share < 990), counts, 0), top
 
 

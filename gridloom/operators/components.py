@@ -1,4 +1,4 @@
-"""Connected components, holes, distances and geodesic times by relaxation over lattice neighbours."""
+"""Connected components and holes by star contraction; distances and geodesic times by relaxation over lattice neighbours."""
 
 from __future__ import annotations
 
@@ -6,8 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.operators.stencil import offsets, spread
-from gridloom.operators.tables import cut
+from gridloom.operators.graph import components as star_components
+from gridloom.operators.reshape import crop, pad
+from gridloom.operators.stencil import line, offsets, spread, together
+from gridloom.operators.tables import cut, release
+
+#: More than the voxels of any volume.
+_VOLUME = 10**14
 
 
 def _relax(voxels: DataFrame, value: str, around, step, most: int) -> DataFrame:
@@ -17,27 +22,42 @@ def _relax(voxels: DataFrame, value: str, around, step, most: int) -> DataFrame:
         near = spread(voxels, around, value).withColumn("_w", step(F.col("w"))).groupBy("t", "x", "y", "z").agg(F.min("_w").alias("_w"))
         after = cut(voxels.join(near, ["t", "x", "y", "z"], "left").withColumn("_new", F.least(F.col(value), F.coalesce("_w", F.col(value)))).drop("_w"))
         changed = not after.where(F.col("_new") < F.col(value)).isEmpty()
+        release(voxels)
         voxels = after.withColumn(value, F.col("_new")).drop("_new")
         if not changed:
             return voxels
     raise RuntimeError(f"not settled after {most} rounds")
 
 
-def components(voxels: DataFrame, connect: int = 6, most: int = 10000) -> DataFrame:
-    """Voxels above 0 with component: the least index that is reachable."""
-    set_ = voxels.where("v > 0").withColumn("component", F.col("i"))
-    return _relax(set_, "component", offsets(connect), lambda w: w, most)
+def _number(t, i):
+    """One number for a voxel of a stack of volumes."""
+    return t.cast("decimal(24,0)") * _VOLUME + i
+
+
+def components(voxels: DataFrame, connect: int = 6) -> DataFrame:
+    """Voxels above 0 with component: the least index that is reachable, by large-star and small-star over the lattice's
+    edges, so in rounds that grow with the logarithm of a component's size."""
+    inside = cut(voxels.where("v > 0"))
+    half = [d for d in offsets(connect) if d > (0, 0, 0)]
+    met = inside.join(spread(inside, half, "i").select("t", "x", "y", "z", F.col("w").alias("_near")), ["t", "x", "y", "z"])
+    joined = star_components(met.select(_number(F.col("t"), F.col("i")).alias("a"), _number(F.col("t"), F.col("_near")).alias("b")))
+    found = joined.select(F.floor(F.col("node") / _VOLUME).alias("_t"), F.pmod("node", F.lit(_VOLUME)).cast("bigint").alias("_i"), F.pmod("component", F.lit(_VOLUME)).cast("int").alias("_c"))
+    return inside.join(found, (F.col("t") == F.col("_t")) & (F.col("i") == F.col("_i")), "left").withColumn("component", F.coalesce("_c", "i")).drop("_t", "_i", "_c")
 
 
 def sized_components(voxels: DataFrame, connect: int = 6) -> DataFrame:
     """Components of each volume by size, largest first: (t, component, n, rank)."""
-    sizes = components(voxels, connect).groupBy("t", "component").agg(F.count("i").alias("n"))
+    return _sizes(components(voxels, connect))
+
+
+def _sizes(found: DataFrame) -> DataFrame:
+    sizes = found.groupBy("t", "component").agg(F.count("i").alias("n"))
     return sizes.withColumn("rank", F.row_number().over(Window.partitionBy("t").orderBy(F.col("n").desc(), "component")))
 
 
 def largest_component(voxels: DataFrame, connect: int = 6) -> DataFrame:
-    found = components(voxels, connect)
-    return found.join(sized_components(voxels, connect).where("rank = 1").select("t", "component"), ["t", "component"], "left_semi")
+    found = cut(components(voxels, connect))
+    return found.join(_sizes(found).where("rank = 1").select("t", "component"), ["t", "component"], "left_semi")
 
 
 def fill_holes(voxels: DataFrame, nx: int, ny: int, nz: int) -> DataFrame:
@@ -75,7 +95,38 @@ def geodesic(voxels: DataFrame, most: int = 10000) -> DataFrame:
         near = spread(timed, offsets(6), "time").groupBy("t", "x", "y", "z").agg(F.min("w").alias("_w"))
         after = cut(timed.join(near, ["t", "x", "y", "z"], "left").withColumn("_new", F.least(F.col("time"), F.coalesce("_w", "time") + F.col("_cost"))).drop("_w"))
         changed = not after.where("_new < time").isEmpty()
+        release(timed)
         timed = after.withColumn("time", F.col("_new")).drop("_new")
         if not changed:
             return timed.drop("_cost")
     raise RuntimeError(f"not settled after {most} rounds")
+
+
+def _within(voxels: DataFrame, n: int) -> DataFrame:
+    """set: whether a voxel with set lies within n voxels, by exact squared distances up to n, one axis after another."""
+    out = voxels.withColumn("_d", F.when(F.col("set"), 0))
+    for axis in "xyz":
+        w = line(axis)
+        near = [F.lead("_d", k).over(w) + k * k if k > 0 else F.lag("_d", -k).over(w) + k * k if k < 0 else F.col("_d") for k in range(-n, n + 1)]
+        least = F.least(*near)
+        out = out.withColumn("_d", F.when(least <= n * n, least))
+    return out.withColumn("set", F.col("_d").isNotNull()).drop("_d")
+
+
+def close_by_distance(voxels: DataFrame, n: int, nx: int, ny: int, nz: int, share: float = 0.5) -> DataFrame:
+    """Voxels above share times the largest, grown by the ball of n voxels and shrunk again; v is 1 inside.
+
+    The volume has a border of n empty voxels meanwhile, so that growth is not cut at its edge.
+    """
+    top = F.max("v").over(Window.partitionBy("t"))
+    marked = voxels.withColumn("v", (F.col("v") > share * top).cast("double"))
+    grown = _within(together(pad(marked, n, nx, ny, nz)).withColumn("set", F.nanvl("v", F.lit(0.0)) > 0), n)
+    shrunk = _within(grown.withColumn("set", ~F.col("set")), n)
+    return crop(shrunk.withColumn("v", (~F.col("set")).cast("double")).drop("set"), n, nx + 2 * n, ny + 2 * n, nz + 2 * n)
+
+
+def open_by_distance(voxels: DataFrame, n: int, share: float = 0.5) -> DataFrame:
+    """Voxels above share times the largest, shrunk by the ball of n voxels and grown again; beyond the edge is not outside."""
+    top = F.max("v").over(Window.partitionBy("t"))
+    near = _within(together(voxels.withColumn("set", F.col("v") <= share * top)), n)
+    return _within(near.withColumn("set", ~F.col("set")), n).withColumn("v", F.col("set").cast("double")).drop("set")

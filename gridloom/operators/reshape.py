@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from gridloom.sources.voxels import index
 
+#: Labels of an image that may be made dense.
+MOST_LABELS = 1024
+
 
 def merge(images: list[DataFrame]) -> DataFrame:
     """Single images one after another along t."""
@@ -20,10 +23,14 @@ def select_plane(voxels: DataFrame, t: int) -> DataFrame:
 
 
 def split_labels(voxels: DataFrame) -> DataFrame:
-    """One plane for each label from 0 to the largest (plane column label), 1 inside, 0 outside."""
-    top = voxels.agg(F.max(F.round("v")).alias("_top")).where("_top >= 0").select(F.explode(F.sequence(F.lit(0), F.col("_top").cast("int"))).alias("label"))
-    small = F.broadcast(top)  # one row a label, at most the 1025 the format allows
-    return voxels.join(small, how="cross").withColumn("v", (F.round("v") == F.col("label")).cast("double"))
+    """One plane for each label from 0 to the largest (plane column label), 1 inside, 0 outside; more than MOST_LABELS are an error."""
+    top = voxels.agg(F.max(F.round("v"))).first()[0]
+    if top is None or top < 0:
+        return voxels.withColumn("label", F.lit(0)).limit(0)
+    if top > MOST_LABELS:
+        raise ValueError(f"{int(top)} labels are more than {MOST_LABELS}")
+    planes = voxels.withColumn("label", F.explode(F.sequence(F.lit(0), F.lit(int(top)))))
+    return planes.withColumn("v", (F.round("v") == F.col("label")).cast("double"))
 
 
 def split_interleaved(voxels: DataFrame, axis: str) -> DataFrame:
@@ -36,13 +43,15 @@ def join_interleaved(voxels: DataFrame, axis: str) -> DataFrame:
 
 
 def pad(voxels: DataFrame, n: int, nx: int, ny: int, nz: int) -> DataFrame:
-    """A border of n NaN voxels on every side."""
-    spark = voxels.sparkSession
+    """A border of n NaN voxels on every side of dense volumes: the border's rows are made from each volume's t, without a join."""
     mx, my, mz = nx + 2 * n, ny + 2 * n, nz + 2 * n
-    frame = spark.range(mx * my * mz).select(F.col("id").cast("int").alias("i"), (F.col("id") % mx).cast("int").alias("x"), (F.expr(f"id div {mx}") % my).cast("int").alias("y"), F.expr(f"id div {mx * my}").cast("int").alias("z"))
-    lattice = voxels.select("t").distinct().join(F.broadcast(frame), how="cross")
-    moved = voxels.select("t", (F.col("x") + n).alias("x"), (F.col("y") + n).alias("y"), (F.col("z") + n).alias("z"), "v")
-    return lattice.join(moved, ["t", "x", "y", "z"], "left").withColumn("v", F.coalesce("v", F.lit(float("nan"))))
+    whole = lambda m: F.sequence(F.lit(0), F.lit(m - 1))
+    edge = lambda c, m: (F.col(c) < n) | (F.col(c) >= m - n)
+    rim = F.filter(whole(mx), lambda x: (x < n) | (x >= mx - n))
+    border = voxels.select("t").distinct().withColumn("z", F.explode(whole(mz))).withColumn("y", F.explode(whole(my)))
+    border = border.withColumn("x", F.explode(F.when(edge("z", mz) | edge("y", my), whole(mx)).otherwise(rim))).withColumn("v", F.lit(float("nan")))
+    moved = voxels.select("t", *[(F.col(a) + n).cast("int").alias(a) for a in "zyx"], "v")
+    return moved.unionByName(border).withColumn("i", index(F.col("x"), F.col("y"), F.col("z"), mx, my).cast("int"))
 
 
 def crop(voxels: DataFrame, n: int, nx: int, ny: int, nz: int) -> DataFrame:

@@ -7,8 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.functions.voxelwise import above
+from gridloom.operators.tables import cut
 
 KEY = ["t"]
+#: Labels that may be made dense, 0 to the largest.
+MOST_LABELS = 1024
+
+
+def _dense(top: Column) -> Column:
+    """0 to the largest label; an error where that is too large to be one."""
+    return F.explode(F.when(top <= MOST_LABELS, F.sequence(F.lit(0), F.greatest(F.lit(0), F.least(top, F.lit(MOST_LABELS))))).otherwise(F.split(F.raise_error(F.concat(top.cast("string"), F.lit(f" labels are more than {MOST_LABELS}"))), "").cast("array<int>")))
 
 
 def valid(voxels: DataFrame) -> DataFrame:
@@ -48,14 +56,14 @@ def robust_range(voxels: DataFrame, share: float = 0.02, by: list[str] = KEY) ->
 def label_volumes(voxels: DataFrame, by: list[str] = KEY, voxel_size: float = 1.0) -> DataFrame:
     """Volume of every rounded value from 0 to the largest, empty ones too."""
     counts = valid(voxels).groupBy(*by, F.round("v").cast("int").alias("value")).agg(F.count("v").alias("n")).where("value >= 0")
-    dense = counts.groupBy(*by).agg(F.max("value").alias("_top")).select(*by, F.explode(F.sequence(F.lit(0), F.col("_top"))).alias("value"))
+    dense = counts.groupBy(*by).agg(F.max("value").alias("_top")).select(*by, _dense(F.col("_top")).alias("value"))
     return dense.join(counts, [*by, "value"], "left").select(*by, "value", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), (F.coalesce("n", F.lit(0)) * voxel_size).alias("volume"))
 
 
 def label_means(values: DataFrame, labels: DataFrame) -> DataFrame:
     """Mean of values (i, v) over each label of labels (i, label), 0 to the largest."""
     found = valid(values).join(labels, "i").groupBy("label").agg(F.avg("v").alias("mean"), F.count("v").alias("n"))
-    dense = labels.agg(F.max("label").alias("_top")).where("_top is not null").select(F.explode(F.sequence(F.lit(0), F.col("_top").cast("int"))).alias("label"))
+    dense = labels.agg(F.max("label").alias("_top")).where("_top is not null").select(_dense(F.col("_top").cast("int")).alias("label"))
     return dense.join(found, "label", "left").select("label", "mean", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
@@ -230,14 +238,28 @@ def polynomial_normalized(a: DataFrame, b: DataFrame, order: int = 2) -> DataFra
     return a.join(fit, "t").withColumn("v", value).drop("coefficients")
 
 
+def ranked(voxels: DataFrame) -> DataFrame:
+    """v, rank from 0 in ascending order over the whole table and n, by range partitions: no task sorts all of it."""
+    ranged = cut(valid(voxels).select("v").repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    before, total = {}, 0
+    for part, n in sorted((r["part"], r["count"]) for r in ranged.groupBy("part").count().collect()):  # a row a partition
+        before[part], total = total, total + n
+    if not total:
+        return ranged.select("v", F.lit(0).cast("bigint").alias("rank"), F.lit(0).cast("bigint").alias("n"))
+    base = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("part"))
+    return ranged.select("v", (base + F.row_number().over(Window.partitionBy("part").orderBy("v")) - 1).cast("bigint").alias("rank"), F.lit(total).cast("bigint").alias("n"))
+
+
 def quantile_matched(a: DataFrame, b: DataFrame, points: int = 1000, order: int = 1) -> DataFrame:
     """Polynomial fit of b's order statistics on those of each image of a, applied to the image."""
-    def ranks(d: DataFrame, by: list[str], name: str) -> DataFrame:
-        w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-        placed = valid(d).select(*by, "v").withColumn("_k", F.row_number().over(w.orderBy("v")) - 1).withColumn("_n", F.count("v").over(w))
-        wanted = placed.select(*by, "_n").distinct().select(*by, "_n", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")).withColumn("_k", F.floor(F.col("i") / points * (F.col("_n") - 1)))
-        return placed.join(wanted, [*by, "_n", "_k"]).select(*by, "i", F.col("v").alias(name))
+    w = Window.partitionBy("t")
+    placed = valid(a).select("t", "v").withColumns({"rank": (F.row_number().over(w.orderBy("v")) - 1).cast("bigint"), "n": F.count("v").over(w)})
+
+    def at(d: DataFrame, by: list[str], name: str) -> DataFrame:
+        wanted = d.select(*by, "n").distinct().select(*by, F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"), F.col("n"))
+        wanted = wanted.select(*by, "i", F.floor(F.col("i") / points * (F.col("n") - 1)).alias("rank"))
+        return d.join(wanted, [*by, "rank"]).select(*by, "i", F.col("v").alias(name))
 
-    fit = polynomial_fit(ranks(a, ["t"], "v"), ranks(b, [], "v"), order)
+    fit = polynomial_fit(at(placed, ["t"], "v"), at(ranked(b), [], "v"), order)
     value = F.aggregate(F.reverse("coefficients"), F.lit(0.0), lambda acc, c: acc * F.col("v") + c)
     return a.join(fit, "t").withColumn("v", value).drop("coefficients")

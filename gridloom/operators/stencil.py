@@ -139,12 +139,19 @@ def median3(voxels: DataFrame) -> DataFrame:
 
 
 def label_smooth(voxels: DataFrame, sigma: float) -> DataFrame:
-    """Label with the largest Gaussian weight in the box of 3 x 3 x 3; ties take the least label."""
-    box = [(0, 0, 0), *offsets(26)]
-    weight = F.exp(-(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")) / (2 * sigma * sigma))
-    votes = neighbours(voxels, box).groupBy("t", "x", "y", "z", "i", "w").agg(F.round(F.sum(weight), 9).alias("_s"))
-    best = Window.partitionBy("t", "i").orderBy(F.col("_s").desc(), "w")
-    return votes.withColumn("_k", F.row_number().over(best)).where("_k = 1").select("t", "x", "y", "z", "i", F.col("w").alias("v"))
+    """Label with the largest sum of Gaussian weights within 3 sigma on each axis; ties take the least label.
+
+    The weights are separable, so votes are summed one axis after another: each vote is sent 2 half + 1 times, not cubed.
+    """
+    half = (int(6 * sigma) | 1) // 2
+    taps = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(math.exp(-0.5 * (d / sigma) ** 2)).alias("w")) for d in range(-half, half + 1)])
+    votes = voxels.select("t", *AXES, F.col("v").alias("label"), F.lit(1.0).alias("w"))
+    for axis in AXES:
+        sent = votes.withColumn("_k", F.explode(taps)).withColumns({axis: F.col(axis) + F.col("_k.d"), "w": F.col("w") * F.col("_k.w")})
+        low, high = voxels.agg(F.min(axis), F.max(axis)).first()
+        votes = sent.where(F.col(axis).between(low or 0, high or 0)).groupBy("t", *AXES, "label").agg(F.sum("w").alias("w"))
+    best = votes.groupBy("t", *AXES).agg(F.min_by("label", F.struct(-F.round("w", 9), F.col("label"))).alias("v"))
+    return voxels.select("t", *AXES, "i").join(best, ["t", *AXES])
 
 
 def edge(voxels: DataFrame, bound: float) -> DataFrame:

@@ -20,7 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "ncc_topk"
 
-VOX = "WITH vox AS (SELECT vec_id t, label, (u - 1)::INT i, ((u - 1) % 4)::INT x, (((u - 1) // 4) % 4)::INT y, ((u - 1) // 16)::INT z, embedding[u]::DOUBLE v FROM embeddings, generate_series(1, 64) g(u)) "
+VOX = "WITH vox AS MATERIALIZED (SELECT vec_id t, label, (u - 1)::INT i, ((u - 1) % 4)::INT x, (((u - 1) // 4) % 4)::INT y, ((u - 1) // 16)::INT z, embedding[u]::DOUBLE v FROM embeddings, generate_series(1, 64) g(u)) "
 
 
 def query(name: str, sql: str | None = None, raw: bool = False):
@@ -57,8 +57,11 @@ UNARY = {
 for _name, (_column, _sql) in UNARY.items():
     query(_name, f"SELECT t, i, ({_sql}) + 0 AS v FROM vox")(lambda d, s, p, v, c=_column: d.select("t", "i", c(v).alias("v")))
 
-for _op, _sql in {"add": "a.v + b.v", "sub": "a.v - b.v", "mul": "a.v * b.v", "div": "CASE WHEN b.v <> 0 THEN a.v / b.v END", "min": "least(a.v, b.v)"}.items():
-    query(f"vox_{_op}_image", f"SELECT a.t, a.i, {_sql} AS v FROM vox a JOIN vox b ON a.i = b.i AND b.t = 0")(lambda d, s, p, v, op=_op: d.join(d.where("t = 0").select("i", F.col("v").alias("w")), "i").select("t", "i", vx.combine(op, v, F.col("w")).alias("v")))
+#: Beside each voxel that of the first image, w, in one pass over the voxels.
+PAIRED = "WITH p AS MATERIALIZED (SELECT *, max(CASE WHEN t = 0 THEN v END) OVER (PARTITION BY i) AS w FROM vox) "
+
+for _op, _sql in {"add": "v + w", "sub": "v - w", "mul": "v * w", "div": "CASE WHEN w <> 0 THEN v / w END", "min": "least(v, w)"}.items():
+    query(f"vox_{_op}_image", PAIRED + f"SELECT t, i, ({_sql}) + 0 AS v FROM p")(lambda d, s, p, v, op=_op: d.join(d.where("t = 0").select("i", F.col("v").alias("w")), "i").select("t", "i", vx.combine(op, v, F.col("w")).alias("v")))
 
 
 def first(d: DataFrame) -> DataFrame:
@@ -72,11 +75,11 @@ def coarse(d: DataFrame, scale: float = 20.0) -> DataFrame:
 
 COARSE = "WITH q AS (SELECT t, label, i, x, y, z, round(v * 20) AS v FROM vox) "
 
-query("vox_masknan", "SELECT a.t, a.i, a.v FROM vox a JOIN vox b ON a.i = b.i AND b.t = 0 WHERE b.v > 0")(lambda d, s, p, v: d.join(first(d).withColumnRenamed("v", "m"), "i").withColumn("v", vx.mask_nan(v, F.col("m"))).where(~F.isnan("v")).select("t", "i", "v"))
+query("vox_masknan", PAIRED + "SELECT t, i, CASE WHEN w > 0 THEN v ELSE 0 END + 0 AS v, NOT (w > 0) AS missing FROM p")(lambda d, s, p, v: d.join(first(d).withColumnRenamed("v", "m"), "i").withColumn("v", vx.mask_nan(v, F.col("m"))).select("t", "i", F.nanvl(v, F.lit(0.0)).alias("v"), F.isnan(v).alias("missing")))
 query("vox_zscore", "SELECT t, i, round((v - avg(v) OVER (PARTITION BY t)) / stddev_pop(v) OVER (PARTITION BY t), 6) AS v FROM vox")(lambda d, s, p, v: d.select("t", "i", r((v - F.avg("v").over(Window.partitionBy("t"))) / F.stddev_pop("v").over(Window.partitionBy("t"))).alias("v")))
 
 
-@query("vox_robust_z", "WITH o AS (SELECT t, max(CASE WHEN k = round(0.1::DOUBLE * 63) THEN v END) lo, max(CASE WHEN k = round(0.9::DOUBLE * 63) THEN v END) hi FROM (SELECT t, v, row_number() OVER (PARTITION BY t ORDER BY v) - 1 k FROM vox) GROUP BY t), m AS (SELECT vox.t, avg(v) m, stddev_pop(v) s FROM vox JOIN o ON vox.t = o.t WHERE v > lo AND v < hi GROUP BY vox.t) SELECT vox.t, i, round((v - m) / s, 6) AS v FROM vox JOIN m ON vox.t = m.t")
+@query("vox_robust_z", "WITH o AS (SELECT t, max(CASE WHEN k = round(0.1::DOUBLE * 63) THEN v END) lo, max(CASE WHEN k = round(0.9::DOUBLE * 63) THEN v END) hi FROM (SELECT t, v, row_number() OVER (PARTITION BY t ORDER BY v) - 1 k FROM vox) GROUP BY t), m AS (SELECT x.t, avg(v) m, stddev_pop(v) s FROM vox x JOIN o ON x.t = o.t WHERE v > lo AND v < hi GROUP BY x.t) SELECT y.t, i, round((v - m) / s, 6) + 0 AS v FROM vox y JOIN m ON y.t = m.t")
 def _robust_z(d, s, p, v):
     bounds = stats.robust_range(d, 0.1)
     inner = d.join(bounds, "t").where("v > low and v < high").groupBy("t").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
@@ -99,7 +102,7 @@ def _pve(d, s, p, v):
 
 # --- masks and statistics
 
-query("masked_voxels", "SELECT a.t, a.i, a.v FROM vox a WHERE EXISTS (SELECT 1 FROM vox b WHERE b.t = 0 AND b.i = a.i AND b.v > 0)")(lambda d, s, p, v: stats.masked(d, first(d)).select("t", "i", "v"))
+query("masked_voxels", PAIRED + "SELECT t, i, v FROM p WHERE w > 0")(lambda d, s, p, v: stats.masked(d, first(d)).select("t", "i", "v"))
 query("stat_summary", "SELECT t, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, min(v) AS min, max(v) AS max, count(*) AS n, count(*) FILTER (v > 0) AS n_positive, round(sum(v), 6) AS total FROM vox GROUP BY t")(lambda d, s, p, v: stats.summary(d).select("t", r("mean").alias("mean"), r("std").alias("std"), "min", "max", "n", "n_positive", r("total").alias("total")))
 query("stat_masked_mean", "SELECT a.t, round(avg(a.v), 6) AS mean, count(*) AS n FROM vox a JOIN vox b ON a.i = b.i AND b.t = 0 WHERE b.v > 0 AND a.v > 0.02::DOUBLE GROUP BY a.t")(lambda d, s, p, v: stats.summary(stats.masked(d, first(d)).where("v > 0.02")).select("t", r("mean").alias("mean"), "n"))
 query("stat_volume", "SELECT t, count(*) FILTER (v > 0) * 1.5::DOUBLE AS volume, round(sum(v) * 1.5::DOUBLE, 6) AS soft_volume FROM vox GROUP BY t")(lambda d, s, p, v: stats.summary(d, voxel_size=1.5).select("t", "volume", r("soft_volume").alias("soft_volume")))
@@ -107,8 +110,8 @@ query("stat_percentile", "SELECT t, max(CASE WHEN k = floor(0.3::DOUBLE * 63) TH
 query("stat_robust_range", "SELECT t, max(CASE WHEN k = round(0.02::DOUBLE * 63) THEN v END) AS low, max(CASE WHEN k = round(0.98::DOUBLE * 63) THEN v END) AS high FROM (SELECT t, v, row_number() OVER (PARTITION BY t ORDER BY v) - 1 k FROM vox) GROUP BY t")(lambda d, s, p, v: stats.robust_range(d))
 query("stat_histogram_percentile")(lambda d, s, p, v: stats.histogram_percentile(d, 90.0, 1000).select("t", r("percentile").alias("percentile")))
 query("label_volumes", COARSE + ", c AS (SELECT t, v::INT AS value, count(*) n FROM q WHERE v >= 0 GROUP BY ALL), m AS (SELECT t, max(value) top FROM c GROUP BY t), e AS (SELECT t, unnest(range(0, top + 1))::INT AS value FROM m) SELECT e.t, e.value, coalesce(c.n, 0)::BIGINT AS n FROM e LEFT JOIN c ON e.t = c.t AND e.value = c.value")(lambda d, s, p, v: stats.label_volumes(coarse(d)).select("t", "value", "n"))
-query("part_label_volumes", "SELECT p_size AS value, count(*) AS n FROM part GROUP BY 1", raw=True)(lambda d, s, p, v: stats.label_volumes(s.read.parquet(f"{p}/part.parquet").select(F.lit(0).alias("t"), F.col("p_size").cast("double").alias("v"))).where("n > 0").select("value", "n"))
-query("label_means", "SELECT label, round(avg(v), 6) AS mean, count(*) AS n FROM vox WHERE label >= 0 GROUP BY label")(lambda d, s, p, v: stats.label_means(d.select(F.concat_ws("-", "t", "i").alias("i"), "v"), d.select(F.concat_ws("-", "t", "i").alias("i"), "label")).select("label", r("mean").alias("mean"), "n").where("n > 0"))
+query("part_label_volumes", "WITH c AS (SELECT p_size AS value, count(*) AS n FROM part GROUP BY 1) SELECT k::INT AS value, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest(range(0, (SELECT max(value) FROM c) + 1)) AS k) LEFT JOIN c ON k = value", raw=True)(lambda d, s, p, v: stats.label_volumes(s.read.parquet(f"{p}/part.parquet").select(F.lit(0).alias("t"), F.col("p_size").cast("double").alias("v"))).select("value", "n"))
+query("label_means", "WITH c AS (SELECT label, round(avg(v), 6) AS mean, count(*) AS n FROM vox WHERE label >= 0 GROUP BY label) SELECT k::INT AS label, mean, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest(range(0, (SELECT max(label) FROM c) + 1)) AS k) LEFT JOIN c ON k = label")(lambda d, s, p, v: stats.label_means(d.select(F.concat_ws("-", "t", "i").alias("i"), "v"), d.select(F.concat_ws("-", "t", "i").alias("i"), "label")).select("label", r("mean").alias("mean"), "n"))
 _DICE = COARSE + ", a AS (SELECT t, i, greatest(v, 0)::INT l FROM q), b AS (SELECT t - 1 AS t, i, l FROM a), j AS (SELECT a.l AS l, b.l AS m FROM a JOIN b USING (t, i)), k AS (SELECT l AS label, 1 AS na, 0 AS nb, (l = m)::INT AS shared FROM j UNION ALL SELECT m, 0, 1, 0 FROM j) SELECT label, round(2 * sum(shared) / (sum(na) + sum(nb)), 9) AS dice, sum(shared)::BIGINT AS n_both FROM k GROUP BY label"
 
 
@@ -138,7 +141,7 @@ query("ssd_log", "SELECT b.t, round(ln(sum((a.v - b.v) * (a.v - b.v)) + 1), 6) A
 query("joint_entropies")(lambda d, s, p, v: stats.joint_entropies(d.withColumn("v", F.floor(v * 16 + 8)), first(d).withColumn("v", F.floor(v * 16 + 8)), 16).select("t", *[r(c).alias(c) for c in ("h_a", "h_b", "h_joint", "nmi")]))
 query("mean_rms", "WITH l AS (SELECT t // 3 AS t, i, sqrt(sum(v * v)) l FROM vox GROUP BY ALL) SELECT t, round(avg(l), 6) AS mean_rms, round(max(l), 6) AS max_length FROM l GROUP BY t")(lambda d, s, p, v: stats.mean_rms(d.select(F.expr("t div 3").alias("t"), (F.col("t") % 3).alias("u"), "i", "v")).select("t", r("mean_rms").alias("mean_rms"), r("max_length").alias("max_length")))
 query("line_fit", "SELECT b.t, round(regr_slope(a.v, b.v), 6) AS slope, round(regr_intercept(a.v, b.v), 6) AS intercept FROM vox a JOIN vox b ON a.i = b.i WHERE a.t = 0 GROUP BY b.t")(lambda d, s, p, v: stats.line_fit(d, first(d)).select("t", r("slope").alias("slope"), r("intercept").alias("intercept")))
-query("line_normalized", "WITH f AS (SELECT b.t, regr_slope(a.v, b.v) s, regr_intercept(a.v, b.v) c FROM vox a JOIN vox b ON a.i = b.i WHERE a.t = 0 GROUP BY b.t) SELECT vox.t, i, round(s * v + c, 6) + 0 AS v FROM vox JOIN f ON vox.t = f.t")(lambda d, s, p, v: stats.line_normalized(d, first(d)).select("t", "i", r(v).alias("v")))
+query("line_normalized", PAIRED + ", f AS (SELECT t, regr_slope(w, v) s, regr_intercept(w, v) c FROM p GROUP BY t) SELECT p.t, i, round(s * v + c, 6) + 0 AS v FROM p JOIN f ON p.t = f.t")(lambda d, s, p, v: stats.line_normalized(d, first(d)).select("t", "i", r(v).alias("v")))
 query("trimmed_line_fit")(lambda d, s, p, v: stats.trimmed_line_fit(d, first(d)).select("t", r("slope").alias("slope"), r("intercept").alias("intercept")))
 query("polynomial_normalized")(lambda d, s, p, v: stats.polynomial_normalized(d, first(d), 2).select("t", "i", r(v).alias("v")))
 query("quantile_matched")(lambda d, s, p, v: stats.quantile_matched(d, first(d), 32).select("t", "i", r(v).alias("v")))
@@ -147,11 +150,11 @@ query("quantile_matched")(lambda d, s, p, v: stats.quantile_matched(d, first(d),
 
 query("merge", "SELECT 0 AS t, i, v FROM vox WHERE t = 3 UNION ALL SELECT 1, i, v FROM vox WHERE t = 5")(lambda d, s, p, v: reshape.merge([d.where("t = 3").select("t", "i", "v"), d.where("t = 5").select("t", "i", "v")]))
 query("select_plane", "SELECT i, v FROM vox WHERE t = 4")(lambda d, s, p, v: reshape.select_plane(d, 4).select("i", "v"))
-query("split_labels", COARSE + ", l AS (SELECT unnest(range(0, max(v)::INT + 1))::INT AS label FROM q WHERE t < 20) SELECT t, i, l.label, CASE WHEN v = l.label THEN 1.0::DOUBLE ELSE 0 END AS v FROM q, l WHERE t < 20")(lambda d, s, p, v: reshape.split_labels(coarse(d).drop("label").where("t < 20")).select("t", "i", "label", "v"))
+query("split_labels", COARSE + ", l AS (SELECT unnest(range(0, max(v)::INT + 1))::INT AS label FROM q) SELECT t, i, l.label, CASE WHEN v = l.label THEN 1.0::DOUBLE ELSE 0 END AS v FROM q, l")(lambda d, s, p, v: reshape.split_labels(coarse(d).drop("label")).select("t", "i", "label", "v"))
 query("split_interleaved", "SELECT t, x % 2 AS part, x // 2 AS x, y, z, v FROM vox")(lambda d, s, p, v: reshape.split_interleaved(d, "x").select("t", "part", "x", "y", "z", "v"))
 query("join_interleaved", "SELECT t, x, y, z, v FROM vox")(lambda d, s, p, v: reshape.join_interleaved(reshape.split_interleaved(d, "z"), "z").select("t", "x", "y", "z", "v"))
 query("crop", "SELECT t, x - 1 AS x, y - 1 AS y, z - 1 AS z, (x - 1) + 2 * ((y - 1) + 2 * (z - 1)) AS i, v FROM vox WHERE x BETWEEN 1 AND 2 AND y BETWEEN 1 AND 2 AND z BETWEEN 1 AND 2")(lambda d, s, p, v: reshape.crop(d, 1, 4, 4, 4).select("t", "x", "y", "z", "i", "v"))
-query("pad", "SELECT t, x + 1 AS x, y + 1 AS y, z + 1 AS z, v FROM vox")(lambda d, s, p, v: reshape.pad(d, 1, 4, 4, 4).where(~F.isnan("v")).select("t", "x", "y", "z", "v"))
+query("pad", "WITH b AS (SELECT DISTINCT t FROM vox) SELECT b.t, g.x::INT AS x, h.y::INT AS y, k.z::INT AS z, coalesce(v, 0) AS v, v IS NULL AS border FROM b, generate_series(0, 5) g(x), generate_series(0, 5) h(y), generate_series(0, 5) k(z) LEFT JOIN vox ON vox.t = b.t AND vox.x = g.x - 1 AND vox.y = h.y - 1 AND vox.z = k.z - 1")(lambda d, s, p, v: reshape.pad(d, 1, 4, 4, 4).select("t", "x", "y", "z", F.nanvl(v, F.lit(0.0)).alias("v"), F.isnan(v).alias("border")))
 query("subsample_xy", "SELECT t, x // 2 AS x, y // 2 AS y, z, v FROM vox WHERE x % 2 = 0 AND y % 2 = 0")(lambda d, s, p, v: reshape.subsample(d, "xy").select("t", "x", "y", "z", "v"))
 query("subsample_smooth")(lambda d, s, p, v: reshape.subsample(stencil.gaussian(d, 0.5)).select("t", "x", "y", "z", r(v).alias("v")))
 query("flip", "SELECT t, 3 - x AS x, y, z, v FROM vox")(lambda d, s, p, v: reshape.flip(d, "x", 4).select("t", "x", "y", "z", "v"))
@@ -199,9 +202,9 @@ def _votes(d: DataFrame) -> DataFrame:
     return d.select("i", F.col("t").alias("rater"), F.least(F.lit(2), F.greatest(F.lit(0), F.round(F.col("v") * 8 + 1))).cast("int").alias("label"))
 
 
-_VOTES = "WITH r AS (SELECT i, t AS rater, least(2, greatest(0, round(v * 8 + 1)))::INT AS label FROM vox WHERE t < 9) "
-query("majority_vote", _VOTES + ", c AS (SELECT i, label, count(*) n FROM r GROUP BY ALL) SELECT i, label, n FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY n DESC, label) k FROM c) WHERE k = 1")(lambda d, s, p, v: ranking.majority(_votes(d.where("t < 9"))).select("i", "label", "n"))
-query("uncertain_voxels", _VOTES + ", c AS (SELECT i, label, count(*) n FROM r GROUP BY ALL) SELECT i FROM c GROUP BY i HAVING max(n) < ceil(sum(n) * 0.7::DOUBLE)")(lambda d, s, p, v: ranking.uncertain(_votes(d.where("t < 9")), 0.7))
+_VOTES = "WITH r AS (SELECT i, t AS rater, least(2, greatest(0, round(v * 8 + 1)))::INT AS label FROM vox) "
+query("majority_vote", _VOTES + ", c AS (SELECT i, label, count(*) n FROM r GROUP BY ALL) SELECT i, label, n FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY n DESC, label) k FROM c) WHERE k = 1")(lambda d, s, p, v: ranking.majority(_votes(d)).select("i", "label", "n"))
+query("uncertain_voxels", _VOTES + ", c AS (SELECT i, label, count(*) n FROM r GROUP BY ALL) SELECT i FROM c GROUP BY i HAVING max(n) < ceil(sum(n) * 0.7::DOUBLE)")(lambda d, s, p, v: ranking.uncertain(_votes(d), 0.7))
 query("staple")(lambda d, s, p, v: ranking.staple(_votes(d), 3)[0].select("i", "label", r("p").alias("p")))
 query("shape_average")(lambda d, s, p, v: ranking.shape_average(components.signed_distance(d.withColumn("v", (v > 0).cast("double"))).select("i", F.col("t").alias("rater"), F.explode(F.array(F.struct(F.lit(0).alias("label"), (-F.col("d")).alias("d")), F.struct(F.lit(1).alias("label"), F.col("d").alias("d")))).alias("_s")).select("i", "rater", "_s.label", "_s.d")))
 query("block_variances", "SELECT t, bx, \"by\", bz, round(var, 6) AS var FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY var DESC, bz, \"by\", bx) k, count(*) OVER (PARTITION BY t) c FROM (SELECT t, (x // 2) AS bx, (y // 2) AS \"by\", (z // 2) AS bz, var_pop(v) var FROM vox GROUP BY ALL)) WHERE k <= ceil(c * 0.5)")(lambda d, s, p, v: ranking.block_variances(d, 2, 0.5).select("t", "bx", "by", "bz", r("var").alias("var")))
@@ -216,10 +219,10 @@ query("local_map_labels")(lambda d, s, p, v: cluster.local_map_labels(d.withColu
 
 # --- components, distances, warps
 
-_CC = """WITH RECURSIVE vox AS (SELECT vec_id t, (u - 1)::INT i, ((u - 1) % 4)::INT x, (((u - 1) // 4) % 4)::INT y, ((u - 1) // 16)::INT z, embedding[u]::DOUBLE v FROM embeddings, generate_series(1, 64) g(u)),
-s AS (SELECT * FROM vox WHERE v > 0.05::DOUBLE AND t < 60), e AS (SELECT a.t, a.i AS a, b.i AS b FROM s a JOIN s b ON a.t = b.t AND abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1),
+_CC = """WITH RECURSIVE vox AS MATERIALIZED (SELECT vec_id t, (u - 1)::INT i, ((u - 1) % 4)::INT x, (((u - 1) // 4) % 4)::INT y, ((u - 1) // 16)::INT z, embedding[u]::DOUBLE v FROM embeddings, generate_series(1, 64) g(u)),
+s AS MATERIALIZED (SELECT * FROM vox WHERE v > 0.05::DOUBLE), e AS MATERIALIZED (SELECT a.t, a.i AS a, b.i AS b FROM s a JOIN s b ON a.t = b.t AND abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1),
 c(t, i, component) AS (SELECT t, i, i FROM s UNION SELECT e.t, e.b, c.component FROM c JOIN e ON e.t = c.t AND e.a = c.i) SELECT t, i, min(component) AS component FROM c GROUP BY t, i"""
-query("components", _CC, raw=True)(lambda d, s, p, v: components.components(d.where("v > 0.05 and t < 60"), 6).select("t", "i", "component"))
+query("components", _CC, raw=True)(lambda d, s, p, v: components.components(d.where("v > 0.05"), 6).select("t", "i", "component"))
 query("components_26")(lambda d, s, p, v: components.sized_components(d.where("v > 0.1"), 26))
 query("largest_component")(lambda d, s, p, v: components.largest_component(d.where("v > 0.05"), 6).select("t", "i"))
 query("fill_holes")(lambda d, s, p, v: components.fill_holes(d, 4, 4, 4).select("t", "i", "v"))
@@ -275,7 +278,9 @@ query("prior_strength")(lambda d, s, p, v: s.createDataFrame([(k, round(x, 6)) f
 query("spline_field")(lambda d, s, p, v: registration.spline_field(d, s.range(216).select((F.col("id") % 6 - 1).cast("int").alias("cx"), (F.expr("id div 6") % 6 - 1).cast("int").alias("cy"), (F.expr("id div 36") - 1).cast("int").alias("cz")).withColumns({"ux": F.col("cx") * 2.0, "uy": F.col("cy") * 2.0, "uz": F.col("cz") * 2.0 + 1}), 2).select("t", "i", *[r(f"p{a}").alias(f"p{a}") for a in "xyz"]))
 query("bending_energy")(lambda d, s, p, v: registration.bending_energy(d.select("t", *[F.col(a).alias(f"c{a}") for a in "xyz"], v.alias("ux"), (v * v).alias("uy"), F.lit(0.0).alias("uz"))).select("t", r("bending_energy").alias("bending_energy")))
 query("affine_fit")(lambda d, s, p, v: s.createDataFrame([(k, *map(float, (row + 0.0).round(6))) for k, row in enumerate(registration.affine_fit(registration.affine_field(d, _TURN).select(*[F.col(a).cast("double").alias(f"p{a}") for a in "xyz"], *[F.col(f"p{a}").alias(f"q{a}") for a in "xyz"])))], "row int, x double, y double, z double, w double"))
-query("close_by_distance")(lambda d, s, p, v: components.distance(d.withColumn("v", v - 0.1)).select("t", "i", (F.col("d") <= 1.0).cast("int").alias("v")))
+_BALL = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 1"
+query("close_by_distance", f"WITH m AS (SELECT t, max(v) AS top FROM vox GROUP BY t), s AS MATERIALIZED (SELECT vox.t, x, y, z FROM vox JOIN m ON m.t = vox.t WHERE v > 0.5::DOUBLE * top), l AS MATERIALIZED (SELECT t, g.x::INT AS x, h.y::INT AS y, k.z::INT AS z FROM m, generate_series(-1, 4) g(x), generate_series(-1, 4) h(y), generate_series(-1, 4) k(z)), o AS MATERIALIZED (SELECT * FROM l a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE a.t = b.t AND {_BALL})) SELECT a.t, a.i, CASE WHEN EXISTS (SELECT 1 FROM o b WHERE a.t = b.t AND {_BALL}) THEN 0.0::DOUBLE ELSE 1 END AS v FROM vox a")(lambda d, s, p, v: components.close_by_distance(d, 1, 4, 4, 4).select("t", "i", "v"))
+query("open_by_distance", f"WITH m AS (SELECT t, max(v) AS top FROM vox GROUP BY t), s AS MATERIALIZED (SELECT vox.t, x, y, z FROM vox JOIN m ON m.t = vox.t WHERE v <= 0.1::DOUBLE * top), o AS MATERIALIZED (SELECT t, x, y, z FROM vox a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE a.t = b.t AND {_BALL})) SELECT a.t, a.i, CASE WHEN EXISTS (SELECT 1 FROM o b WHERE a.t = b.t AND {_BALL}) THEN 1.0::DOUBLE ELSE 0 END AS v FROM vox a")(lambda d, s, p, v: components.open_by_distance(d, 1, 0.1).select("t", "i", "v"))
 query("components_18")(lambda d, s, p, v: components.sized_components(d.where("v > 0.1"), 18))
 
 # --- the same operators on the other tables
