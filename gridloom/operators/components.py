@@ -102,6 +102,13 @@ def geodesic(voxels: DataFrame, most: int = 10000) -> DataFrame:
     raise RuntimeError(f"not settled after {most} rounds")
 
 
+def signed_geodesic(voxels: DataFrame) -> DataFrame:
+    """v: travel time to the nearest outside voxel inside, minus that to the nearest inside one outside; null where there is none."""
+    finite = lambda c: F.when(F.col(c) < float("inf"), F.col(c))
+    inner = geodesic(voxels.withColumn("v", 1.0 - (F.col("v") > 0).cast("double"))).select("t", "i", finite("time").alias("_in"))
+    return geodesic(voxels).join(inner, ["t", "i"]).withColumn("v", F.when(F.col("v") > 0, F.col("_in")).otherwise(-finite("time"))).drop("_in", "time")
+
+
 def _within(voxels: DataFrame, n: int) -> DataFrame:
     """set: whether a voxel with set lies within n voxels, by exact squared distances up to n, one axis after another."""
     out = voxels.withColumn("_d", F.when(F.col("set"), 0))

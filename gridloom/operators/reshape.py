@@ -18,6 +18,15 @@ def merge(images: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [d.withColumn("t", F.lit(k)) for k, d in enumerate(images)])
 
 
+def append(first: DataFrame, second: DataFrame) -> DataFrame:
+    """second's volumes after first's along t, each keeping its order."""
+    last = first.agg(F.max("t")).first()[0]
+    start = (second.agg(F.min("t")).first()[0] or 0) if "t" in second.columns else 0
+    names = [c for c in ("t", "z", "y", "x", "i", "v") if c in first.columns]
+    moved = (second if "t" in second.columns else second.withColumn("t", F.lit(0))).withColumn("t", F.col("t") + F.lit((-1 if last is None else last) + 1 - start))
+    return first.select(*names).unionByName(moved.select(*names))
+
+
 def select_plane(voxels: DataFrame, t: int) -> DataFrame:
     return voxels.where(F.col("t") == t).drop("t")
 

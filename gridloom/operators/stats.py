@@ -129,6 +129,20 @@ def z_scores(voxels: DataFrame) -> DataFrame:
     return joined.groupBy("t").agg(F.avg((F.col("v") - F.col("_m")) * (F.col("v") - F.col("_m")) / F.col("_s")).alias("z_score"))
 
 
+def z_scored(voxels: DataFrame, by: list[str] = KEY) -> DataFrame:
+    """Every voxel less its volume's mean, over its population deviation."""
+    w = Window.partitionBy(*by)
+    v = F.when(~F.isnan("v"), F.col("v"))
+    return voxels.withColumn("v", (F.col("v") - F.avg(v).over(w)) / F.nullif(F.stddev_pop(v).over(w), F.lit(0.0)))
+
+
+def robust_z_scored(voxels: DataFrame, share: float, by: list[str] = KEY) -> DataFrame:
+    """As z_scored() by mean and deviation of the voxels strictly between the order statistics of share and 1 - share."""
+    bounds = robust_range(voxels, share, by)
+    inner = voxels.join(bounds, by).where("v > low and v < high").groupBy(*by).agg(F.avg("v").alias("_m"), F.stddev_pop("v").alias("_s"))
+    return voxels.join(inner, by).withColumn("v", (F.col("v") - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))).drop("_m", "_s")
+
+
 def histogram(voxels: DataFrame, bins: int, by: list[str] = KEY) -> DataFrame:
     """Counts in `bins` equal bins from least to largest value; the largest is in the last."""
     w = Window.partitionBy(*by)
@@ -208,6 +222,10 @@ def trimmed_line_fit(a: DataFrame, b: DataFrame, keep: float = 0.5, rounds: int
     return fit
 
 
+def trimmed_line_normalized(a: DataFrame, b: DataFrame, keep: float = 0.5, rounds: int = 5) -> DataFrame:
+    return a.join(trimmed_line_fit(a, b, keep, rounds), "t").withColumn("v", F.col("slope") * F.col("v") + F.col("intercept")).drop("slope", "intercept")
+
+
 def polynomial_sums(a: DataFrame, b: DataFrame, order: int) -> DataFrame:
     """Normal-equation sums of v^k and v^k w, k up to 2 order and order: one pass, one row an image."""
     v, w = F.col("v"), F.col("w")
@@ -232,12 +250,21 @@ def polynomial_fit(a: DataFrame, b: DataFrame, order: int = 2) -> DataFrame:
     return polynomial_sums(a, b, order).mapInPandas(solve, "t long, coefficients array<double>")
 
 
-def polynomial_normalized(a: DataFrame, b: DataFrame, order: int = 2) -> DataFrame:
-    fit = polynomial_fit(a, b, order)
+def _applied(a: DataFrame, fit: DataFrame) -> DataFrame:
+    """Every voxel through its volume's polynomial (t, coefficients)."""
     value = F.aggregate(F.reverse("coefficients"), F.lit(0.0), lambda acc, c: acc * F.col("v") + c)
     return a.join(fit, "t").withColumn("v", value).drop("coefficients")
 
 
+def polynomial_normalized(a: DataFrame, b: DataFrame, order: int = 2) -> DataFrame:
+    return _applied(a, polynomial_fit(a, b, order))
+
+
+def masked_normalized(a: DataFrame, b: DataFrame, mask: DataFrame, fit) -> DataFrame:
+    """All voxels through a fit(a, b) of polynomials that is made inside the mask (i, v) only."""
+    return _applied(a, fit(masked(a, mask), masked(b, mask)))
+
+
 def ranked(voxels: DataFrame) -> DataFrame:
     """v, rank from 0 in ascending order over the whole table and n, by range partitions: no task sorts all of it."""
     ranged = cut(valid(voxels).select("v").repartitionByRange("v").withColumn("part", F.spark_partition_id()))
@@ -250,8 +277,8 @@ def ranked(voxels: DataFrame) -> DataFrame:
     return ranged.select("v", (base + F.row_number().over(Window.partitionBy("part").orderBy("v")) - 1).cast("bigint").alias("rank"), F.lit(total).cast("bigint").alias("n"))
 
 
-def quantile_matched(a: DataFrame, b: DataFrame, points: int = 1000, order: int = 1) -> DataFrame:
-    """Polynomial fit of b's order statistics on those of each image of a, applied to the image."""
+def quantile_fit(a: DataFrame, b: DataFrame, points: int = 1000, order: int = 1) -> DataFrame:
+    """Polynomial fit of b's order statistics on those of each image of a."""
     w = Window.partitionBy("t")
     placed = valid(a).select("t", "v").withColumns({"rank": (F.row_number().over(w.orderBy("v")) - 1).cast("bigint"), "n": F.count("v").over(w)})
 
@@ -260,6 +287,8 @@ def quantile_matched(a: DataFrame, b: DataFrame, points: int = 1000, order: int
         wanted = wanted.select(*by, "i", F.floor(F.col("i") / points * (F.col("n") - 1)).alias("rank"))
         return d.join(wanted, [*by, "rank"]).select(*by, "i", F.col("v").alias(name))
 
-    fit = polynomial_fit(at(placed, ["t"], "v"), at(ranked(b), [], "v"), order)
-    value = F.aggregate(F.reverse("coefficients"), F.lit(0.0), lambda acc, c: acc * F.col("v") + c)
-    return a.join(fit, "t").withColumn("v", value).drop("coefficients")
+    return polynomial_fit(at(placed, ["t"], "v"), at(ranked(b), [], "v"), order)
+
+
+def quantile_matched(a: DataFrame, b: DataFrame, points: int = 1000, order: int = 1) -> DataFrame:
+    return _applied(a, quantile_fit(a, b, points, order))

@@ -94,6 +94,13 @@ def gaussian(voxels: DataFrame, sigma: float) -> DataFrame:
     return convolve(voxels, gaussian_weights(sigma))
 
 
+def fill_missing(voxels: DataFrame, mask: DataFrame, sigma: float) -> DataFrame:
+    """NaN voxels inside the mask (i, v) become the Gaussian mean of what is around them; all others stay."""
+    smooth = gaussian(voxels.withColumn("_v", F.col("v")), sigma)
+    inside = smooth.join(mask.select("i", (F.col("v") > 0).alias("_in")), "i", "left")
+    return inside.withColumn("v", F.when(F.isnan("_v") & F.coalesce("_in", F.lit(False)), F.col("v")).otherwise(F.col("_v"))).drop("_v", "_in")
+
+
 def fwhm_smooth(voxels: DataFrame, fwhm: float, size: float = 1.0) -> DataFrame:
     return gaussian(voxels, max(fwhm / size, 1.0) / math.sqrt(8 * math.log(2)))
 

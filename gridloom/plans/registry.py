@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.functions import voxelwise as vx
-from gridloom.operators import bias, cluster, components, kernels, patches, ranking, registration, reshape, stats, stencil
+from gridloom.operators import bias, cluster, components, kernels, patches, ranking, registration, reshape, segmentation, stats, stencil
 from gridloom.plans.chain import compile_chain
 from gridloom.sources.voxels import test_volumes
 
@@ -76,14 +76,12 @@ def coarse(d: DataFrame, scale: float = 20.0) -> DataFrame:
 COARSE = "WITH q AS (SELECT t, label, i, x, y, z, round(v * 20) AS v FROM vox) "
 
 query("vox_masknan", PAIRED + "SELECT t, i, CASE WHEN w > 0 THEN v ELSE 0 END + 0 AS v, NOT (w > 0) AS missing FROM p")(lambda d, s, p, v: d.join(first(d).withColumnRenamed("v", "m"), "i").withColumn("v", vx.mask_nan(v, F.col("m"))).select("t", "i", F.nanvl(v, F.lit(0.0)).alias("v"), F.isnan(v).alias("missing")))
-query("vox_zscore", "SELECT t, i, round((v - avg(v) OVER (PARTITION BY t)) / stddev_pop(v) OVER (PARTITION BY t), 6) AS v FROM vox")(lambda d, s, p, v: d.select("t", "i", r((v - F.avg("v").over(Window.partitionBy("t"))) / F.stddev_pop("v").over(Window.partitionBy("t"))).alias("v")))
+query("vox_zscore", "SELECT t, i, round((v - avg(v) OVER (PARTITION BY t)) / stddev_pop(v) OVER (PARTITION BY t), 6) AS v FROM vox")(lambda d, s, p, v: stats.z_scored(d).select("t", "i", r(v).alias("v")))
 
 
 @query("vox_robust_z", "WITH o AS (SELECT t, max(CASE WHEN k = round(0.1::DOUBLE * 63) THEN v END) lo, max(CASE WHEN k = round(0.9::DOUBLE * 63) THEN v END) hi FROM (SELECT t, v, row_number() OVER (PARTITION BY t ORDER BY v) - 1 k FROM vox) GROUP BY t), m AS (SELECT x.t, avg(v) m, stddev_pop(v) s FROM vox x JOIN o ON x.t = o.t WHERE v > lo AND v < hi GROUP BY x.t) SELECT y.t, i, round((v - m) / s, 6) + 0 AS v FROM vox y JOIN m ON y.t = m.t")
 def _robust_z(d, s, p, v):
-    bounds = stats.robust_range(d, 0.1)
-    inner = d.join(bounds, "t").where("v > low and v < high").groupBy("t").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
-    return d.join(inner, "t").select("t", "i", r((v - F.col("m")) / F.col("s")).alias("v"))
+    return stats.robust_z_scored(d, 0.1).select("t", "i", r(v).alias("v"))
 
 
 query("vox_rescale", "SELECT t, i, round((v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) * 255, 6) AS v FROM vox WINDOW w AS (PARTITION BY t)")(lambda d, s, p, v: d.withColumns({"lo": F.min("v").over(Window.partitionBy("t")), "hi": F.max("v").over(Window.partitionBy("t"))}).select("t", "i", r(vx.rescale(v, F.col("lo"), F.col("hi"), 0.0, 255.0)).alias("v")))
@@ -274,6 +272,7 @@ query("nmi")(lambda d, s, p, v: bias.smoothed_nmi(d.withColumn("v", v * 60 + 34)
 query("patch_matches")(lambda d, s, p, v: patches.patch_matches(d.where("t = 0"), d.where("t <> 0"), 3))
 query("patch_labels")(lambda d, s, p, v: patches.fuse_labels(patches.patch_matches(d.where("t = 0"), d.where("t <> 0"), 3), d.select("t", "x", "y", "z", (v > 0).cast("int").alias("label"))))
 query("masked_polynomial")(lambda d, s, p, v: stats.polynomial_normalized(stats.masked(d, first(d)), first(d), 2).select("t", "i", r(v).alias("v")))
+query("em_segment")(lambda d, s, p, v: segmentation.segment(d, 2, beta=0.3, bias_order=1, shape=(4, 4, 4), outliers=3.0, rounds=5).select("t", "i", "label", r(F.col("p")[0]).alias("p"), r("bias").alias("bias")))
 query("prior_strength")(lambda d, s, p, v: s.createDataFrame([(k, round(x, 6)) for k, x in sorted(cluster.mrf_strength(d.withColumn("label", (F.col("i") * 7 + F.col("t")) % 3 + 1), 3)[0].items())], "label int, share double"))
 query("spline_field")(lambda d, s, p, v: registration.spline_field(d, s.range(216).select((F.col("id") % 6 - 1).cast("int").alias("cx"), (F.expr("id div 6") % 6 - 1).cast("int").alias("cy"), (F.expr("id div 36") - 1).cast("int").alias("cz")).withColumns({"ux": F.col("cx") * 2.0, "uy": F.col("cy") * 2.0, "uz": F.col("cz") * 2.0 + 1}), 2).select("t", "i", *[r(f"p{a}").alias(f"p{a}") for a in "xyz"]))
 query("bending_energy")(lambda d, s, p, v: registration.bending_energy(d.select("t", *[F.col(a).alias(f"c{a}") for a in "xyz"], v.alias("ux"), (v * v).alias("uy"), F.lit(0.0).alias("uz"))).select("t", r("bending_energy").alias("bending_energy")))

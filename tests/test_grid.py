@@ -139,6 +139,60 @@ def test_chain_fails_before_it_runs(spark):
             compile_chain(bad)
 
 
+def test_more_chain_steps(spark):
+    rng = np.random.default_rng(6)
+    v = np.stack([np.arange(60.0).reshape(3, 4, 5) + rng.normal(size=(3, 4, 5)), rng.normal(size=(3, 4, 5))])
+    rows = [(t, x + 5 * (y + 4 * z), x, y, z, float(v[t, z, y, x])) for t in range(2) for z in range(3) for y in range(4) for x in range(5)]
+    d = spark.createDataFrame(rows, "t int, i int, x int, y int, z int, v double")
+    other = d.where("t = 1").withColumn("v", F.col("v") * 2 + 1)
+
+    def run(*steps, on=d, **images):
+        out = compile_chain(list(steps), images)(on).collect()
+        return {(r.t, r.z, r.y, r.x): r.v for r in out}
+
+    same = lambda got, want: got.keys() == {k for k, _ in np.ndenumerate(want)} and np.allclose([got[k] for k, _ in np.ndenumerate(want)], want.ravel())
+    assert same(run("-z"), (v - v.mean((1, 2, 3), keepdims=True)) / v.std((1, 2, 3), keepdims=True))
+    assert same(run("-tmean"), v.mean(0)[None]) and same(run("-tmax"), v.max(0)[None]) and same(run("-tmin"), v.min(0)[None]) and same(run("-tpmax"), v.argmax(0)[None])
+    for axis, k in (("x", 3), ("y", 2), ("z", 1)):
+        assert same(run(f"-flipimg{axis}"), np.flip(v, k))
+    assert same(run("-pad", "1", "-removenan"), np.pad(v, ((0, 0), (1, 1), (1, 1), (1, 1)))) and same(run("-pad", "2", "-crop", "2"), v)
+    assert same(run("-merge", "more", more=other), np.concatenate([v, v[1:] * 2 + 1]))
+    inner = np.sort(v.reshape(2, -1), 1)[:, [6, 53]]
+    keep = [a[(a > lo) & (a < hi)] for a, (lo, hi) in zip(v, inner, strict=True)]
+    assert same(run("-zr", "10"), np.stack([(a - k.mean()) / k.std() for a, k in zip(v, keep, strict=True)]))
+    labels = d.where("t = 0").withColumn("v", F.floor(F.col("v").cast("double") / 30 + 1).cast("double"))
+    split = run("-splitlab", on=labels)
+    assert {k[0] for k in split} == {0, 1, 2} and sum(split.values()) == 60
+    line = lambda a, b: np.polyfit(a.ravel(), b.ravel(), 1)
+    b = v[1] * 2 + 1
+    assert same(run("-qlsnorm", "1", "o", o=other), np.stack([np.polyval(line(a, b), a) for a in v]))
+    everywhere = other.withColumn("v", F.lit(1.0))
+    assert run("-qlsnorm_mask", "1", "o", "m", o=other, m=everywhere) == pytest.approx(run("-qlsnorm", "1", "o", o=other))
+    assert run("-qlshnorm_mask", "1", "o", "m", o=other, m=everywhere) == pytest.approx(run("-qlshnorm", "1", "o", o=other))
+    exact = run("-lltsnorm", "o", on=d.where("t = 1"), o=other)
+    assert np.allclose([exact[1, *k] for k, _ in np.ndenumerate(b)], b.ravel())
+
+
+def test_chain_steps_of_components_and_distances(spark):
+    values = np.zeros((5, 6, 7))
+    values[1:4, 1:4, 1:4] = 1
+    values[2, 2, 2] = 0
+    values[4, 5, 6] = 1
+    rows = [(3, x + 7 * (y + 6 * z), x, y, z, float(values[z, y, x])) for z in range(5) for y in range(6) for x in range(7)]
+    d = spark.createDataFrame(rows, "t int, i int, x int, y int, z int, v double")
+    at = lambda *steps, **images: {(r.z, r.y, r.x): r.v for r in compile_chain(list(steps), images)(d).collect()}
+    for step in ("-concomp6", "-concomp26"):
+        got = at(step)
+        assert got[1, 1, 1] == 1 and got[4, 5, 6] == 2 and got[2, 2, 2] == 0 and sum(v == 1 for v in got.values()) == 26
+    assert sum(at("-lconcomp").values()) == 26 and sum(at("-fill").values()) == 28
+    euclid, times = at("-euc"), at("-geo", "2")
+    assert euclid[2, 2, 2] == -1 and euclid[1, 1, 1] == 1 and euclid[0, 0, 0] == pytest.approx(-(3**0.5))
+    assert times[2, 2, 2] == -0.5 and times[1, 1, 1] == 0.5 and times[0, 0, 0] == -1.5
+    holed = d.withColumn("v", F.when(F.col("i") == 100, float("nan")).otherwise(F.lit(2.0)))
+    filled = compile_chain(["-smoNaN", "m", "1"], {"m": d.withColumn("v", F.lit(1.0))})(holed).collect()
+    assert {r.v for r in filled} == {2.0}
+
+
 def test_running_average_of_a_stream(spark, tmp_path):
     for k in range(3):
         spark.createDataFrame([(i, float(i * k)) for i in range(4)], "i int, v double").coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
