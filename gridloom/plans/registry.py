@@ -230,6 +230,8 @@ _TURN = [[0.9, 0.1, 0.0, 0.2], [-0.1, 0.9, 0.0, 0.3], [0.0, 0.0, 1.0, 0.5], [0.0
 query("affine_field", "SELECT t, i, round(0.9::DOUBLE * x + 0.1::DOUBLE * y + 0.2::DOUBLE, 6) + 0 AS px, round(-0.1::DOUBLE * x + 0.9::DOUBLE * y + 0.3::DOUBLE, 6) + 0 AS py, round(z + 0.5::DOUBLE, 6) AS pz FROM vox")(lambda d, s, p, v: registration.affine_field(d, _TURN).select("t", "i", r("px").alias("px"), r("py").alias("py"), r("pz").alias("pz")))
 query("resample_nearest", "WITH p AS (SELECT t, i, floor(0.9::DOUBLE * x + 0.1::DOUBLE * y + 0.2::DOUBLE + 0.5)::INT x, floor(-0.1::DOUBLE * x + 0.9::DOUBLE * y + 0.3::DOUBLE + 0.5)::INT y, floor(z + 0.5::DOUBLE + 0.5)::INT z FROM vox) SELECT p.t, p.i, coalesce(vox.v, 0) AS v FROM p LEFT JOIN vox ON p.t = vox.t AND p.x = vox.x AND p.y = vox.y AND p.z = vox.z")(lambda d, s, p, v: registration.resample(registration.affine_field(d, _TURN), d, False))
 query("resample_linear")(lambda d, s, p, v: registration.resample(registration.affine_field(d, _TURN), d).select("t", "i", r(v).alias("v")))
+_TAPS = ", ".join(f"floor(p{a})::INT + k{a}.k AS {a}, CASE k{a}.k WHEN -1 THEN f{a} * ((2 - f{a}) * f{a} - 1) WHEN 0 THEN f{a} * f{a} * (3 * f{a} - 5) + 2 WHEN 1 THEN f{a} * ((4 - 3 * f{a}) * f{a} + 1) ELSE (f{a} - 1) * f{a} * f{a} END / 2 AS w{a}" for a in "xyz")
+query("resample_cubic", "WITH f AS (SELECT t, i, 0.9::DOUBLE * x + 0.1::DOUBLE * y + 0.2::DOUBLE AS px, -0.1::DOUBLE * x + 0.9::DOUBLE * y + 0.3::DOUBLE AS py, z + 0.5::DOUBLE AS pz FROM vox), g AS (SELECT *, " + ", ".join(f"p{a} - floor(p{a}) AS f{a}" for a in "xyz") + " FROM f), h AS (SELECT t, i, " + _TAPS + " FROM g, " + ", ".join(f"generate_series(-1, 2) k{a}(k)" for a in "xyz") + ") SELECT h.t, h.i, round(sum(wx * wy * wz * coalesce(v, 0)), 6) + 0 AS v FROM h LEFT JOIN vox ON vox.t = h.t AND vox.x = h.x AND vox.y = h.y AND vox.z = h.z GROUP BY h.t, h.i")(lambda d, s, p, v: registration.resample_cubic(registration.affine_field(d, _TURN), d).select("t", "i", r(v).alias("v")))
 query("jacobian")(lambda d, s, p, v: registration.jacobian(registration.affine_field(d, _TURN)).select("t", "i", r("jacobian").alias("jacobian")))
 query("block_match")(lambda d, s, p, v: registration.block_match(d, d.withColumn("x", F.col("x") + 1), 2, 1).select("t", "bx", "by", "bz", "dx", "dy", "dz"))
 query("exponentiate")(lambda d, s, p, v: registration.exponentiate(d.withColumns({"ux": v * 0.1, "uy": F.lit(0.05), "uz": F.lit(0.0)}), 2).select("t", "i", *[r(f"p{a}").alias(f"p{a}") for a in "xyz"]))

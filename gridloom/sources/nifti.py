@@ -38,10 +38,14 @@ def quaternion_matrix(b: float, c: float, d: float, offset, spacing, sign: float
     return out.tolist()
 
 
-def parse(name: str, data: bytes) -> tuple[dict, np.ndarray | None]:
-    """Header fields and the voxels (u, t, z, y, x), unscaled; None where the data stand in another file."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+def _plain(data: bytes) -> bytes:
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+
+
+def parse(name: str, data: bytes, image: bytes | None = None) -> tuple[dict, np.ndarray | None]:
+    """Header fields and the voxels (u, t, z, y, x), unscaled; None where the data stand in another file, unless its bytes
+    are given as image."""
+    data = _plain(data)
     if len(data) < 348:
         raise ValueError(f"{name}: shorter than a header")
     order = "<" if struct.unpack("<i", data[:4])[0] == 348 else ">"
@@ -65,8 +69,11 @@ def parse(name: str, data: bytes) -> tuple[dict, np.ndarray | None]:
         "qto_xyz": quaternion_matrix(*quat[:3], quat[3:], pixdim[1:4], -1.0 if pixdim[0] < 0 else 1.0), "descrip": data[148:228].split(b"\0")[0].decode("latin-1"), "intent_code": get("h", 68)[0] if nifti else 0, "units": UNITS.get(data[123] & 7, "unknown") if nifti else "unknown",
     }
     if magic == b"ni1" or not nifti:
-        return head, None
-    at = max(352, int(get("f", 108)[0]))
+        if image is None:
+            return head, None
+        data, at = _plain(image), int(max(0.0, get("f", 108)[0]))
+    else:
+        at = max(352, int(get("f", 108)[0]))
     kind = np.dtype(TYPES[code][1]).newbyteorder(order)
     count = int(np.prod(sizes))
     return head, np.frombuffer(data, kind, count, at).reshape(sizes[::-1])
@@ -109,6 +116,14 @@ def files(spark: SparkSession, path: str, pattern: str = "*.nii*", deep: bool =
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", deep).load(path)
 
 
+def pairs(spark: SparkSession, path: str, deep: bool = False) -> DataFrame:
+    """Header files with their image files: (path of the header, content, image); names differ in .hdr and .img (or .gz of these) only."""
+    stem = lambda c: F.regexp_replace(c, r"\.(hdr|img)(\.gz)?$", "")
+    heads = files(spark, path, "*.hdr*", deep).select("path", "content", stem("path").alias("_stem"))
+    images = files(spark, path, "*.img*", deep).select(F.col("content").alias("image"), stem("path").alias("_stem"))
+    return heads.join(images, "_stem").drop("_stem")
+
+
 def headers(spark: SparkSession, path: str, pattern: str = "*.nii*") -> DataFrame:
     """One row a file: a header-only scan."""
 
@@ -120,12 +135,13 @@ def headers(spark: SparkSession, path: str, pattern: str = "*.nii*") -> DataFram
 
 
 def voxels(spark: SparkSession, path: str, pattern: str = "*.nii*", times: list[int] | None = None) -> DataFrame:
-    """Voxel rows of all files, scaled by slope and intercept where the slope is not 0; times reads these planes only."""
+    """Voxel rows of all files, scaled by slope and intercept where the slope is not 0; times turns these planes only into
+    rows. A pattern that ends in .hdr reads pairs of header and image files."""
 
     def run(batches):
         for pdf in batches:
-            for name, content in zip(pdf.path, pdf.content, strict=True):
-                head, data = parse(name, bytes(content))
+            for name, content, image in zip(pdf.path, pdf.content, pdf.image, strict=True):
+                head, data = parse(name, bytes(content), None if image is None else bytes(image))
                 if data is None:
                     raise ValueError(f"{name}: the voxels stand in another file")
                 nu, nt, nz, ny, nx = data.shape
@@ -137,19 +153,50 @@ def voxels(spark: SparkSession, path: str, pattern: str = "*.nii*", times: list[
                         i = np.arange(v.size)
                         yield pd.DataFrame({"img": name, "u": u, "t": t, "z": i // (nx * ny), "y": i // nx % ny, "x": i % nx, "i": i, "v": v})
 
-    return files(spark, path, pattern).select("path", "content").mapInPandas(run, VOXELS)
+    single = lambda: files(spark, path, pattern).select("path", "content", F.lit(None).cast("binary").alias("image"))
+    return (pairs(spark, path) if pattern.endswith((".hdr", ".hdr.gz", ".hdr*")) else single()).mapInPandas(run, VOXELS)
 
 
-def encode(table: DataFrame, nx: int, ny: int, nz: int, datatype: str = "float32") -> DataFrame:
-    """(img, content): one NIfTI file's bytes for each img of a voxel table (img, t, i, v)."""
+def encode(table: DataFrame, nx: int, ny: int, nz: int, datatype: str = "float32", heads: DataFrame | None = None) -> DataFrame:
+    """(img, content): one NIfTI file's bytes for each img of a voxel table (img, t, i, v); heads (as of headers()) gives spacing,
+    orientation and description of the images that it holds, values being stored as they are."""
+    own, known = ["dx", "dy", "dz", "sto_xyz", "descrip"], heads is not None
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         nt = int(pdf.t.max()) + 1
         out = np.full(nt * nx * ny * nz, np.nan)
         out[pdf.t.to_numpy() * nx * ny * nz + pdf.i.to_numpy()] = pdf.v
-        return pd.DataFrame({"img": [pdf.img.iloc[0]], "content": [build(out.reshape(nt, nz, ny, nx), datatype)]})
+        head = {}
+        if known and pdf.descrip.iloc[0] is not None:
+            first = pdf.iloc[0]
+            head = {"spacing": (first.dx, first.dy, first.dz), "sform": [list(map(float, r)) for r in first.sto_xyz], "descrip": first.descrip}
+        return pd.DataFrame({"img": [pdf.img.iloc[0]], "content": [build(out.reshape(nt, nz, ny, nx), datatype, **head)]})
+
+    rows = table.select("img", "t", "i", "v")
+    if heads is not None:
+        rows = rows.join(heads.select("img", *own), "img", "left")
+    return rows.groupBy("img").applyInPandas(run, "img string, content binary")
+
+
+def ranged(heads: DataFrame, table: DataFrame) -> DataFrame:
+    """heads with cal_min and cal_max from the least and largest value of each image's voxels (img, v)."""
+    found = table.where(~F.isnan("v")).groupBy("img").agg(F.min("v").alias("_low"), F.max("v").alias("_high"))
+    return heads.join(found, "img", "left").withColumns({"cal_min": F.coalesce("_low", "cal_min"), "cal_max": F.coalesce("_high", "cal_max")}).drop("_low", "_high")
+
+
+def unscaled(heads: DataFrame) -> DataFrame:
+    """heads with a slope of 1 and an intercept of 0."""
+    return heads.withColumns({"scl_slope": F.lit(1.0), "scl_inter": F.lit(0.0)})
+
+
+def with_header_of(table: DataFrame, img: str) -> DataFrame:
+    """The voxels of a table (img, ...) under the name, and so the header row, of another image."""
+    return table.withColumn("img", F.lit(img))
+
 
-    return table.select("img", "t", "i", "v").groupBy("img").applyInPandas(run, "img string, content binary")
+def header_lines(heads: DataFrame) -> DataFrame:
+    """(img, json): each header as a line of JSON."""
+    return heads.select("img", F.to_json(F.struct(*heads.columns)).alias("json"))
 
 
 def intlist(text: str) -> list[int]:

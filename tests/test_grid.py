@@ -130,6 +130,36 @@ def test_nifti_round_trip(spark, tmp_path):
         nifti.parse("bad", b"x" * 400)
 
 
+def test_header_tables_and_pairs(spark, tmp_path):
+    data = np.arange(2 * 3 * 4 * 5, dtype=float).reshape(2, 3, 4, 5)
+    turn = [[0.0, -2.0, 0.0, 7.0], [1.0, 0.0, 0.0, 8.0], [0.0, 0.0, 3.0, 9.0]]
+    whole = nifti.build(data, "int16", spacing=(1, 2, 3), sform=turn, descrip="pair")
+    head = bytearray(whole[:348])
+    head[344:348] = b"ni1\0"
+    head[108:112] = np.float32(0).tobytes()
+    (tmp_path / "p.hdr").write_bytes(bytes(head))
+    (tmp_path / "p.img").write_bytes(whole[352:])
+    big = bytearray(np.zeros(348, np.uint8).tobytes())  # another byte order, without a magic word
+    big[0:4] = (348).to_bytes(4, "big")
+    for k, n in enumerate((3, 5, 4, 3)):
+        big[40 + 2 * k : 42 + 2 * k] = n.to_bytes(2, "big")
+    big[70:72] = (4).to_bytes(2, "big")
+    (tmp_path / "old.hdr").write_bytes(bytes(big))
+    (tmp_path / "old.img.gz").write_bytes(gzip.compress(data[1].astype(">i2").tobytes()))
+    got = {}
+    for r in nifti.voxels(spark, str(tmp_path), "*.hdr").collect():
+        got.setdefault(r.img.rsplit("/", 1)[1], {})[r.t, r.i] = r.v
+    assert got["p.hdr"] == {(t, i): float(60 * t + i) for t in range(2) for i in range(60)} and got["old.hdr"] == {(0, i): 60.0 + i for i in range(60)}
+    heads = nifti.headers(spark, str(tmp_path), "p.hdr")
+    table = nifti.voxels(spark, str(tmp_path), "*.hdr").where("img like '%p.hdr'")
+    row = nifti.ranged(heads, table).first()
+    assert (row.cal_min, row.cal_max) == (0.0, 119.0) and nifti.unscaled(heads).first().scl_slope == 1.0
+    back, volume_ = nifti.parse("x", bytes(nifti.encode(table, 5, 4, 3, "int16", heads).first().content))
+    assert (back["descrip"], back["dz"], back["sto_xyz"][:3]) == ("pair", 3.0, turn) and np.array_equal(volume_[0], data)
+    assert '"descrip":"pair"' in nifti.header_lines(heads).first().json
+    assert nifti.with_header_of(table, "other").select("img").distinct().collect() == [("other",)]
+
+
 def test_chain_fails_before_it_runs(spark):
     d = blank(spark, 3, 3, 3, 2.0)
     assert {r.v for r in compile_chain(["-add", "1", "-mul", "2"])(d).collect()} == {6.0}
