@@ -1,7 +1,7 @@
 """Quality classifier: random-indexing word vectors, pooled per document, under a two-layer network.
 
 A unit is a run of letters, digits or other signs. Each of BUCKETS hashed units has a sparse ternary index vector (a
-vocabulary of V words has V / BUCKETS words a bucket, 61 at a million; frequent ones decide a bucket's vector); its
+vocabulary of V words has V / BUCKETS words a bucket, 488 at a million; frequent ones decide a bucket's vector); its
 context vector is the sum of the index vectors of all its neighbours up to SPAN units away in the whole corpus. A
 document is the mean of its units' normed context vectors and index vectors, with the norms of both means, the share of
 units that return one and two places on, and the logarithm of their number. A network of two layers, trained in numpy
@@ -24,7 +24,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gridloom.llm.common import flat_bytes, mix64, read_table, small_batches, span_hashes
 
-BUCKETS, DIM, SPAN, TRAIN, HIDDEN = 16384, 32, 2, 20000, 24
+BUCKETS, DIM, SPAN, TRAIN, HIDDEN = 2048, 32, 2, 20000, 24
 THRESHOLD = 0.3
 
 #: Kinds of bytes: white space, letters (and all of a multi-byte sign), digits, other signs.
