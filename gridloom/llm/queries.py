@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from gridloom.llm.embed_dedup import OP5_SQL, op5_embedding_dedup
+from gridloom.llm.filter_audit import OP13_SQL, op13_filter_audit
 from gridloom.llm.fingerprint import op4_fingerprints
 from gridloom.llm.html_extract import op1_html_extraction
 from gridloom.llm.minhash import OP6_SQL, op6_minhash
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -32,4 +34,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_embedding_dedup": OP5_SQL,
     "op6_minhash": OP6_SQL,
     "op7_mixing": OP7_SQL,
+    "op13_filter_audit": OP13_SQL,
 }
