@@ -8,6 +8,7 @@ from gridloom.llm.fingerprint import op4_fingerprints
 from gridloom.llm.html_extract import op1_html_extraction
 from gridloom.llm.minhash import OP6_SQL, op6_minhash
 from gridloom.llm.mixing import OP7_SQL, op7_mixing
+from gridloom.llm.packing import op12_packing
 from gridloom.llm.pieces import op8_sentencepiece
 from gridloom.llm.quality import op9_quality
 from gridloom.llm import secrets
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op12_packing": op12_packing,
     "op13_filter_audit": op13_filter_audit,
 }
 
