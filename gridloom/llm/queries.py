@@ -10,6 +10,7 @@ from gridloom.llm.minhash import OP6_SQL, op6_minhash
 from gridloom.llm.mixing import OP7_SQL, op7_mixing
 from gridloom.llm.packing import op12_packing
 from gridloom.llm.pieces import op8_sentencepiece
+from gridloom.llm.prefix_trie import OP11_SQL, op11_prefix_trie
 from gridloom.llm.quality import op9_quality
 from gridloom.llm import secrets
 from gridloom.llm.secrets import op3_secret_scans
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_packing": op12_packing,
     "op13_filter_audit": op13_filter_audit,
 }
@@ -36,5 +38,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_embedding_dedup": OP5_SQL,
     "op6_minhash": OP6_SQL,
     "op7_mixing": OP7_SQL,
+    "op11_prefix_trie": OP11_SQL,
     "op13_filter_audit": OP13_SQL,
 }
