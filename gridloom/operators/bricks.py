@@ -41,6 +41,10 @@ class Block:
     def shape(self) -> tuple[int, ...]:
         return next(iter(self.fields.values())).shape[1:]
 
+    def replaced(self, name: str, array: np.ndarray) -> "Block":
+        self.fields[name] = array
+        return self
+
     def cut(self, names: Iterable[str] | dict[str, np.ndarray], kind: int = 0, grow: int = 0) -> "Block":
         """The core of some fields (or of arrays of the block's shape), grown on each side where the block has voxels."""
         whole = names if isinstance(names, dict) else {k: self.fields[k] for k in names}

@@ -30,6 +30,13 @@ def test_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", 4, 4, ("label",))
 
 
+def cubes(spark: SparkSession, sf_dir: str, side: int = 32) -> DataFrame:
+    """The embeddings, 64 values each, laid one after another into volumes of side^3 voxels; t counts these from 0."""
+    each = side**3 // 64
+    long = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.expr(f"vec_id div {each}").alias("t"), (F.col("vec_id") % each * 64).alias("_first"), F.posexplode("embedding").alias("_k", "v"))
+    return with_coordinates(long.select("t", (F.col("_first") + F.col("_k")).cast("int").alias("i"), F.col("v").cast("double").alias("v")), side, side)
+
+
 def plane(voxels: DataFrame, t: int) -> DataFrame:
     """One time point; the filter reaches the scan."""
     return voxels.where(F.col("t") == t)
