@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators import bricks, multigrid, splines, stencil, topology, warp
+from gridloom.operators import bricks, distance, multigrid, splines, stencil, topology, warp
 from gridloom.plans.registry import query, r
-from gridloom.sources.voxels import cubes
+from gridloom.sources import nifti
+from gridloom.sources.voxels import cubes, region
 
 SIDE = 16
 CUBE = (32, 32, 32)
@@ -172,3 +173,60 @@ def _thinned(d, s, p, v):
 def _topological_erosion(d, s, p, v):
     found = topology.eroded(topology.masks(_shape_of(s, p), CUBE, SIDE), 1, SIDE)
     return bricks.voxels(found, {"m": ["m"]}).where("m > 0").select("t", "i")
+
+
+@query(
+    "exact_distance",
+    CUBE_SQL
+    + """, seed AS (SELECT * FROM cube WHERE v > 0.3::DOUBLE)
+    SELECT c.t, c.x, c.y, c.z, round(sqrt(min((c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y) * 2.25::DOUBLE + (c.z - s.z) * (c.z - s.z))), 6) AS d
+    FROM cube c LEFT JOIN seed s ON c.t = s.t GROUP BY ALL""",
+    raw=True,
+)
+def _exact_distance(d, s, p, v):
+    found = distance.exact_distance(cubes(s, p).withColumn("v", v - 0.3), (1.0, 1.5, 1.0))
+    return found.select("t", "x", "y", "z", r("d").alias("d"))
+
+
+# --- images written as files' bytes and read again: a volume is an image of its own, its values as the second of two times
+
+
+def _images(d: DataFrame, kind: str) -> DataFrame:
+    """(path, content, image) of the volumes, by the writer."""
+    both = d.select(F.col("t").cast("string").alias("img"), F.explode(F.array(F.lit(0), F.lit(1))).alias("t"), "i", "v")
+    values = F.when(F.col("t") == 0, F.round(F.col("v") * 20)).otherwise(F.col("v") if kind == "float32" else F.round(F.col("v") * 100))
+    return nifti.encode(both.withColumn("v", values), 4, 4, 4, kind).select(F.col("img").alias("path"), "content", F.lit(None).cast("binary").alias("image"))
+
+
+IMAGE_SQL = """SELECT t::VARCHAR AS img, u AS t, x, y, z, i, {v} + 0 AS v FROM vox, generate_series(0, 1) g(u)"""
+
+
+@query("image_round_trip", IMAGE_SQL.format(v="CASE WHEN u = 0 THEN round(v * 20) ELSE v END").replace("u AS t", "u::INT AS t").replace(", i,", ", i::BIGINT AS i,"))
+def _image_round_trip(d, s, p, v):
+    return nifti.voxels_of(_images(d, "float32")).select("img", "t", "x", "y", "z", "i", "v")
+
+
+@query("image_planes", "SELECT t::VARCHAR AS img, i::BIGINT AS i, round(v * 100) + 0 AS v FROM vox")
+def _image_planes(d, s, p, v):
+    return nifti.voxels_of(_images(d, "int16"), [1]).select("img", "i", "v")
+
+
+@query("image_subregion", "SELECT t::VARCHAR AS img, x, y, z, v FROM vox WHERE x BETWEEN 1 AND 2 AND y = 3 AND z >= 2")
+def _image_subregion(d, s, p, v):
+    return region(nifti.voxels_of(_images(d, "float32"), [1]), x=(1, 2), y=(3, 1), z=(2, 2)).select("img", "x", "y", "z", "v")
+
+
+@query(
+    "image_headers",
+    "SELECT DISTINCT vec_id::VARCHAR AS img, 4 AS nx, 4 AS ny, 4 AS nz, 2 AS nt, 1 AS nu, 1.0::DOUBLE AS dx, 'int16' AS datatype, 0.0::DOUBLE AS scl_slope, 'mm' AS units FROM embeddings WHERE embedding IS NOT NULL",
+    raw=True,
+)
+def _image_headers(d, s, p, v):
+    return nifti.headers_of(_images(d, "int16")).select("img", "nx", "ny", "nz", "nt", "nu", "dx", "datatype", "scl_slope", "units")
+
+
+@query("image_ranges", "SELECT t::VARCHAR AS img, least(min(round(v * 20)), min(v)) + 0 AS low, greatest(max(round(v * 20)), max(v)) + 0 AS high FROM vox GROUP BY t")
+def _image_ranges(d, s, p, v):
+    images = _images(d, "float32")
+    found = nifti.ranged(nifti.headers_of(images), nifti.voxels_of(images))
+    return found.select("img", F.col("cal_min").alias("low"), F.col("cal_max").alias("high"))

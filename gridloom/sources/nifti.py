@@ -126,17 +126,29 @@ def pairs(spark: SparkSession, path: str, deep: bool = False) -> DataFrame:
 
 def headers(spark: SparkSession, path: str, pattern: str = "*.nii*") -> DataFrame:
     """One row a file: a header-only scan."""
+    return headers_of(files(spark, path, pattern).select("path", "content"))
+
+
+def headers_of(images: DataFrame) -> DataFrame:
+    """One row for each image of (path, content)."""
 
     def run(batches):
         for pdf in batches:
             yield pd.DataFrame([parse(p, bytes(c))[0] for p, c in zip(pdf.path, pdf.content, strict=True)])
 
-    return files(spark, path, pattern).select("path", "content").mapInPandas(run, HEADER)
+    return images.select("path", "content").mapInPandas(run, HEADER)
 
 
 def voxels(spark: SparkSession, path: str, pattern: str = "*.nii*", times: list[int] | None = None) -> DataFrame:
     """Voxel rows of all files, scaled by slope and intercept where the slope is not 0; times turns these planes only into
     rows. A pattern that ends in .hdr reads pairs of header and image files."""
+    if pattern.endswith((".hdr", ".hdr.gz", ".hdr*")):
+        return voxels_of(pairs(spark, path), times)
+    return voxels_of(files(spark, path, pattern).select("path", "content", F.lit(None).cast("binary").alias("image")), times)
+
+
+def voxels_of(images: DataFrame, times: list[int] | None = None) -> DataFrame:
+    """Voxel rows of images (path, content, image: null, or the voxels' bytes where content is a header only)."""
 
     def run(batches):
         for pdf in batches:
@@ -153,8 +165,7 @@ def voxels(spark: SparkSession, path: str, pattern: str = "*.nii*", times: list[
                         i = np.arange(v.size)
                         yield pd.DataFrame({"img": name, "u": u, "t": t, "z": i // (nx * ny), "y": i // nx % ny, "x": i % nx, "i": i, "v": v})
 
-    single = lambda: files(spark, path, pattern).select("path", "content", F.lit(None).cast("binary").alias("image"))
-    return (pairs(spark, path) if pattern.endswith((".hdr", ".hdr.gz", ".hdr*")) else single()).mapInPandas(run, VOXELS)
+    return images.select("path", "content", "image").mapInPandas(run, VOXELS)
 
 
 def encode(table: DataFrame, nx: int, ny: int, nz: int, datatype: str = "float32", heads: DataFrame | None = None) -> DataFrame:
