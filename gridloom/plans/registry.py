@@ -293,4 +293,6 @@ query("customer_z_scores", "SELECT c_custkey, round((c_acctbal - avg(c_acctbal)
 query("supplier_nation_means", "SELECT n_name, round(avg(s_acctbal), 6) AS mean FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1", raw=True)(lambda d, s, p, v: s.read.parquet(f"{p}/supplier.parquet").join(s.read.parquet(f"{p}/nation.parquet"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(r(F.avg("s_acctbal")).alias("mean")))
 query("event_signal_mean", "SELECT user_id, event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS v FROM events", raw=True)(lambda d, s, p, v: s.read.parquet(f"{p}/events.parquet").select("user_id", "event_id", r(F.avg("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-1, 1))).alias("v")))
 
-from gridloom.plans import lattice_queries  # noqa: E402, F401  adds its own
+from gridloom.plans import lattice_queries, oracle_texts  # noqa: E402, F401  the first adds queries of its own
+
+ORACLE_SQL |= {name: VOX + (", " + text[5:] if text.startswith("WITH ") else text) for name, text in oracle_texts.TEXTS.items()}
