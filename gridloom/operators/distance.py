@@ -86,7 +86,19 @@ def exact_distance(voxels: DataFrame, size: tuple[float, float, float] = (1.0, 1
     its index i; null where a volume has none. Of seeds equally near any may be named; a null or NaN v is not above 0."""
     above = F.coalesce(~F.isnan("v") & (F.col("v") > 0), F.lit(False))
     out = voxels.select("t", "x", "y", "z", F.col("i").cast("bigint").alias("i"), F.when(above, 0.0).otherwise(FAR).alias("g"), F.col("i").cast("bigint").alias("s"))
+    out = out.unionByName(_holes(out))
     for axis, h in zip("xyz", size, strict=True):
         out = _along(out, axis, h)
     there = F.col("g") < FAR
-    return out.select("t", "x", "y", "z", "i", F.when(there, F.sqrt("g")).alias("d"), F.when(there, F.col("s")).alias("seed"))
+    return out.where("i >= 0").select("t", "x", "y", "z", "i", F.when(there, F.sqrt("g")).alias("d"), F.when(there, F.col("s")).alias("seed"))
+
+
+def _holes(rows: DataFrame) -> DataFrame:
+    """Rows with i = -1 where a volume's box has no voxel: distances pass through them too."""
+    ends = [f(a).alias(f"_{n}{a}") for a in "xyz" for n, f in (("l", F.min), ("h", F.max))]
+    span = lambda a: F.col(f"_h{a}") - F.col(f"_l{a}") + 1
+    boxes = rows.groupBy("t").agg(F.count("*").alias("_n"), *ends).where(F.col("_n") < span("x").cast("bigint") * span("y") * span("z"))
+    for a in "xyz":
+        boxes = boxes.withColumn(a, F.explode(F.sequence(f"_l{a}", f"_h{a}")))
+    far = [F.lit(-1).cast("bigint").alias("i"), F.lit(FAR).alias("g"), F.lit(-1).cast("bigint").alias("s")]
+    return boxes.select("t", "x", "y", "z", *far).join(rows.select("t", "x", "y", "z"), ["t", "x", "y", "z"], "left_anti")

@@ -28,6 +28,7 @@ def test_volumes_against_all_pairs(spark, size):
     for t, (nx, ny, nz) in shapes.items():
         v = rng.random((nx, ny, nz)) < (0.06 if t < 3 else 0)
         rows += [(t, x, y, z, x + nx * (y + ny * z), float(v[x, y, z]) if (x + y) % 5 or v[x, y, z] else None) for x, y, z in np.ndindex(nx, ny, nz)]
+    rows = [r for r in rows if r[0] != 2 or r[5] or r[1] < 8 or r[2] != 1]  # a volume with holes
     table = spark.createDataFrame(rows, "t int, x int, y int, z int, i int, v double").repartition(3)
     got = {(r.t, r.x, r.y, r.z): r for r in distance.exact_distance(table, size).collect()}
     assert len(got) == len(rows)
