@@ -139,6 +139,7 @@ class _Lines:
     def __init__(self) -> None:
         self.lines: list[tuple[str, int, bool, int]] = []
         self.boxes: list[tuple[str, int]] = []
+        self.named: dict[str, int] = {}
         self.opened = 0
         self.parent = [0]
         self.last: dict[int, int] = {}
@@ -159,9 +160,11 @@ class _Lines:
                 self.opened += 1
                 self.parent.append(self.boxes[-1][1] if self.boxes else 0)
             self.boxes.append((name, self.opened if name not in _ROOT else 0))
-        elif any(name == x for x, _ in self.boxes):
+            self.named[name] = self.named.get(name, 0) + 1
+        elif self.named.get(name):
             while True:
                 open_, number = self.boxes.pop()
+                self.named[open_] -= 1
                 self.last[number] = self.opened
                 if open_ == name:
                     break
@@ -283,9 +286,11 @@ def main_text(page: str | None) -> str:
     outer = read.parent[low] if low and len(boxes) == 1 else low
     last = read.last.get(outer, read.opened) if outer else read.opened
 
+    first = set(chosen)
+
     def kept(r: tuple[int, int, int]) -> bool:
         own = [x[3] for x in lines[r[0] : r[1]] if x[0]]
-        if r in chosen or low and any(low <= box <= high for box in own):
+        if r in first or low and any(low <= box <= high for box in own):
             return True
         return text(r) and any(outer <= box <= last for box in own) and (inside(r) or not in_article)
 
@@ -298,7 +303,7 @@ def _extract(pages: pd.Series) -> pd.Series:
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
     """pages with text and n_chars (code points)."""
-    kept = [f"`{c}`" for c in pages.columns if c not in ("text", "n_chars")]
+    kept = [f"`{c}`" for c in pages.columns if c.lower() not in ("text", "n_chars")]
     return pages.select(*kept, F.pandas_udf(_extract, "string")(F.col(f"`{column}`")).alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
 
 

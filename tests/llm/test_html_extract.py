@@ -106,3 +106,15 @@ def test_markup_without_end_takes_time_in_proportion():
     start = time.perf_counter()
     assert main_text("<b " * 333_333) == "" and time.perf_counter() - start < 2
     assert main_text('<p title="a > b">x</p><p>don\'t <b>stop</b> it\'s</p><b class=x"y>z</b>') == "x\ndon't stop it's\nz"
+
+
+def test_closing_tags_that_close_nothing_take_time_in_proportion():
+    import time
+
+    took = []
+    for n in (5_000, 50_000):
+        page = "<div>" * n + "<p>" + "words of the text " * 20 + "</p>" + "</td>" * n
+        start = time.perf_counter()
+        assert "words of the text" in html_extract.main_text(page)
+        took.append(time.perf_counter() - start)
+    assert took[1] < 30 * took[0] + 0.5 and took[1] < 5
