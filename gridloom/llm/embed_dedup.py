@@ -7,18 +7,23 @@ next. Target recall is 1, so the traversal ends where that sum exceeds what the
 be linked with have been reached, and each is verified by its cosine in doubles.
 
 Vectors are compared within a label (and length). Equal vectors form one class with a weight, so copies never meet in
-pairs. Cells that are near each other share a tile; a label has about a tile for every BLOCK classes, and a small one needs
-neither tiles nor codes. A vector is sent once to each visited tile from its own on. A tile's members are dealt into parts
-of about BLOCK, its visitors into chunks of about BLOCK, and a task holds one part and one chunk, however large a label
-is or however little structure its vectors have. It returns counts and a spanning forest of its links, not the pairs.
+pairs. Every label, however small, is searched through the grid, and only members of visited cells are verified. The codes a
+half grow with the largest label of a vector length, as the square root of its classes over CELL, so a cell holds about CELL
+classes (up to CODES codes; beyond that cells grow, results stay). Cells near each other share a tile, which is what is
+shuffled: a vector is sent once to each tile in which it visits a cell from its own on, with the list of those cells. A
+tile's members are dealt into parts of about BLOCK, its visitors into chunks of about BLOCK, and a task holds one part and
+one chunk, however large a label is or however little structure its vectors have. It returns counts and a spanning forest
+of its links, not the pairs.
 
 Vectors that are null, empty, zero or hold null or non-finite parts, or without a label, link with nothing and stand
-alone; so do vectors of different lengths with each other. A null vec_id is a vector without a name. Rows that repeat a
+alone; so do vectors of different lengths with each other. Labels may be of any type that groups. A null vec_id is a vector without a name. Rows that repeat a
 vec_id are vectors of their own. An empty table gives an empty table. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,10 +31,12 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import materialize, read_table, release, tidy
 from gridloom.llm.graph import components
 
-CODES, SAMPLE, ROUNDS, BLOCK = 24, 8192, 12, 2000
+CELL, CODES, SAMPLE, ROUNDS, BLOCK = 8, 1024, 8192, 12, 2000
+#: Sampled vectors a code, where that is more than SAMPLE; and cells of all rows that are traversed at once.
+PER_CODE, AT_ONCE = 32, 1 << 24
 
 
-def codebook(x: np.ndarray, codes: int = CODES, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
+def codebook(x: np.ndarray, codes: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
     """k-means centres; fewer where there are fewer different rows."""
     if not x.shape[1]:
         return np.zeros((1, 0))
@@ -82,9 +89,9 @@ def traversal(a: np.ndarray, b: np.ndarray, reach: float) -> tuple[np.ndarray, n
 class Grid:
     """Both codebooks, and the cells' ranks along a curve that keeps near ones together."""
 
-    def __init__(self, sample: np.ndarray) -> None:
+    def __init__(self, sample: np.ndarray, codes: int) -> None:
         self.half = -(-sample.shape[1] // 2)
-        self.books = [codebook(sample[:, : self.half]), codebook(sample[:, self.half :])]
+        self.books = [codebook(sample[:, : self.half], codes), codebook(sample[:, self.half :], codes)]
         spread = []
         for book in self.books:
             along = book @ np.linalg.svd(book - book.mean(0), full_matrices=False)[2][0] if len(book) > 1 else np.zeros(1)
@@ -94,21 +101,21 @@ class Grid:
         self.rank = curve.ravel().argsort().argsort()
 
     def tile(self, cell: np.ndarray, tiles: np.ndarray) -> np.ndarray:
-        return self.rank[cell] * np.minimum(tiles, len(self.rank)) // len(self.rank)
+        return cell * np.minimum(tiles, len(self.rank)) // len(self.rank)
 
     def bounds(self, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         return [_bounds(x[:, : self.half], self.books[0]), _bounds(x[:, self.half :], self.books[1])]
 
-    def own(self, x: np.ndarray, tiles: np.ndarray) -> np.ndarray:
+    def own(self, x: np.ndarray) -> np.ndarray:
+        """Each row's cell, by its rank."""
         (a, _), (b, _) = self.bounds(x)
-        return self.tile(a * len(self.books[1]) + b, tiles)
+        return self.rank[a * len(self.books[1]) + b]
 
-    def visits(self, x: np.ndarray, tiles: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and the tiles that they visit, each once."""
+    def visits(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and the ranks of the cells that they visit."""
         (_, a), (_, b) = self.bounds(x)
         row, first, second = traversal(a, b, reach)
-        met = np.unique(np.column_stack([row, self.tile(first * len(self.books[1]) + second, tiles[row])]), axis=0)
-        return met[:, 0], met[:, 1]
+        return row, self.rank[first * len(self.books[1]) + second]
 
 
 def _units(column) -> np.ndarray:
@@ -117,49 +124,49 @@ def _units(column) -> np.ndarray:
 
 
 def _slices(batches, grids: dict[int, Grid]):
-    """Small batches with the rows, by length, that have more than one tile."""
+    """Small batches of vectors of one length, with the grid of that length."""
+    import pyarrow as pa
+
     for batch in batches:
-        for at in range(0, batch.num_rows, 2048):
-            part = batch.slice(at, 2048)
-            dims, tiles = part.column("dim").to_numpy(), part.column("tiles").to_numpy()
-            yield part, tiles, [(dim, np.flatnonzero((dims == dim) & (tiles > 1))) for dim in grids]
+        dims = batch.column("dim").to_numpy()
+        for dim in np.unique(dims):
+            rows, grid = np.flatnonzero(dims == dim), grids[int(dim)]
+            step = int(np.clip(AT_ONCE // len(grid.rank), 16, 2048))
+            for at in range(0, len(rows), step):
+                yield batch.take(pa.array(rows[at : at + step])), grid
 
 
 def _coded(grids: dict[int, Grid]):
-    """Every class with its own tile."""
+    """Every class with its own cell and that cell's tile."""
 
     def run(batches):
         import pyarrow as pa
 
-        for part, tiles, by_dim in _slices(batches, grids):
-            own = np.zeros(part.num_rows, np.int64)
-            for dim, rows in by_dim:
-                if len(rows):
-                    own[rows] = grids[dim].own(_units(part.column("embedding").take(pa.array(rows))), tiles[rows])
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own)], [*part.schema.names, "own"])
+        for part, grid in _slices(batches, grids):
+            own = grid.own(_units(part.column("embedding")))
+            tile = grid.tile(own, part.column("tiles").to_numpy())
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own), pa.array(tile)], [*part.schema.names, "own", "tile"])
 
     return run
 
 
 def _visits(grids: dict[int, Grid], reach: float):
-    """Every class with each tile from its own on that it visits."""
+    """Every class with each tile in which it visits cells from its own on, and those cells."""
 
     def run(batches):
         import pyarrow as pa
 
-        for part, tiles, by_dim in _slices(batches, grids):
-            own = part.column("own").to_numpy()
-            one = np.flatnonzero(tiles <= 1)
-            rows, met = [one], [np.zeros(len(one), np.int64)]
-            for dim, some in by_dim:
-                if len(some):
-                    row, tile = grids[dim].visits(_units(part.column("embedding").take(pa.array(some))), tiles[some], reach)
-                    rows.append(some[row])
-                    met.append(tile)
-            row, tile = np.concatenate(rows), np.concatenate(met)
-            ahead = tile >= own[row]
-            taken = part.take(pa.array(row[ahead]))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(tile[ahead])], [*taken.schema.names, "tile"])
+        for part, grid in _slices(batches, grids):
+            own, tiles = part.column("own").to_numpy(), part.column("tiles").to_numpy()
+            row, cell = grid.visits(_units(part.column("embedding")), reach)
+            row, cell = row[ahead := cell >= own[row]], cell[ahead]
+            tile = grid.tile(cell, tiles[row])
+            order = np.lexsort((cell, row))  # tiles ascend with cells
+            row, cell, tile = row[order], cell[order], tile[order]
+            first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (tile[1:] != tile[:-1])])
+            cells = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)].astype(np.int32)), pa.array(cell))
+            taken = part.drop_columns(["tile"]).take(pa.array(row[first]))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(tile[first]), cells], [*taken.schema.names, "tile", "cells"])
 
     return run
 
@@ -182,21 +189,36 @@ def _normed(vectors) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
+def _meetings(own: np.ndarray, cells):
+    """Members and visitors of every cell that has both, at most 512 visitors at a time."""
+    by_cell = own.argsort(kind="stable")
+    asked = np.concatenate(cells.to_numpy())
+    asking = np.repeat(np.arange(len(cells)), cells.str.len())
+    order = asked.argsort(kind="stable")
+    asked, asking = asked[order], asking[order]
+    for cell in np.intersect1d(own, asked):
+        members = by_cell[slice(*np.searchsorted(own[by_cell], [cell, cell + 1]))]
+        start, end = np.searchsorted(asked, [cell, cell + 1])
+        for at in range(start, end, 512):
+            yield cell, members, asking[at : min(at + 512, end)]
+
+
 def _compared(threshold: float):
     import pandas as pd
 
     def run(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        found = []
+        edges, links, back = [], np.zeros(len(queries), np.int64), np.zeros(len(members), np.int64)
         if len(members) and len(queries):
             nodes, weight, x = members.node.to_numpy(), members.copies.to_numpy(), _normed(members.embedding)
-            for at in range(0, len(queries), 512):
-                part = queries.iloc[at : at + 512]
-                own, before = part.node.to_numpy(), (part.own < part.tile).to_numpy()
-                linked = (_normed(part.embedding) @ x.T >= threshold) & (own[:, None] != nodes[None])
-                counts, back = linked @ weight, part.copies.to_numpy()[before] @ linked[before]
-                found += [(int(n), None, int(c)) for n, c in zip(own, counts, strict=True) if c]
-                found += [(int(n), None, int(c)) for n, c in zip(nodes, back, strict=True) if c]  # these do not visit the queries' tile
-                found += [(a, b, 0) for a, b in _forest(linked, own, nodes)]
+            asked, times, own, y = queries.node.to_numpy(), queries.copies.to_numpy(), queries.own.to_numpy(), _normed(queries.embedding)
+            for cell, m, q in _meetings(members.own.to_numpy(), queries.cells):
+                linked = (y[q] @ x[m].T >= threshold) & (asked[q][:, None] != nodes[m][None])
+                if linked.any():
+                    links[q] += linked @ weight[m]
+                    back[m] += (times[q] * (own[q] < cell)) @ linked  # the members do not visit these queries' cells
+                    edges += _forest(linked, asked[q], nodes[m])
+        found = [(int(n), None, int(c)) for ids, sums in ((queries.node, links), (members.node, back)) for n, c in zip(ids, sums, strict=True) if c]
+        found += [(a, b, 0) for a, b in edges]
         a, b, n = zip(*found, strict=True) if found else ((), (), ())
         return pd.DataFrame({"a": pd.array(a, "int64"), "b": pd.array(b, "Int64"), "links": pd.array(n, "int64")})
 
@@ -204,34 +226,36 @@ def _compared(threshold: float):
 
 
 def _grids(classes: DataFrame, sizes: DataFrame) -> dict[int, Grid]:
-    """The grid of each vector length that some label has more than a block of, from at most SAMPLE vectors."""
+    """The grid of each vector length: codes by its largest label, learned from at most SAMPLE vectors or PER_CODE a code."""
     grids = {}
-    for (dim,) in sizes.where("tiles > 1").select("dim").distinct().orderBy("dim").collect():
-        sample = classes.where(F.col("dim") == dim).select("embedding", F.xxhash64("node").alias("_luck")).orderBy("_luck").limit(SAMPLE).select("embedding").collect()
-        x = np.array([r[0] for r in sample], np.float64)
-        grids[dim] = Grid(x / np.sqrt((x * x).sum(1))[:, None])
+    for dim, most in sizes.groupBy("dim").agg(F.max("n")).orderBy("dim").collect():
+        codes = min(max(2, math.ceil(math.sqrt(most / CELL))), CODES)
+        luck = classes.where(F.col("dim") == dim).select("embedding", F.xxhash64("node").alias("_luck")).orderBy("_luck")
+        sample = luck.limit(max(SAMPLE, PER_CODE * codes)).select("embedding").toArrow()
+        grids[dim] = Grid(_units(sample.column("embedding").combine_chunks()), codes)
     return grids
 
 
 def _linked(classes: DataFrame, threshold: float) -> DataFrame:
     """(a, null, links) counts and (a, b, 0) edges of the classes, as a table."""
-    sizes = materialize(classes.groupBy("label", "dim").agg(F.ceil(F.count("node") / BLOCK).alias("tiles")))
+    sizes = materialize(classes.groupBy("label", "dim").agg(F.count("node").alias("n")).withColumn("tiles", F.ceil(F.col("n") / BLOCK)))
     grids = _grids(classes, sizes)
-    held = "node long, label long, dim int, copies long, embedding array<float>, tiles long, own long"
-    members = materialize(classes.join(sizes, ["label", "dim"]).select("node", "label", "dim", "copies", "embedding", "tiles").mapInArrow(_coded(grids), held))
+    held = f"node long, label {dict(classes.dtypes)['label']}, dim int, copies long, embedding array<float>, tiles long, own long"
+    tiled = classes.join(sizes, ["label", "dim"]).select("node", "label", "dim", "copies", "embedding", "tiles")
+    members = materialize(tiled.mapInArrow(_coded(grids), f"{held}, tile long"))
     tile = ["label", "dim", "tile"]
-    parts = members.groupBy("label", "dim", F.col("own").alias("tile")).agg(F.ceil(F.count("node") / BLOCK).alias("parts"))
-    visits = members.mapInArrow(_visits(grids, 2 - 2 * threshold + 1e-9), f"{held}, tile long").drop("tiles")
+    parts = members.groupBy(*tile).agg(F.ceil(F.count("node") / BLOCK).alias("parts"))
+    visits = members.mapInArrow(_visits(grids, 2 - 2 * threshold + 1e-9), f"{held}, tile long, cells array<long>").drop("tiles")
     visits = materialize(visits.join(parts, tile).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts"))
     block = [*tile, "part"]
     chunks = visits.groupBy(*block).agg(F.ceil(F.count("node") / BLOCK).alias("chunks"))
-    placed = members.withColumnRenamed("own", "tile").join(parts, tile).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    placed = members.join(parts, tile).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     placed = placed.join(chunks, block).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
     asking = visits.join(chunks, block).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")))
     keys = [*block, "chunk"]
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a task's work here is not its bytes
-    left = placed.select(*keys, "node", "copies", "embedding").repartition(n, *keys).groupBy(*keys)
-    right = asking.select(*keys, "own", "node", "copies", "embedding").repartition(n, *keys).groupBy(*keys)
+    left = placed.select(*keys, "own", "node", "copies", "embedding").repartition(n, *keys).groupBy(*keys)
+    right = asking.select(*keys, "own", "cells", "node", "copies", "embedding").repartition(n, *keys).groupBy(*keys)
     found = materialize(left.cogroup(right).applyInPandas(_compared(threshold), "a long, b long, links long"))
     release(visits, members, sizes)
     return found
@@ -244,7 +268,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     sound = F.forall(parts, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     square = F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x * x)
     valid = F.coalesce(F.col("label").isNotNull() & (F.size("embedding") > 0) & sound & (square > 0) & (square < float("inf")), F.lit(False))
-    rows = vectors.select("vec_id", F.col("label").cast("long").alias("label"), F.when(valid, F.col("embedding")).alias("embedding"))
+    rows = vectors.select("vec_id", "label", F.when(valid, F.col("embedding")).alias("embedding"))
     named = rows.where("embedding is not null").groupBy("label", "embedding").agg(F.min("vec_id").alias("least_id"), F.count("label").alias("copies"))
     classes = materialize(named.withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.size("embedding")))
     found = _linked(classes, threshold)

@@ -48,7 +48,8 @@ def test_empty_and_repeated_rows(spark):
 
 def test_many_tiles_parts_and_chunks_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embed_dedup, "BLOCK", 12)
-    monkeypatch.setattr(embed_dedup, "CODES", 6)
+    monkeypatch.setattr(embed_dedup, "CELL", 3)
+    monkeypatch.setattr(embed_dedup, "AT_ONCE", 400)
     rng = np.random.default_rng(2)
     rows = []
     for dim, n in ((8, 150), (5, 60), (1, 40)):
@@ -81,3 +82,43 @@ def test_bounds_hold():
     apart = ((x[:, None] - x[None]) ** 2).sum(2)
     assert (least[:, own] <= apart + 1e-9).all()
     assert np.array_equal(embed_dedup._bounds(x[:1], centres)[1], least[:1])
+
+
+def test_grids_are_built_for_small_labels_and_grow(spark, monkeypatch):
+    built, plain = [], embed_dedup.Grid
+
+    def noted(sample, codes):
+        built.append((len(sample), codes))
+        return plain(sample, codes)
+
+    monkeypatch.setattr(embed_dedup, "Grid", noted)
+    rng = np.random.default_rng(5)
+    sizes = {"few": 2, "some": 100, "many": 800}
+    rows = [(1000 * k + i, [float(v) for v in rng.normal(size=4).astype("f4")], name) for k, (name, n) in enumerate(sizes.items()) for i in range(n)]
+    for wanted, (name, n) in zip((2, 4, 10), sizes.items(), strict=True):
+        table = spark.createDataFrame([r for r in rows if r[2] == name], "vec_id long, embedding array<float>, label string")
+        assert {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(table).collect()} == brute([r for r in rows if r[2] == name]) if n < 800 else near_vectors(table).count() == n
+        assert built[-1] == (n, wanted)
+
+
+def test_labels_keep_their_type(spark):
+    near, rows = [1.0, 0.0], []
+    for i, label in enumerate((1.0, 1.5, 1.5, 2.0)):
+        rows.append((i, near, label))
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label double")).collect()
+    assert {r.vec_id: r.n_links for r in got} == {0: 0, 1: 1, 2: 1, 3: 0}
+
+
+def test_most_cells_are_not_visited():
+    rng = np.random.default_rng(6)
+    hubs = rng.normal(size=(200, 32))
+    x = hubs[rng.integers(200, size=4000)] + rng.normal(size=(4000, 32)) * 0.1
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    grid = embed_dedup.Grid(x, 23)
+    own = grid.own(x)
+    row, cell = grid.visits(x, 0.04)
+    members = np.bincount(own, minlength=len(grid.rank))
+    assert members[cell].sum() < 0.1 * len(x) ** 2
+    met = set(zip(row.tolist(), cell.tolist(), strict=True))
+    linked = np.argwhere(x @ x.T >= 0.98)
+    assert all((i, own[j]) in met for i, j in linked.tolist())
