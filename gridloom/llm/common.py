@@ -30,6 +30,11 @@ def aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, Callable[
     return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in new.items()]), lambda out: out.select(*[F.col(f"`{n}`").alias(c) for c, n in new.items()])
 
 
+def others(columns: list[str], own: tuple[str, ...]) -> list[str]:
+    """The columns that an operator's own ones don't replace; like Spark, names that differ in case only are one."""
+    return [c for c in columns if c.lower() not in own]
+
+
 def running_sums(lengths: Column, add: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
     """Sums (or another running value, from 0) of the elements before each place of an array of bigint, in near linear
     time: blocks of 64, then inside them."""

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from gridloom.llm.common import WORD, materialize, read_table, tidy
+from gridloom.llm.common import WORD, materialize, others, read_table, tidy
 
 WEIGHTS = (3, 1, 2)
 #: Slope of each weight's schedule: early, late, level.
@@ -85,7 +85,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, share: float = SHARE, c
     training position for each time the document is taken, in [0, 1), ascending; taken counts words, the last time may be
     cut short. order is the shuffled order."""
     own = ("size", "source_size", "target", "taken", "positions", "order")
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in own]
+    kept = others(docs.columns if keep is None else keep, own)
     text = F.coalesce("text", F.lit(""))
     order = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.md5(text.cast("binary"))).cast("binary"))
     keyed = docs.select(F.struct(*[f"`{c}`" for c in kept]).alias("row"), "source", F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"), order.alias("order"), F.monotonically_increasing_id().alias("place"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from gridloom.llm.common import flat_bytes, read_table, small_batches, span_hashes
+from gridloom.llm.common import flat_bytes, others, read_table, small_batches, span_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -329,7 +329,7 @@ def tokenize(docs: DataFrame, model: str = MODEL, decoded: bool = False) -> Data
     """docs with ids and n_tokens, and decoded (the text of the ids) where asked for."""
     sent = docs.sparkSession.sparkContext.broadcast(load(model))
     own = ("ids", "n_tokens", "decoded")
-    kept = docs.select(*[f"`{c}`" for c in docs.columns if c not in own])
+    kept = docs.select(*[f"`{c}`" for c in others(docs.columns, own)])
     added = [StructField("ids", ArrayType(IntegerType())), *([StructField("decoded", StringType())] if decoded else [])]
 
     def run(batches):

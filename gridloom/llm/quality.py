@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gridloom.llm.common import flat_bytes, mix64, read_table, small_batches, span_hashes
+from gridloom.llm.common import flat_bytes, mix64, others, read_table, small_batches, span_hashes
 
 BUCKETS, DIM, SPAN, TRAIN, HIDDEN = 2048, 32, 2, 20000, 24
 THRESHOLD = 0.3
@@ -195,7 +195,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(network.score(x))], [*batch.schema.names, "score"])
 
     own = ("held_out", "score", "predicted")
-    kept = docs.select(*[f"`{c}`" for c in docs.columns if c not in own])
+    kept = docs.select(*[f"`{c}`" for c in others(docs.columns, own)])
     schema = StructType([*kept.schema.fields, StructField("score", DoubleType())])
     scored = kept.mapInArrow(scores, schema)
     return scored.select(*[f"`{c}`" for c in kept.columns], held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

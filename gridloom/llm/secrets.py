@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import let, running_sums
+from gridloom.llm.common import let, others, running_sums
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -188,7 +188,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     fresh = base.withColumn("fresh", F.flatten(pieces))
     own = ("spans", "base_spans", "n_assign", "n_access", "n_hex", "n_entropy")
     return fresh.select(
-        *[F.col("row").getField(c).alias(c) for c in docs.columns if c not in own],
+        *[F.col("row").getField(c).alias(c) for c in others(docs.columns, own)],
         F.array_sort(F.concat("base", "fresh")).alias("spans"),
         F.col("base").alias("base_spans"),
         *[F.size(c).cast("bigint").alias(n) for n, c in (("n_assign", "assign"), ("n_access", "access"), ("n_hex", "hex"), ("n_entropy", "fresh"))],

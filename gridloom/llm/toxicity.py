@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gridloom.llm.common import _LOWER, flat_bytes, read_table, small_batches, span_hashes
+from gridloom.llm.common import _LOWER, flat_bytes, others, read_table, small_batches, span_hashes
 from gridloom.llm.quality import _KIND, held_out
 
 WINDOW, STRIDE, HIDDEN = 64, 32, 12
@@ -290,8 +290,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
     known = docs.select("doc_id", "text").join(sample, "doc_id")
     sizes = known.groupBy("doc_id", "label").agg(F.min(F.struct(F.coalesce(F.octet_length("text"), F.lit(0)), F.xxhash64("text"))).alias("one")).collect()
     sizes.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
-    enough = np.searchsorted(np.cumsum([r.one[0] for r in sizes]), LEARNED, "right")
-    taken = [(r.doc_id, r.label, r.one[1]) for r in sizes[:enough]]
+    taken, left = [], LEARNED
+    for r in sizes:
+        if r.one[0] <= left:  # a text that no longer fits is passed over, shorter ones after it are not
+            taken.append((r.doc_id, r.label, r.one[1]))
+            left -= r.one[0]
     if not taken:
         return Scorer(pa.array([], pa.string()), np.zeros(0), shares)
     taken = F.broadcast(docs.sparkSession.createDataFrame(taken, "doc_id long, label int, hash long"))
@@ -311,7 +314,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scorer.score(batch.column("text")))], [*batch.schema.names, "score"])
 
     own = ("held_out", "score", "predicted")
-    kept = docs.select(*[f"`{c}`" for c in docs.columns if c not in own])
+    kept = docs.select(*[f"`{c}`" for c in others(docs.columns, own)])
     scored = kept.mapInArrow(scores, StructType([*kept.schema.fields, StructField("score", DoubleType())]))
     return scored.select(*[f"`{c}`" for c in kept.columns], held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
