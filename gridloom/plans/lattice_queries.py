@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators import bricks, distance, multigrid, splines, stencil, topology, warp
+from gridloom.operators import bricks, distance, multigrid, splines, stencil, topology, warp, watershed
 from gridloom.plans.registry import query, r
 from gridloom.sources import nifti
 from gridloom.sources.voxels import cubes, region
@@ -230,3 +230,16 @@ def _image_ranges(d, s, p, v):
     images = _images(d, "float32")
     found = nifti.ranged(nifti.headers_of(images), nifti.voxels_of(images))
     return found.select("img", F.col("cal_min").alias("low"), F.col("cal_max").alias("high"))
+
+
+def flood_markers(d: DataFrame) -> DataFrame:
+    """Voxels with the label, by place, of every eighth voxel along each axis as marker."""
+    inner = [F.col(a) % 8 == 4 for a in "xyz"]
+    place = F.floor(F.col("x") / 8) + 4 * F.floor(F.col("y") / 8) + 16 * F.floor(F.col("z") / 8) + 1
+    return d.withColumn("marker", F.when(inner[0] & inner[1] & inner[2], place))
+
+
+@query("watershed_forest")
+def _watershed_forest(d, s, p, v):
+    found = watershed.watershed(flood_markers(cubes(s, p)))
+    return found.select("t", "i", "label", r("level").alias("level"))
