@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import bricks, distance, multigrid, splines, stencil, topology, warp, watershed
 from gridloom.plans.registry import query, r
-from gridloom.sources import nifti
+from gridloom.shared import scratch
+from gridloom.sources import nifti, ranges
 from gridloom.sources.voxels import cubes, region
 
 SIDE = 16
@@ -232,6 +233,31 @@ def _image_ranges(d, s, p, v):
     return found.select("img", F.col("cal_min").alias("low"), F.col("cal_max").alias("high"))
 
 
+def _files(s, p: str, kind: str = "float32") -> str:
+    """A folder with the 32^3 volumes as image files, v * 1000 rounded where the type is a whole one."""
+    d = cubes(s, p).select(F.concat(F.col("t").cast("string"), F.lit(".nii")).alias("img"), F.lit(0).alias("t"), "i", (F.col("v") if kind == "float32" else F.round(F.col("v") * 1000)).alias("v"))
+    path = scratch(s)
+    ranges.write(nifti.encode(d, *CUBE, kind), path)
+    return path
+
+
+@query("image_files_planes", CUBE_SQL + " SELECT t || '.nii' AS img, x::INT AS x, y::INT AS y, z::INT AS z, (x + 32 * y + 1024 * z)::BIGINT AS i, v FROM cube WHERE z BETWEEN 8 AND 11 AND y < 5", raw=True)
+def _image_files_planes(d, s, p, v):
+    found = ranges.voxels(s, _files(s, p), split_bytes=1 << 16).where("z between 8 and 11 and y < 5 and not isnan(v)")
+    return found.select("img", "x", "y", "z", "i", "v")
+
+
+@query("image_files_slices", CUBE_SQL + " SELECT t || '.nii' AS img, z::INT AS z, count(*) AS n, sum(round(v * 1000)) AS total, max(round(v * 1000)) AS most FROM cube WHERE z < 24 GROUP BY ALL", raw=True)
+def _image_files_slices(d, s, p, v):
+    found = ranges.voxels(s, _files(s, p, "float64"), split_bytes=1 << 16).where("z < 24 and not isnan(v)")
+    return found.groupBy("img", "z").agg(F.count("v").alias("n"), F.sum("v").alias("total"), F.max("v").alias("most"))
+
+
+@query("image_files_headers", "SELECT DISTINCT (vec_id // 512) || '.nii' AS img, 32 AS nx, 32 AS ny, 32 AS nz, 1 AS nt, 'float32' AS datatype, 1.0::DOUBLE AS dx FROM embeddings WHERE embedding IS NOT NULL", raw=True)
+def _image_files_headers(d, s, p, v):
+    return ranges.headers(s, _files(s, p)).select("img", "nx", "ny", "nz", "nt", "datatype", "dx")
+
+
 def flood_markers(d: DataFrame) -> DataFrame:
     """Voxels with the label, by place, of every eighth voxel along each axis as marker."""
     inner = [F.col(a) % 8 == 4 for a in "xyz"]

@@ -50,6 +50,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """The name of a new place in the shared folder, for files that are no table; deleted when the session ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{_MARK}{uuid.uuid4().hex}"
+    files, where = _file_system(spark, path)
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return path
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     files, where = _file_system(spark, path)
     files.delete(where, True)

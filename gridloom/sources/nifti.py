@@ -46,6 +46,17 @@ def parse(name: str, data: bytes, image: bytes | None = None) -> tuple[dict, np.
     """Header fields and the voxels (u, t, z, y, x), unscaled; None where the data stand in another file, unless its bytes
     are given as image."""
     data = _plain(data)
+    head, kind, sizes, at, alone = layout(name, data)
+    if not alone:
+        if image is None:
+            return head, None
+        data = _plain(image)
+    return head, np.frombuffer(data, kind, int(np.prod(sizes)), at).reshape(sizes[::-1])
+
+
+def layout(name: str, data: bytes) -> tuple[dict, np.dtype, list[int], int, bool]:
+    """Header fields from a file's first 348 bytes or more; the voxels' type, sizes (x first) and first byte, and whether
+    they stand in the same file."""
     if len(data) < 348:
         raise ValueError(f"{name}: shorter than a header")
     order = "<" if struct.unpack("<i", data[:4])[0] == 348 else ">"
@@ -68,15 +79,9 @@ def parse(name: str, data: bytes, image: bytes | None = None) -> tuple[dict, np.
         "cal_max": get("f", 124)[0], "cal_min": get("f", 128)[0], "qform_code": get("h", 252)[0] if nifti else 0, "sform_code": get("h", 254)[0] if nifti else 0, "sto_xyz": [*rows, [0.0, 0.0, 0.0, 1.0]],
         "qto_xyz": quaternion_matrix(*quat[:3], quat[3:], pixdim[1:4], -1.0 if pixdim[0] < 0 else 1.0), "descrip": data[148:228].split(b"\0")[0].decode("latin-1"), "intent_code": get("h", 68)[0] if nifti else 0, "units": UNITS.get(data[123] & 7, "unknown") if nifti else "unknown",
     }
-    if magic == b"ni1" or not nifti:
-        if image is None:
-            return head, None
-        data, at = _plain(image), int(max(0.0, get("f", 108)[0]))
-    else:
-        at = max(352, int(get("f", 108)[0]))
-    kind = np.dtype(TYPES[code][1]).newbyteorder(order)
-    count = int(np.prod(sizes))
-    return head, np.frombuffer(data, kind, count, at).reshape(sizes[::-1])
+    alone = magic == b"n+1"
+    at = max(352 if alone else 0, int(get("f", 108)[0]))
+    return head, np.dtype(TYPES[code][1]).newbyteorder(order), sizes, at, alone
 
 
 def build(volume: np.ndarray, datatype: str = "float32", slope: float = 0.0, inter: float = 0.0, spacing=(1.0, 1.0, 1.0), sform=None, descrip: str = "") -> bytes:
@@ -125,7 +130,7 @@ def pairs(spark: SparkSession, path: str, deep: bool = False) -> DataFrame:
 
 
 def headers(spark: SparkSession, path: str, pattern: str = "*.nii*") -> DataFrame:
-    """One row a file: a header-only scan."""
+    """One row a file, of any store that Spark opens; ranges.headers reads no more than the headers."""
     return headers_of(files(spark, path, pattern).select("path", "content"))
 
 
