@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators import bricks, distance, multigrid, splines, stencil, topology, warp, watershed
+from gridloom.operators import arrival, bricks, distance, multigrid, splines, stencil, topology, warp, watershed
 from gridloom.plans.registry import query, r
 from gridloom.shared import scratch
 from gridloom.sources import nifti, ranges
@@ -269,3 +269,18 @@ def flood_markers(d: DataFrame) -> DataFrame:
 def _watershed_forest(d, s, p, v):
     found = watershed.watershed(flood_markers(cubes(s, p)))
     return found.select("t", "i", "label", r("level").alias("level"))
+
+
+def timed(d: DataFrame) -> DataFrame:
+    """Voxels with seeds where a value is high, and a speed that falls with it."""
+    return d.select("t", "x", "y", "z", (F.col("v") - 0.3).alias("v"), F.exp(-4 * F.abs("v")).alias("speed"))
+
+
+@query("travel_upwind")
+def _travel_upwind(d, s, p, v):
+    return arrival.travel_time(timed(cubes(s, p)), CUBE, "upwind", SIDE).select("t", "i", r("time").alias("time"))
+
+
+@query("travel_faces")
+def _travel_faces(d, s, p, v):
+    return arrival.travel_time(timed(cubes(s, p)), CUBE, "faces", SIDE).select("t", "i", r("time").alias("time"))
