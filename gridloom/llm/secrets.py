@@ -1,7 +1,8 @@
 """Secret scans in DataFrame functions only: fixed patterns, then windowed entropy of candidate strings.
 
-A candidate is a run of CANDIDATE characters, less what a fixed pattern found in it and less what the allow-list takes
-out of it (uuids, dates, placeholders, rules); what is left and still long enough is judged as it stands.
+A candidate is a run of CANDIDATE characters that the allow-list does not let off whole (words, numbers, paths), less what a
+fixed pattern found in it and less what the allow-list takes out of it (uuids, dates, placeholders, rules); what is left,
+still long enough and not let off either, is judged as it stands.
 
 Nulls in text count as empty texts and give no span; a null doc_id is kept. Texts and runs of any length are scanned
 whole, in time that grows with their length. Ties: spans that start together are ordered by kind (assign, access, hex,
@@ -25,6 +26,8 @@ HEX = r"[0-9a-f]{24,}"
 #: Runs that may hold a random secret, and what such a run is made of, in the order of its counters.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: The same runs by patterns that give up at once inside a run too short, and at a letter that begins no keyword.
+FROM_START = {HEX: f"(?<![0-9a-f]){HEX}", CANDIDATE: f"(?<![A-Za-z0-9+/_=-]){CANDIDATE}", ASSIGN: f"(?=[apstAPST]){ASSIGN}"}
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 #: Bits a character over a window of 20, by the class of the candidate's characters. No window has exactly these.
@@ -41,8 +44,16 @@ TAKEN_OUT = {
     4: r"(?i)xxxx",
     3: r"\+{3}|/{3}|_{3}|={3}|-{3}",
 }
-#: What is no secret as a whole: words, numbers, paths, words joined by signs.
-ALLOWED = r"^[A-Za-z_=/+-]*$|^[0-9_=/+-]*$|^[A-Za-z0-9_=-]{0,12}(/[A-Za-z0-9_=-]{0,12}){2,}$|^[a-z]+([_-][a-z0-9]{1,15})+$"
+#: A run is cut into parts at these. A part is odd if it is longer than SHORT and either BROKEN is found in it (five consonants
+#: or four vowels in a row, a lone small letter between capitals, letters after digits, five digits after a letter) or over one
+#: in COMMON of its characters are RARE letters. A run with fewer than ODD characters in odd parts is no secret: words, numbers,
+#: paths, words joined by signs.
+JOINTS = "[/_=+-]+"
+SHORT = 3
+BROKEN = "[b-df-hj-np-tv-xz]{5}|[B-DF-HJ-NP-TV-XZ]{5}|[aeiouy]{4}|[AEIOUY]{4}|[A-Z][a-z][A-Z]|^[a-z][A-Z]|[A-Z][a-z]$|[0-9][A-Za-z]|[A-Za-z][0-9]{5}"
+RARE = "jkqvwxzJKQVWXZ"
+COMMON = 6
+ODD = 12
 #: Characters of the chunks in which a text is cut once, so that a part of it is read without the text before it.
 CHUNK = 1024
 #: c * log2(c) in units of 2^-40, whole numbers that add up exactly.
@@ -54,7 +65,8 @@ _PACKED = 12
 
 def _positions(text: Column, pattern: str, keep) -> Column:
     """Array of (start, end, value) of all matches, leftmost and non-overlapping, that keep(match, group 2) holds for."""
-    group = 2 if pattern is ASSIGN else 0
+    group = 2 if pattern == ASSIGN else 0
+    pattern = FROM_START.get(pattern, pattern)
     length = lambda x: F.length(x).cast("bigint")
     empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
 
@@ -65,10 +77,13 @@ def _positions(text: Column, pattern: str, keep) -> Column:
         spans = F.zip_with(starts, found, lambda at, m: F.struct(at.alias("start"), (at + length(m["hit"])).alias("end"), m["value"].alias("value")))
         return F.filter(F.slice(spans, 1, F.size(found)), lambda s: s["start"].isNotNull() & keep(s))
 
+    def paired(hits: Column) -> Column:
+        if group == 0:
+            return F.transform(hits, lambda h: F.struct(h.alias("hit"), h.alias("value")))
+        return F.zip_with(hits, F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda h, v: F.struct(h.alias("hit"), v.alias("value")))
+
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
-    found = F.zip_with(hits, values, lambda h, v: F.struct(h.alias("hit"), v.alias("value")))
-    return let(found, lambda f: F.when(F.size(f) == 0, empty).otherwise(located(f)))
+    return let(hits, lambda h: F.when(F.size(h) == 0, empty).otherwise(let(paired(h), located)))
 
 
 def _chosen(values: list[int], place: Column) -> Column:
@@ -126,10 +141,21 @@ def window_entropy(value: Column) -> Column:
     return let(signs, lambda x: F.when(F.size(x) < WINDOW, F.lit(0.0)).otherwise(scan(x)))
 
 
+def _odd(value: Column) -> Column:
+    """Whether enough of a run is made of parts that do not look like words or numbers."""
+
+    def odd(part: Column) -> Column:
+        size = F.length(part)
+        return (size > SHORT) & (part.rlike(BROKEN) | (F.length(F.regexp_replace(part, f"[^{RARE}]", "")) * COMMON > size))
+
+    parts = F.filter(F.split(value, JOINTS, -1), odd)
+    return F.aggregate(parts, F.lit(0), lambda n, part: n + F.length(part)) >= ODD
+
+
 def _random(span: Column) -> Column:
     value = span["value"]
     threshold = F.when(value.rlike("^([0-9a-f]+|[0-9A-F]+)$"), THRESHOLDS["hex"]).when(value.rlike("^[A-Za-z0-9]+$"), THRESHOLDS["alnum"]).otherwise(THRESHOLDS["base64"])
-    return F.when(value.rlike(ALLOWED), F.lit(False)).otherwise(window_entropy(value) > threshold)
+    return F.when(_odd(value), window_entropy(value) > threshold).otherwise(F.lit(False))
 
 
 def _tagged(spans: Column, kind: int) -> Column:
@@ -183,8 +209,9 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         _tagged(_positions(t, HEX, lambda s: F.lit(True)), 2).alias("hex"),
     )
     base = found.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
-    base = base.withColumn("runs", _positions(_covered(t, F.col("base"), lambda n: F.repeat(F.lit(" "), n.cast("int"))), CANDIDATE, lambda s: F.lit(True)))
-    pieces = F.transform("runs", lambda r: F.transform(_positions(_remains(r["value"]), CANDIDATE, _random), lambda p: F.struct((r["start"] + p["start"]).alias("start"), F.lit(3).alias("kind"), (r["start"] + p["end"]).alias("end"))))
+    shown = _covered(t, F.col("base"), lambda n: F.repeat(F.lit(" "), n.cast("int")))
+    base = base.withColumn("runs", let(shown, lambda x: _positions(x, CANDIDATE, lambda s: _odd(s["value"]))))
+    pieces = F.transform("runs", lambda r: F.transform(let(_remains(r["value"]), lambda x: _positions(x, CANDIDATE, _random)), lambda p: F.struct((r["start"] + p["start"]).alias("start"), F.lit(3).alias("kind"), (r["start"] + p["end"]).alias("end"))))
     fresh = base.withColumn("fresh", F.flatten(pieces))
     own = ("spans", "base_spans", "n_assign", "n_access", "n_hex", "n_entropy")
     return fresh.select(
@@ -231,7 +258,9 @@ def oracle_sql() -> str:
     """The same spans in DuckDB's SQL."""
     bits = f"list_max(list_transform(range(1, length(value) - {WINDOW} + 2), lambda i: list_aggregate(string_split(value[i:i + {WINDOW - 1}], ''), 'entropy')))"
     bound = f"CASE WHEN regexp_matches(value, '^([0-9a-f]+|[0-9A-F]+)$') THEN {THRESHOLDS['hex']} WHEN regexp_matches(value, '^[A-Za-z0-9]+$') THEN {THRESHOLDS['alnum']} ELSE {THRESHOLDS['base64']} END"
-    random = f"NOT regexp_matches(value, '{ALLOWED}') AND {bits} > {bound}"
+    odd_part = f"length(p) > {SHORT} AND (regexp_matches(p, '{BROKEN}') OR length(regexp_replace(p, '[^{RARE}]', '', 'g')) * {COMMON} > length(p))"
+    odd = f"coalesce(list_sum(list_transform(list_filter(regexp_split_to_array(value, '{JOINTS}'), lambda p: {odd_part}), lambda p: length(p))), 0) >= {ODD}"
+    random = f"CASE WHEN {odd} THEN {bits} > {bound} ELSE false END"
     parts = " UNION ALL ".join([_sql_hits(0, ASSIGN, 2, "length(value) >= 6"), _sql_hits(1, ACCESS, 0, "length(value) >= 20"), _sql_hits(2, HEX, 0, "true")])
     names = "['assign', 'access', 'hex', 'entropy'][kind + 1]"
     remains = "value"
@@ -241,7 +270,7 @@ def oracle_sql() -> str:
         f"WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, 0 AS off FROM documents), base AS MATERIALIZED ({parts}), "
         "hidden AS (SELECT DISTINCT r, unnest(range(s, e)) AS i FROM base), signs AS (SELECT r, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) - 1 AS i FROM d WHERE r IN (SELECT r FROM base)), "
         "shown AS MATERIALIZED (SELECT signs.r, string_agg(CASE WHEN hidden.i IS NULL THEN c ELSE ' ' END, '' ORDER BY signs.i) AS text, 0 AS off FROM signs LEFT JOIN hidden ON hidden.r = signs.r AND hidden.i = signs.i GROUP BY signs.r UNION ALL SELECT r, text, 0 FROM d WHERE r NOT IN (SELECT r FROM base)), "
-        f"runs AS MATERIALIZED (SELECT r, s AS off, {remains} AS text FROM ({_sql_hits(3, CANDIDATE, 0, 'true', 'shown')})), fresh AS MATERIALIZED (SELECT * FROM ({_sql_hits(3, CANDIDATE, 0, 'true', 'runs')}) WHERE {random}), every AS (SELECT * FROM base UNION ALL SELECT * FROM fresh), "
+        f"runs AS MATERIALIZED (SELECT r, s AS off, {remains} AS text FROM ({_sql_hits(3, CANDIDATE, 0, odd, 'shown')})), fresh AS MATERIALIZED (SELECT * FROM ({_sql_hits(3, CANDIDATE, 0, 'true', 'runs')}) WHERE {random}), every AS (SELECT * FROM base UNION ALL SELECT * FROM fresh), "
         f"told AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind = 3) AS n_entropy, string_agg({names} || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (kind < 3) AS b, string_agg({names} || ':' || s || ':' || e, ',' ORDER BY s, kind) AS a FROM every GROUP BY r) "
         "SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans, coalesce(n_entropy, 0)::BIGINT AS n_entropy FROM d LEFT JOIN told ON d.r = told.r"
     )

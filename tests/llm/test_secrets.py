@@ -22,6 +22,20 @@ def entropy(value):
     return best
 
 
+def odd(value):
+    """Characters of a run in parts that look neither like words nor like numbers, by plain loops."""
+    total = 0
+    for part in re.split("[/_=+-]+", value):
+        rare = sum(c in "jkqvwxz" for c in part.lower())
+        runs = [len(m[0]) for m in re.finditer("[bcdfghjklmnpqrstvwxz]+|[BCDFGHJKLMNPQRSTVWXZ]+", part)]
+        vowels = [len(m[0]) for m in re.finditer("[aeiouy]+|[AEIOUY]+", part)]
+        lone = any(len(m[0]) == 1 and len(part) > 1 and (m.start() == 0 or part[m.start() - 1].isupper()) and (m.end() == len(part) or part[m.end()].isupper()) for m in re.finditer("[a-z]+", part))
+        digits = re.search("[0-9][A-Za-z]|[A-Za-z][0-9]{5}", part)
+        if len(part) > 3 and (max(runs, default=0) > 4 or max(vowels, default=0) > 3 or lone or digits or rare * 6 > len(part)):
+            total += len(part)
+    return total
+
+
 def brute(text):
     text = text or ""
     found = base(text)
@@ -31,11 +45,13 @@ def brute(text):
     fresh = []
     for run in re.finditer("[A-Za-z0-9+/_=-]{20,}", "".join(left)):
         value = run[0]
+        if odd(value) < 12:
+            continue
         for size, pattern in secrets.TAKEN_OUT.items():
             value = re.sub(pattern, " " * size, value)
         for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", value):
             kind = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", m[0]) else "alnum" if re.fullmatch("[A-Za-z0-9]+", m[0]) else "base64"
-            if not re.search(secrets.ALLOWED, m[0]) and entropy(m[0]) > secrets.THRESHOLDS[kind]:
+            if odd(m[0]) >= 12 and entropy(m[0]) > secrets.THRESHOLDS[kind]:
                 fresh.append((run.start() + m.start(), 3, run.start() + m.end()))
     every = sorted(found + fresh)
     said = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in found)
@@ -71,6 +87,24 @@ def test_spans_match_brute_force(spark):
     assert sum(r.s.count("entropy") for r in rows) >= 3
 
 
+def test_secrets_in_the_shape_of_paths_names_and_words(spark):
+    hidden = ["k7Qp9Zr2Lm/4Xv8Tn1Bc6/Yw3Hs5Jd0Fg/Ae2Ru", "sk-abcd1234efgh567-zx81kq02mv74pt5", "qzkxvbnmwrtplkjhgfdsapoiuytrewqmnb", "qZkXvBnMwRtPlKjHgFdSaPoIuYtReWqMnB"]
+    plain = [
+        "/usr/local/share/python3/site-packages/numpy",
+        "src/main/java/org/apache/spark/sql/DataFrame",
+        "a-long-title-of-a-post-about-spark-2024-id-a8f9d",
+        "internationalization_of_documents",
+        "AbstractSingletonProxyFactoryBean",
+        "getHttpServletRequestFactory",
+        "MAXIMUM_NUMBER_OF_RETRIES_ALLOWED",
+        "1234567890_1234567890_12",
+    ]
+    rows = secrets.scan(spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(hidden + plain)], "doc_id long, text string"))
+    got = {r.doc_id: r.s for r in rows.select("doc_id", secrets.rendered(secrets.F.col("spans")).alias("s")).collect()}
+    assert [got[i] for i in range(len(hidden))] == [f"entropy:4:{4 + len(t)}" for t in hidden]
+    assert [got[i] for i in range(len(hidden), len(got))] == [""] * len(plain)
+
+
 def test_clashing_columns_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "password=abcdefgh", "x", "y", 7, 8)], "doc_id long, text string, spans string, _hex string, hex long, n_hex long")
     assert secrets.scan(docs).columns.count("spans") == 1
