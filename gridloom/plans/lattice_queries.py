@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators import arrival, bricks, distance, multigrid, splines, stencil, topology, warp, watershed
+from gridloom.operators import arrival, bricks, distance, multigrid, nearest_field, splines, stencil, topology, warp, watershed
 from gridloom.plans.registry import query, r
 from gridloom.shared import scratch
 from gridloom.sources import nifti, ranges
@@ -284,3 +284,20 @@ def _travel_upwind(d, s, p, v):
 @query("travel_faces")
 def _travel_faces(d, s, p, v):
     return arrival.travel_time(timed(cubes(s, p)), CUBE, "faces", SIDE).select("t", "i", r("time").alias("time"))
+
+
+def matched(d: DataFrame) -> DataFrame:
+    """Each volume against all others (of 16^3 voxels, so that small tables hold several)."""
+    return nearest_field.nearest_field(d, d.withColumnRenamed("t", "s"), apart=True)
+
+
+@query("nearest_field")
+def _nearest_field(d, s, p, v):
+    return matched(cubes(s, p, 16)).select("t", "x", "y", "z", "rank", "s", "dx", "dy", "dz", r("distance").alias("distance"))
+
+
+@query("nearest_field_labels")
+def _nearest_field_labels(d, s, p, v):
+    d = cubes(s, p, 16)
+    labels = d.select(F.col("t").alias("s"), "x", "y", "z", (v > 0).cast("int").alias("label"))
+    return nearest_field.voted(matched(d), labels).select("t", "x", "y", "z", "label", r("share").alias("share"))
