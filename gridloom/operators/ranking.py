@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.operators.stats import ncc
-from gridloom.operators.tables import cut
+from gridloom.operators.tables import cut, release
 
 
 def top_ncc(images: DataFrame, target: DataFrame, k: int) -> DataFrame:
@@ -48,29 +48,29 @@ def uncertain(votes: DataFrame, share: float = 1.0) -> DataFrame:
     return counts.groupBy("i").agg(F.max("n").alias("n"), F.sum("n").alias("all")).where(F.col("n") < F.ceil(F.col("all") * share)).select("i")
 
 
-def staple(votes: DataFrame, labels: int, rounds: int = 15, tolerance: float = 1e-5, start: float = 0.99) -> tuple[DataFrame, dict]:
-    """Expectation maximisation of every rater's confusion matrix: (i, label, p) and {(rater, decided, true): chance}.
+def staple(votes: DataFrame, labels: int, rounds: int = 15, tolerance: float = 1e-5, start: float = 0.99) -> tuple[DataFrame, DataFrame]:
+    """Expectation maximisation of every rater's confusion matrix: (i, label, p) and (rater, label decided, s true, theta).
 
-    Matrices are raters x labels^2 numbers and live on the driver; the votes are never gathered. Labels run from 0;
-    one that no rater chose at a voxel gets 0 there.
+    Matrices are tables like the votes, since there may be as many raters as volumes; only their mean agreement reaches the
+    driver. Labels run from 0; one that no rater chose at a voxel gets 0 there.
     """
-    votes = cut(votes.select("i", "rater", "label"))
-    raters = [r[0] for r in votes.select("rater").distinct().orderBy("rater").collect()]
-    theta = {(r, d, s): start if d == s else (1 - start) / max(1, labels - 1) for r in raters for d in range(labels) for s in range(labels)}
-    trace = None
+    held = cut(votes.select("i", "rater", "label").where(F.col("label").between(0, labels - 1)))
+    every = F.sequence(F.lit(0), F.lit(labels - 1))
+    off = (1 - start) / max(1, labels - 1)
+    cells = cut(votes.select("rater").distinct()).withColumn("label", F.explode(every)).withColumn("s", F.explode(every))
+    theta = cells.withColumn("theta", F.when(F.col("label") == F.col("s"), F.lit(start)).otherwise(off))
+    w, trace, p = Window.partitionBy("i"), None, None
     for _ in range(rounds):
-        table = votes.sparkSession.createDataFrame([(r, d, s, p) for (r, d, s), p in theta.items()], "rater long, label int, s int, theta double")
-        share = votes.join(F.broadcast(table), ["rater", "label"]).groupBy("i", "s").agg(F.sum(F.ln("theta")).alias("l"), F.max((F.col("label") == F.col("s")).cast("int")).alias("voted"))
-        share = share.where("voted = 1")
-        w = Window.partitionBy("i")
-        p = share.withColumn("_e", F.exp(F.col("l") - F.max("l").over(w))).withColumn("p", F.col("_e") / F.sum("_e").over(w)).select("i", "s", "p")
-        sums = {(r.rater, r.label, r.s): r.w for r in votes.join(p, "i").groupBy("rater", "label", "s").agg(F.sum("p").alias("w")).collect()}
-        for r in raters:
-            for s in range(labels):
-                total = sum(sums.get((r, d, s), 0.0) + 1e-4 for d in range(labels))
-                for d in range(labels):
-                    theta[r, d, s] = (sums.get((r, d, s), 0.0) + 1e-4) / total
-        found = sum(theta[r, s, s] for r in raters for s in range(labels)) / max(1, len(raters) * labels)
+        share = held.join(theta.hint("merge"), ["rater", "label"]).groupBy("i", "s").agg(F.sum(F.ln("theta")).alias("l"), F.max((F.col("label") == F.col("s")).cast("int")).alias("voted"))
+        weight = share.where("voted = 1").withColumn("_e", F.exp(F.col("l") - F.max("l").over(w)))
+        before = (p, theta)
+        p = cut(weight.withColumn("p", F.col("_e") / F.sum("_e").over(w)).select("i", "s", "p"))
+        sums = held.join(p, "i").groupBy("rater", "label", "s").agg(F.sum("p").alias("w"))
+        full = cells.join(sums.hint("merge"), ["rater", "label", "s"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)) + 1e-4)
+        theta = cut(full.withColumn("theta", F.col("w") / F.sum("w").over(Window.partitionBy("rater", "s"))).drop("w"))
+        found = theta.where("label = s").agg(F.avg("theta")).first()[0] or 0.0
+        if before[0] is not None:
+            release(*before)
         if trace is not None and abs(found - trace) <= tolerance * abs(trace):
             break
         trace = found
