@@ -1,6 +1,7 @@
 """Operators whose order of work is the point of them: one volume a group, in numpy, volumes in parallel.
 
-A group is one volume (the unit that the tools work on), so its size is bound by the format, not by the data.
+A group is one volume (the unit that the tools work on), so its size is bound by the format, not by the data. Kernels that work on
+stacks of volumes get several small ones at once (per_stack), STACK voxels or one volume.
 """
 
 from __future__ import annotations
@@ -10,8 +11,10 @@ import heapq
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SCHEMA = "t long, i int, v double"
+STACK = 1 << 15
 
 
 def per_volume(voxels: DataFrame, shape: tuple[int, int, int], kernel) -> DataFrame:
@@ -27,9 +30,25 @@ def per_volume(voxels: DataFrame, shape: tuple[int, int, int], kernel) -> DataFr
     return voxels.select("t", "i", "v").groupBy("t").applyInPandas(run, SCHEMA)
 
 
+def per_stack(voxels: DataFrame, shape: tuple[int, int, int], kernel) -> DataFrame:
+    """kernel(array[t, z, y, x]) of volumes whose t differ in the last bits only; as per_volume() otherwise."""
+    nx, ny, nz = shape
+    each = nx * ny * nz
+    bits = max(0, (STACK // each).bit_length() - 1)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        t, at = np.unique(pdf.t, return_inverse=True)
+        box = np.full((len(t), each), np.nan)
+        box[at, pdf.i] = pdf.v
+        out = kernel(box.reshape(-1, nz, ny, nx))
+        return pd.DataFrame({"t": np.repeat(t, each), "i": np.tile(np.arange(each, dtype=np.int32), len(t)), "v": out.ravel().astype(float)})
+
+    return voxels.select("t", "i", "v", F.shiftright(F.col("t").cast("bigint"), bits).alias("_group")).groupBy("_group").applyInPandas(run, SCHEMA)
+
+
 def _box_sum(a: np.ndarray, reach: int) -> np.ndarray:
-    """Sum over a cube of the given reach, edges repeated, axis by axis."""
-    for axis in range(3):
+    """Sum over a cube of the given reach, edges repeated, along the last three axes."""
+    for axis in (-3, -2, -1):
         m = np.moveaxis(a, axis, 0)
         e = np.concatenate([m[:1]] * reach + [m] + [m[-1:]] * reach)
         a = np.moveaxis(sum(e[k : k + len(m)] for k in range(2 * reach + 1)), 0, axis)
@@ -37,17 +56,17 @@ def _box_sum(a: np.ndarray, reach: int) -> np.ndarray:
 
 
 def non_local_means(h: float, search: int = 3, patch: int = 1):
-    """Mean over a search box, weighted by the likeness of patches; the centre weighs as much as its best match."""
+    """Mean over a search box, weighted by the likeness of patches; the centre weighs as much as its best match. Takes stacks."""
     reach = range(-search, search + 1)
 
     def kernel(a: np.ndarray) -> np.ndarray:
         total, weight, best = np.zeros_like(a), np.zeros_like(a), np.zeros_like(a)
-        wide = np.pad(a, search, mode="edge")
+        wide = np.pad(a, [(0, 0)] * (a.ndim - 3) + [(search, search)] * 3, mode="edge")
         for dz in reach:
             for dy in reach:
                 for dx in reach:
                     if dz or dy or dx:
-                        other = wide[tuple(slice(search + d, search + d + n) for d, n in zip((dz, dy, dx), a.shape, strict=True))]
+                        other = wide[(..., *(slice(search + d, search + d + n) for d, n in zip((dz, dy, dx), a.shape[-3:], strict=True)))]
                         near = _box_sum((a - other) ** 2, patch) / (2 * patch + 1) ** 3
                         w = np.exp(-near / (h * h))
                         total += w * other
@@ -120,35 +139,50 @@ def fast_marching(speed: np.ndarray):
 
 
 def patch_fill(mask: np.ndarray, search: int = 3, patch: int = 1):
-    """Masked voxels filled, outermost first, with the value whose surroundings fit best inside the search box."""
+    """Masked voxels filled, outermost first, with the value whose surroundings fit best inside the search box. Takes stacks.
+
+    Which places are compared depends on the mask alone, so they are found once for all volumes of a stack.
+    """
+
+    def offsets(reach: int) -> np.ndarray:
+        return np.stack(np.meshgrid(*[np.arange(-reach, reach + 1)] * 3, indexing="ij"), -1).reshape(-1, 3)
 
     def kernel(a: np.ndarray) -> np.ndarray:
-        out, open_ = a.copy(), mask.copy()
-        box = [(z, y, x) for z in range(-patch, patch + 1) for y in range(-patch, patch + 1) for x in range(-patch, patch + 1)]
+        shape, out = mask.shape, a.reshape(-1, mask.size).copy()
+        open_ = mask.ravel().copy()
+
+        def places(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Which of the places are voxels that are not open, and their indices."""
+            inside = ((at >= 0) & (at < shape)).all(-1)
+            index = np.where(inside, at @ np.array([shape[1] * shape[2], shape[2], 1]), 0)
+            return inside & ~open_[index], index
+
         while open_.any():
-            ring = [tuple(p) for p in np.argwhere(open_) if any(all(0 <= c < n for c, n in zip(q, a.shape, strict=True)) and not open_[q] for q in (tuple(u + v for u, v in zip(p, d, strict=True)) for d in _FACES))]
-            if not ring:
+            left = np.argwhere(open_.reshape(shape))
+            ring = left[places(left[:, None] + np.array(_FACES))[0].any(1)]
+            if not len(ring):
                 break
-            found = {}
+            filled = []
             for p in ring:
-                best = (np.inf, 0.0)
-                for q in np.ndindex(*(2 * search + 1,) * 3):
-                    c = tuple(u + v - search for u, v in zip(p, q, strict=True))
-                    if not all(0 <= u < n for u, n in zip(c, a.shape, strict=True)) or open_[c]:
-                        continue
-                    gap, n = 0.0, 0
-                    for d in box:
-                        e, f = tuple(u + v for u, v in zip(p, d, strict=True)), tuple(u + v for u, v in zip(c, d, strict=True))
-                        if all(0 <= u < m for g in (e, f) for u, m in zip(g, a.shape, strict=True)) and not open_[e] and not open_[f]:
-                            gap += (out[e] - out[f]) ** 2
-                            n += 1
-                    if n and (gap / n, out[c]) < best:
-                        best = (gap / n, out[c])
-                found[p] = best[1]
-            for p, v in found.items():
-                out[p] = v
-                open_[p] = False
-        return out
+                good, centre = places(p + offsets(search))
+                spots, centre = (p + offsets(search))[good], centre[good]
+                there, mine = places(p + offsets(patch))
+                gap, n = np.zeros((len(out), len(spots))), np.zeros(len(spots), int)
+                for d, here, e in zip(offsets(patch), there, mine, strict=True):
+                    if here:
+                        both, f = places(spots + d)
+                        gap[:, both] += (out[:, e, None] - out[:, f[both]]) ** 2
+                        n += both
+                best, value = np.full(len(out), np.inf), np.zeros(len(out))
+                for k in np.flatnonzero(n):
+                    far, v = gap[:, k] / n[k], out[:, centre[k]]
+                    nearer = (far < best) | ((far == best) & (v < value))
+                    best, value = np.where(nearer, far, best), np.where(nearer, v, value)
+                filled.append(value)
+            at = places(ring)[1]
+            out[:, at] = np.stack(filled, 1)
+            open_[at] = False
+        return out.reshape(a.shape)
 
     return kernel
 

@@ -254,7 +254,7 @@ def _patch_fill(d, s, p, v):
 
     mask = np.zeros((4, 4, 4), bool)
     mask[1:3, 1:3, 1:3] = True
-    return kernels.per_volume(d, (4, 4, 4), kernels.patch_fill(mask)).select("t", "i", r(v).alias("v"))
+    return kernels.per_stack(d, (4, 4, 4), kernels.patch_fill(mask)).select("t", "i", r(v).alias("v"))
 
 
 query("patch_fill")(_patch_fill)
