@@ -235,7 +235,7 @@ query("resample_cubic", "WITH f AS (SELECT t, i, 0.9::DOUBLE * x + 0.1::DOUBLE *
 query("jacobian")(lambda d, s, p, v: registration.jacobian(registration.affine_field(d, _TURN)).select("t", "i", r("jacobian").alias("jacobian")))
 query("block_match")(lambda d, s, p, v: registration.block_match(d, d.withColumn("x", F.col("x") + 1), 2, 1).select("t", "bx", "by", "bz", "dx", "dy", "dz"))
 query("exponentiate")(lambda d, s, p, v: registration.exponentiate(d.withColumns({"ux": v * 0.1, "uy": F.lit(0.05), "uz": F.lit(0.0)}), 2).select("t", "i", *[r(f"p{a}").alias(f"p{a}") for a in "xyz"]))
-query("non_local_means")(lambda d, s, p, v: kernels.per_volume(d, (4, 4, 4), kernels.non_local_means(0.2)).select("t", "i", r(v).alias("v")))
+query("non_local_means")(lambda d, s, p, v: kernels.per_stack(d, (4, 4, 4), kernels.non_local_means(0.2)).select("t", "i", r(v).alias("v")))
 
 
 def _watershed(d, s, p, v):
