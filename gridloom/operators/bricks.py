@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIDE = 32
+#: The longest axis of a volume that is worked on whole, where steps are many and bricks would be sent again for each.
+WHOLE = 64
 BOX = ["nz", "ny", "nx", "z0", "y0", "x0", "dz", "dy", "dx"]
 BRICK = ["bz", "by", "bx"]
 
@@ -53,6 +55,18 @@ class Block:
         return Block(self.t, self.n, lo, {k: v[(slice(None), *at)] for k, v in whole.items()}, kind, odd=self.odd)
 
 
+def held_whole(most: int, side: int, whole: int | None = None) -> bool:
+    """Whether volumes of this longest axis go to one task each: by default up to two bricks an axis, so a task stays bounded."""
+    return most <= (min(2 * side, WHOLE) if whole is None else whole)
+
+
+def parted(block: Block, names: Iterable[str], side: int) -> Iterable[Block]:
+    """A whole volume's fields as its bricks."""
+    for lo in product(*(range(0, m, side) for m in block.n)):
+        at = tuple(slice(a, a + side) for a in lo)
+        yield Block(block.t, block.n, lo, {k: block.fields[k][(slice(None), *at)] for k in names}, odd=block.odd)
+
+
 def schema(fields: Iterable[str], t: str = "bigint") -> str:
     return f"t {t}, kind int, odd int, " + ", ".join(f"{c} int" for c in BOX) + "".join(f", {f} array<double>" for f in fields)
 
