@@ -8,7 +8,8 @@ A Gauss-Newton step solves (A + R) u = b by multigrid; a volume whose energy wou
 when a small one rises too, so no volume's energy ever rises on a level.
 
 Halos are as wide as the largest displacement, which is looked up before each step; a task holds one padded brick. Volumes are
-independent; all of them take every step together. Values at the border go on beyond it.
+independent; all of them take every step together. Values at the border go on beyond it. Volumes of at most two bricks an axis
+take all steps of a fit in one task, by the same functions on a block that is the whole volume: one shuffle, not some a step.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators import multigrid
-from gridloom.operators.bricks import SIDE, Block, bricks, exchange, voxels
+from gridloom.operators.bricks import SIDE, Block, bricks, exchange, held_whole, voxels
 from gridloom.operators.multigrid import SIX, Regulariser, regularised
 from gridloom.operators.tables import cut, release, tidy
 
@@ -95,15 +96,15 @@ def _scaled(column: str, by: float) -> Column:
     return F.transform(column, lambda x: x * by)
 
 
-def squared(pieces: DataFrame, side: int = SIDE) -> DataFrame:
-    """pieces (d) of d + d(x + d)."""
+def _squared(block: Block) -> Block:
+    d = block.fields["d"]
+    own = _at(d, block.core)
+    return block.cut(["d"]).replaced("d", own + Taps(block, own, block.core).pull(d))
 
-    def run(block: Block):
-        d = block.fields["d"]
-        own = _at(d, block.core)
-        yield block.cut(["d"]).replaced("d", own + Taps(block, own, block.core).pull(d))
 
-    return exchange(pieces, {"d": 3}, ["d"], run, reach(pieces, "d"), side)
+def squared(pieces: DataFrame, side: int = SIDE) -> DataFrame:
+    """pieces (d) of d + d(x + d)."""
+    return exchange(pieces, {"d": 3}, ["d"], lambda b: [_squared(b)], reach(pieces, "d"), side)
 
 
 def flow(velocity: DataFrame, squarings: int, side: int = SIDE) -> list[DataFrame]:
@@ -114,56 +115,56 @@ def flow(velocity: DataFrame, squarings: int, side: int = SIDE) -> list[DataFram
     return steps
 
 
+def _matched(block: Block, classes: int, slopes: bool) -> Block:
+    taps = Taps(block, _at(block.fields["d"], block.core), block.core)
+    g = _at(block.fields["g"], block.core)
+    f, slope = taps.pull(block.fields["f"], True)
+    total = 1 + (classes + 1) * LEAST
+    g, p = (np.maximum(np.concatenate([x, 1 - x.sum(0, keepdims=True)]) + LEAST, LEAST / 2) / total for x in (g, f))
+    made = block.cut(["d"])
+    made.fields = {"e": np.full((1, *made.shape), 0.0)}
+    made.fields["e"][0] = -(g * np.log(p)).sum(0)
+    if slopes:
+        slope = np.concatenate([slope, -slope.sum(1, keepdims=True)], 1) / total
+        made.fields["l"] = -(slope * (g / p)).sum(1)
+        made.fields["h"] = np.stack([(slope[i] * slope[j] / p).sum(0) for i, j in SIX])
+    return made
+
+
 def matched(images: DataFrame, d: DataFrame, classes: int, side: int = SIDE, slopes: bool = True) -> DataFrame:
     """The energy of f pulled through d against g: e (one value a brick), and with slopes l (derivatives) and h (A)."""
+    both = _keep(images, f="f", g="g", d=F.lit(None).cast("array<double>")).unionByName(_keep(d, f=F.lit(None).cast("array<double>"), g=F.lit(None).cast("array<double>"), d="d"))
+    return exchange(both, {"f": classes, "g": classes, "d": 3}, ["e", "l", "h"], lambda b: [_matched(b, classes, slopes)], reach(d, "d"), side)
 
-    def run(block: Block):
-        taps = Taps(block, _at(block.fields["d"], block.core), block.core)
-        g = _at(block.fields["g"], block.core)
-        f, slope = taps.pull(block.fields["f"], True)
-        total = 1 + (classes + 1) * LEAST
-        g, p = (np.maximum(np.concatenate([x, 1 - x.sum(0, keepdims=True)]) + LEAST, LEAST / 2) / total for x in (g, f))
-        made = block.cut(["d"])
-        made.fields = {"e": np.full((1, *made.shape), 0.0)}
-        made.fields["e"][0] = -(g * np.log(p)).sum(0)
-        if slopes:
-            slope = np.concatenate([slope, -slope.sum(1, keepdims=True)], 1) / total
-            made.fields["l"] = -(slope * (g / p)).sum(1)
-            made.fields["h"] = np.stack([(slope[i] * slope[j] / p).sum(0) for i, j in SIX])
-        yield made
 
-    both = _keep(images, f="f", g="g", d=F.lit(None).cast("array<double>")).unionByName(_keep(d, f=F.lit(None).cast("array<double>"), g=F.lit(None).cast("array<double>"), d="d"))
-    return exchange(both, {"f": classes, "g": classes, "d": 3}, ["e", "l", "h"], run, reach(d, "d"), side)
+def _unsquared(block: Block) -> dict[str, np.ndarray]:
+    own = _at(block.fields["d"], block.core)
+    taps = Taps(block, own, block.core)
+    l, h = (_at(block.fields[k], block.core) for k in "lh")
+    _, slope = taps.pull(block.fields["d"], True)
+    out = {"l": taps.push(l), "h": taps.push(h)}
+    _at(out["l"], block.core)[:] += l + np.stack([(slope[i] * l).sum(0) for i in range(3)])
+    _at(out["h"], block.core)[:] += h
+    return out
 
 
 def unsquared(found: DataFrame, d: DataFrame, side: int = SIDE) -> DataFrame:
     """l and h, derivatives by squared(d), as derivatives by d."""
     halo = reach(d, "d")
-
-    def run(block: Block):
-        own = _at(block.fields["d"], block.core)
-        taps = Taps(block, own, block.core)
-        l, h = (_at(block.fields[k], block.core) for k in "lh")
-        _, slope = taps.pull(block.fields["d"], True)
-        out = {"l": taps.push(l), "h": taps.push(h)}
-        _at(out["l"], block.core)[:] += l + np.stack([(slope[i] * l).sum(0) for i in range(3)])
-        _at(out["h"], block.core)[:] += h
-        yield block.cut(out, grow=halo)
-
     none = F.lit(None).cast("array<double>")
     both = _keep(found, l="l", h="h", d=none).unionByName(_keep(d, l=none, h=none, d="d"))
-    pushed = exchange(both, {"l": 3, "h": 6, "d": 3}, ["l", "h"], run, halo, side)
+    pushed = exchange(both, {"l": 3, "h": 6, "d": 3}, ["l", "h"], lambda b: [b.cut(_unsquared(b), grow=halo)], halo, side)
     return exchange(pushed, {"l": 3, "h": 6}, ["l", "h"], lambda b: [b.cut(["l", "h"])], 0, side, add=True)
 
 
-def stiffness(velocity: DataFrame, reg: Regulariser, side: int = SIDE) -> DataFrame:
-    """v with w = R v and e = v' R v / 2, voxel by voxel."""
+def _stiffness(v: np.ndarray, reg: Regulariser) -> dict[str, np.ndarray]:
+    w = regularised(v, reg)
+    return {"v": v, "w": w, "e": 0.5 * (w * v).sum(0, keepdims=True)}
 
-    def run(block: Block):
-        w = regularised(block.fields["v"], reg)
-        yield block.cut({"v": block.fields["v"], "w": w, "e": 0.5 * (w * block.fields["v"]).sum(0, keepdims=True)})
 
-    return exchange(velocity, {"v": 3}, ["v", "w", "e"], run, reg.reach, side)
+def stiffness(velocity: DataFrame, reg: Regulariser, side: int = SIDE) -> DataFrame:
+    """v with w = R v and e = v' R v / 2, voxel by voxel."""
+    return exchange(velocity, {"v": 3}, ["v", "w", "e"], lambda b: [b.cut(_stiffness(b.fields["v"], reg))], reg.reach, side)
 
 
 def _sums(pieces: DataFrame, to: str) -> DataFrame:
@@ -236,6 +237,54 @@ def fit(images: DataFrame, classes: int, schedule=SCHEDULE, steps: int = STEPS,
     return velocity
 
 
+class Whole:
+    """fit() and warped() of one volume in a task: f and g (classes, z, y, x); most is the longest axis of any volume."""
+
+    def __init__(self, f: np.ndarray, g: np.ndarray, most: int, side: int) -> None:
+        self.f, self.g, self.most, self.side = f, g, most, side
+
+    def block(self, **fields: np.ndarray) -> Block:
+        n = self.f.shape[1:]
+        return Block(0, n, (0, 0, 0), fields, core=tuple(slice(0, m) for m in n))
+
+    def flow(self, v: np.ndarray, squarings: int) -> list[np.ndarray]:
+        steps = [v * (1 / 2**squarings)]
+        for _ in range(squarings):
+            steps.append(_squared(self.block(d=steps[-1])).fields["d"])
+        return steps
+
+    def matched(self, d: np.ndarray, slopes: bool) -> dict[str, np.ndarray]:
+        return _matched(self.block(f=self.f, g=self.g, d=d), len(self.f), slopes).fields
+
+    def energy(self, v: np.ndarray, squarings: int, reg: Regulariser) -> float:
+        return self.matched(self.flow(v, squarings)[-1], False)["e"].sum() + _stiffness(v, reg)["e"].sum()
+
+    def gauss_newton(self, v: np.ndarray, squarings: int, reg: Regulariser, tries: int = 5) -> np.ndarray:
+        steps, own = self.flow(v, squarings), _stiffness(v, reg)
+        found = self.matched(steps[-1], True)
+        before = found["e"].sum() + own["e"].sum()
+        for d in reversed(steps[:-1]):
+            found = _unsquared(self.block(l=found["l"], h=found["h"], d=d))
+        share = 1 / 2**squarings
+        damped = Regulariser(reg.kind, reg.weight, reg.spread, reg.own + DAMP, reg.voxel)
+        u = multigrid.cycled(found["h"] * share, found["l"] * share + own["w"], np.zeros_like(v), damped, self.most, 2, self.side, CYCLES)
+        for k in range(tries):
+            tried = v - u / 2**k
+            if self.energy(tried, squarings, reg) <= before:
+                return tried
+        return v
+
+    def warped(self, schedule, steps: int, squarings: int = LAST) -> tuple[np.ndarray, np.ndarray]:
+        """f pulled through the flow, and its displacement."""
+        v = np.zeros((3, *self.f.shape[1:]))
+        for weight, spread, halvings in schedule:
+            for _ in range(steps):
+                v = self.gauss_newton(v, halvings, Regulariser("elastic", weight, spread, OWN))
+        d = self.flow(v, squarings)[-1]
+        block = self.block(d=d)
+        return Taps(block, d, block.core).pull(self.f), d
+
+
 @tidy
 def warped(images: DataFrame, velocity: DataFrame, classes: int, squarings: int = LAST, side: int = SIDE) -> DataFrame:
     """pieces (f, d): f pulled through the flow, and its displacement."""
@@ -251,18 +300,28 @@ def warped(images: DataFrame, velocity: DataFrame, classes: int, squarings: int
 
 
 @tidy
-def warp_priors(table: DataFrame, priors: list[str], observed: list[str], shape: tuple[int, int, int], schedule=SCHEDULE, steps: int = STEPS, side: int = SIDE) -> DataFrame:
+def warp_priors(table: DataFrame, priors: list[str], observed: list[str], shape: tuple[int, int, int], schedule=SCHEDULE, steps: int = STEPS, side: int = SIDE, whole: int | None = None) -> DataFrame:
     """Voxels (t, i, x, y, z) with the warped priors and the displacement dx, dy, dz.
 
     table (t, x, y, z, priors, observed): both are scaled to at most one half in each volume for the fit. A class is null
-    or absent where it is 0; a volume whose priors are all 0 is not moved.
+    or absent where it is 0; a volume whose priors are all 0 is not moved. whole: the longest axis of volumes that a task takes
+    whole (0: none); the result is the same.
     """
     classes = len(priors)
     top = lambda names: F.max(F.greatest(*[F.abs(c) for c in names], F.lit(0.0)))
     tops = table.groupBy("t").agg(top(priors).alias("_f"), top(observed).alias("_g"))
     half = lambda c, by: F.coalesce(F.try_divide(F.col(c), 2 * F.col(by)), F.lit(0.0))
     scaled = table.join(tops, "t").select("t", "x", "y", "z", "_f", *[half(c, "_f").alias(f"f{k}") for k, c in enumerate(priors)], *[half(c, "_g").alias(f"g{k}") for k, c in enumerate(observed)])
-    images = cut(bricks(scaled, {"f": [f"f{k}" for k in range(classes)], "g": [f"g{k}" for k in range(classes)]}, shape, side))
-    velocity = fit(images, classes, schedule, steps, side)
-    out = voxels(warped(images, velocity, classes, side=side), {"f": priors, "d": ["dx", "dy", "dz"]})
+    fields, most = {"f": [f"f{k}" for k in range(classes)], "g": [f"g{k}" for k in range(classes)]}, max(shape)
+    if held_whole(most, side, whole):
+
+        def run(block: Block):
+            f, d = Whole(block.fields["f"], block.fields["g"], most, side).warped(schedule, steps)
+            yield block.cut({"f": f, "d": d})
+
+        moved = exchange(bricks(scaled, fields, shape, side), {"f": classes, "g": classes}, ["f", "d"], run, 0, most)
+    else:
+        images = cut(bricks(scaled, fields, shape, side))
+        moved = warped(images, fit(images, classes, schedule, steps, side), classes, side=side)
+    out = voxels(moved, {"f": priors, "d": ["dx", "dy", "dz"]})
     return out.join(tops, "t").select("t", "i", "x", "y", "z", *[(F.col(c) * 2 * F.col("_f")).alias(c) for c in priors], "dx", "dy", "dz")

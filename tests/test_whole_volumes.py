@@ -2,8 +2,9 @@
 
 import numpy as np
 
-from gridloom.operators import multigrid
+from gridloom.operators import multigrid, warp
 from tests.test_multigrid import REGULARISERS, arrays_of, pieces_of, problem
+from tests.test_warp import blobs
 
 
 def plan(df):
@@ -17,3 +18,15 @@ def test_v_cycles_in_a_task_are_those_of_bricks(spark):
     assert plan(found).count("FlatMapGroupsInArrow") == 1
     got, want = (arrays_of(x, "u") for x in (found, multigrid.solve(table, REGULARISERS[1], 2, 2, 10, whole=0)))
     assert got.keys() == want.keys() and all(np.allclose(got[t], want[t], atol=1e-10) for t in want)
+
+
+def test_the_warp_in_a_task_is_that_of_bricks(spark):
+    shape = (10, 9, 11)
+    f, g = blobs(shape, [(4, 4, 5), (6, 5, 6)]), blobs(shape, [(5, 4, 5), (6, 6, 6)])
+    rows = [(t, x, y, z, *map(float, f[:, z, y, x]), *map(float, h[:, z, y, x])) for t, h in ((7, g), (9, f)) for z in range(10) for y in range(9) for x in range(11)]
+    table = spark.createDataFrame(rows, "t long, x int, y int, z int, gm double, wm double, pg double, pw double")
+    run = lambda **k: warp.warp_priors(table, ["gm", "wm"], ["pg", "pw"], (11, 9, 10), ((0.5, 0.25, 1),), 1, 8, **k)
+    found = run()
+    assert plan(found).count("FlatMapGroupsInArrow") == 2
+    got, want = (d.toPandas().sort_values(["t", "i"]) for d in (found, run(whole=0)))
+    assert np.allclose(got, want, atol=1e-9) and np.abs(got.dx).max() > 0.1
