@@ -23,6 +23,8 @@ HEADER = (
     "img string, nx int, ny int, nz int, nt int, nu int, dx double, dy double, dz double, dt double, datatype string, scl_slope double, scl_inter double, "
     "cal_min double, cal_max double, qform_code int, sform_code int, sto_xyz array<array<double>>, qto_xyz array<array<double>>, descrip string, intent_code int, units string"
 )
+#: Rows of a batch of voxels, of as many images as that holds.
+CHUNK = 1 << 16
 VOXELS = "img string, u int, t int, z int, y int, x int, i long, v double"
 
 
@@ -155,22 +157,42 @@ def voxels(spark: SparkSession, path: str, pattern: str = "*.nii*", times: list[
 def voxels_of(images: DataFrame, times: list[int] | None = None) -> DataFrame:
     """Voxel rows of images (path, content, image: null, or the voxels' bytes where content is a header only)."""
 
+    def batch_of(made: list[tuple]):
+        import pyarrow as pa
+
+        # (name, u, t, places z y x, values) of each plane of time
+        sizes = [len(m[4]) for m in made]
+        columns = [pa.array([m[0] for m in made], pa.string()).take(pa.array(np.repeat(np.arange(len(made)), sizes)))]
+        columns += [pa.array(np.repeat(np.array([m[k] for m in made], np.int32), sizes)) for k in (1, 2)]
+        columns += [pa.array(np.concatenate([m[3][k] for m in made])) for k in range(4)]
+        columns.append(pa.array(np.concatenate([m[4] for m in made])))
+        return pa.RecordBatch.from_arrays(columns, ["img", "u", "t", "z", "y", "x", "i", "v"])
+
     def run(batches):
-        for pdf in batches:
-            for name, content, image in zip(pdf.path, pdf.content, pdf.image, strict=True):
-                head, data = parse(name, bytes(content), None if image is None else bytes(image))
+        made, rows, shape, places = [], 0, None, None
+        for batch in batches:
+            for name, content, image in zip(*(batch.column(c).to_pylist() for c in ("path", "content", "image")), strict=True):
+                head, data = parse(name, content, image)
                 if data is None:
                     raise ValueError(f"{name}: the voxels stand in another file")
                 nu, nt, nz, ny, nx = data.shape
+                if shape != (nz, ny, nx):
+                    shape, i = (nz, ny, nx), np.arange(nz * ny * nx)
+                    places = [*(c.astype(np.int32) for c in (i // (nx * ny), i // nx % ny, i % nx)), i]
                 for u in range(nu):
                     for t in times if times is not None else range(nt):
                         v = data[u, t].astype(float).ravel()
                         if head["scl_slope"]:
                             v = v * head["scl_slope"] + head["scl_inter"]
-                        i = np.arange(v.size)
-                        yield pd.DataFrame({"img": name, "u": u, "t": t, "z": i // (nx * ny), "y": i // nx % ny, "x": i % nx, "i": i, "v": v})
+                        made.append((name, u, t, places, v))
+                        rows += v.size
+                        if rows >= CHUNK:
+                            yield batch_of(made)
+                            made, rows = [], 0
+        if made:
+            yield batch_of(made)
 
-    return images.select("path", "content", "image").mapInPandas(run, VOXELS)
+    return images.select("path", "content", "image").mapInArrow(run, VOXELS)
 
 
 def encode(table: DataFrame, nx: int, ny: int, nz: int, datatype: str = "float32", heads: DataFrame | None = None) -> DataFrame:
@@ -178,20 +200,47 @@ def encode(table: DataFrame, nx: int, ny: int, nz: int, datatype: str = "float32
     orientation and description of the images that it holds, values being stored as they are."""
     own, known = ["dx", "dy", "dz", "sto_xyz", "descrip"], heads is not None
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nt = int(pdf.t.max()) + 1
+    def built(parts: list[dict]) -> bytes:
+        t, i, v = (np.concatenate([p[c] for p in parts]) for c in ("t", "i", "v"))
+        nt = int(t.max()) + 1
         out = np.full(nt * nx * ny * nz, np.nan)
-        out[pdf.t.to_numpy() * nx * ny * nz + pdf.i.to_numpy()] = pdf.v
+        out[t * nx * ny * nz + i] = v
         head = {}
-        if known and pdf.descrip.iloc[0] is not None:
-            first = pdf.iloc[0]
-            head = {"spacing": (first.dx, first.dy, first.dz), "sform": [list(map(float, r)) for r in first.sto_xyz], "descrip": first.descrip}
-        return pd.DataFrame({"img": [pdf.img.iloc[0]], "content": [build(out.reshape(nt, nz, ny, nx), datatype, **head)]})
+        if known and parts[0]["head"]["descrip"] is not None:
+            first = parts[0]["head"]
+            head = {"spacing": (first["dx"], first["dy"], first["dz"]), "sform": [list(map(float, r)) for r in first["sto_xyz"]], "descrip": first["descrip"]}
+        return build(out.reshape(nt, nz, ny, nx), datatype, **head)
+
+    def run(batches):
+        import pyarrow as pa
+
+        # rows come sorted by img; the last image of a batch may go on in the next
+        held: list[dict] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = batch.column("img").dictionary_encode(null_encoding="encode").indices.to_numpy()
+            starts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist()]
+            column = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("t", "i", "v")}
+            column["t"] = column["t"].astype(np.int64)
+            names, contents = [], []
+            for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                part = {c: x[start:end] for c, x in column.items()} | {"img": batch.column("img")[start].as_py()}
+                part["head"] = {c: batch.column(c)[start].as_py() for c in own} if known else {}
+                if held and held[0]["img"] != part["img"]:
+                    names.append(held[0]["img"])
+                    contents.append(built(held))
+                    held = []
+                held.append(part)
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], ["img", "content"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([held[0]["img"]], pa.string()), pa.array([built(held)], pa.binary())], ["img", "content"])
 
     rows = table.select("img", "t", "i", "v")
     if heads is not None:
         rows = rows.join(heads.select("img", *own), "img", "left")
-    return rows.groupBy("img").applyInPandas(run, "img string, content binary")
+    return rows.repartition("img").sortWithinPartitions("img").mapInArrow(run, "img string, content binary")
 
 
 def ranged(heads: DataFrame, table: DataFrame) -> DataFrame:

@@ -90,3 +90,21 @@ def test_runs():
     assert ranges.runs(np.array([0, 1, 2, 5, 6, 9]), 0, 10) == [(0, 3), (5, 7), (9, 10)]
     assert ranges.runs(np.array([0, 1, 2, 5, 6, 19]), 2, 4) == [(0, 4), (4, 7), (19, 20)]
     assert ranges.runs(np.array([], int), 1, 1) == []
+
+
+def test_images_are_built_and_read_some_at_a_time(spark):
+    rows = [(f"n{n}", t, i, None if (n, i) == (3, 5) else float(100 * n + 10 * t + i)) for n in range(40) for t in range(1 + n % 3) for i in range(8) if (n, i) != (4, 2)]
+    table = spark.createDataFrame(rows, "img string, t int, i int, v double").repartition(5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 13)  # images go over the ends of batches
+    try:
+        files = nifti.encode(table, 2, 2, 2, "float64").selectExpr("img as path", "content", "cast(null as binary) as image")
+        found = nifti.voxels_of(files)
+        plans = found._jdf.queryExecution().executedPlan().toString()
+        got = {(r.img, r.t, r.i): r.v for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert "MapInArrow" in plans and "FlatMapGroups" not in plans
+    want = {r[:3]: r[3] for r in rows}
+    assert len(got) == sum(8 * (1 + n % 3) for n in range(40))
+    assert all(v == want[k] if want.get(k) is not None else np.isnan(v) for k, v in got.items())
