@@ -9,13 +9,19 @@ highest lip that its parts picked before they met a marker: no lip picked later
 Parts at least halve each round. Then the labels: water that rises above a voxel came over the lip that gives its level, and a
 voxel that is its own lip took it from the neighbour that was flooded first. These pointers form trees with a marker as root, which
 star contraction finds too. All state is in tables; steps are grouped minima and equi-joins.
+
+Where all volumes are small, each is flooded in one task by a queue in the same order, some volumes a group.
 """
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators.dense import AXES, Cells, by_volumes, stack_bits
 from gridloom.operators.graph import components
 from gridloom.shared import materialize, release, tidy
 
@@ -69,16 +75,48 @@ def levels(nodes: DataFrame) -> DataFrame:
     return nodes.join(held.select("node", F.when(~F.col("dry"), F.col("level")).alias("level")), "node")
 
 
+def _flooded(c: Cells) -> dict:
+    """Labels and levels of a group of whole volumes: the least voxel next to what is flooded comes next."""
+    import pyarrow as pa
+
+    # one order of heights over the group, in which volumes do not meet; NaN last
+    order = np.lexsort((c["i"], c["v"]))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    cells = c.box(rank, -1).tolist()
+    at = c.at[order].tolist()
+    marker = np.where(c.null("marker"), 0, c["marker"]).astype(np.int64)[order]
+    label, level = marker.tolist(), [-1] * len(order)
+    steps = [s * c.step(*d) for d in ((1, 0, 0), (0, 1, 0), (0, 0, 1)) for s in (1, -1)]
+    heap = [(k, k) for k in np.flatnonzero(marker).tolist()]
+    while heap:
+        high, k = heapq.heappop(heap)
+        level[k] = high
+        for step in steps:
+            near = cells[at[k] + step]
+            if near >= 0 and not label[near]:
+                label[near] = label[k]
+                heapq.heappush(heap, (max(high, near), near))
+    level = np.array(level)
+    found = {"label": np.array(label)[rank], "level": pa.array(c["v"][order][np.maximum(level, 0)][rank], mask=(level < 0)[rank])}
+    return {k: c.table.column(k) for k in ("t", "i", *AXES)} | found
+
+
 @tidy
-def watershed(voxels: DataFrame) -> DataFrame:
+def watershed(voxels: DataFrame, stacked: bool = True) -> DataFrame:
     """voxels (t, x, y, z, i, v, marker): (t, i, x, y, z, label, level): the marker (above 0) whose water reaches each voxel first,
     and the height at which it does.
 
     Markers keep their own label. A null or NaN height is flooded last; a null marker is none. Volumes (or parts of volumes, where
     voxels are missing) without markers have label 0 and no level. (t, x, y, z) and (t, i) are unique. Other columns are not read.
+    stacked: small volumes go to a task whole, some together; the result is the same.
     """
     v = F.coalesce(F.col("v").cast("double"), F.lit(float("nan")))
     named = voxels.select(*PLACE, "i", v.alias("v"), F.when(F.col("marker") > 0, F.col("marker").cast("bigint")).alias("marker"))
+    bits = stack_bits(named) if stacked else None
+    if bits is not None:
+        kind = {k: named.schema[k].dataType.simpleString() for k in (*PLACE, "i")}
+        return by_volumes(named, ["i", "v", "marker"], _flooded, ", ".join(f"{k} {kind[k]}" for k in ("t", "i", *AXES)) + ", label bigint, level double", bits)
     named = materialize(named.withColumn("node", F.monotonically_increasing_id()))
     nodes = named.withColumn("height", F.struct("v", "i", "node"))
     flooded = materialize(levels(nodes))

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from gridloom.operators import cluster, multigrid, splines, stencil, warp
+from gridloom.operators import cluster, multigrid, splines, stencil, warp, watershed
 from tests.test_multigrid import REGULARISERS, arrays_of, pieces_of, problem
 from tests.test_warp import blobs
 
@@ -103,3 +103,14 @@ def test_local_likeness_over_bricks_is_that_of_whole_volumes(spark):
         for p in np.ndindex(*shape):
             assert np.isclose(got[0][(t, *p)], want[p]) and np.isclose(got[1][(t, *p)], other[p])
     assert len(got[0]) == len(got[1]) == 3 * 120
+
+
+def test_a_flood_in_a_task_is_that_of_the_forest(spark):
+    rng = np.random.default_rng(10)
+    rows = [(t, i % 4, i // 4 % 3, i // 12, i, None if i == 9 else float(rng.integers(4)), 1 + i if i in (5, 30) and t != 1 else None) for t in (0, 1, 2, 70) for i in range(36) if (t, i // 4 % 3) != (2, 1)]
+    d = spark.createDataFrame(rows, "t int, x int, y int, z int, i int, v double, marker int")
+    found = watershed.watershed(d)
+    assert "Join" not in plan(found)
+    want = watershed.watershed(d, stacked=False)
+    assert found.dtypes == want.dtypes
+    same(found, want, ["t", "i"])
