@@ -124,7 +124,7 @@ def _nmi_node_gradient(d, s, p, v):
 def _ffd(d, s, p, v):
     target = stencil.box_mean(cubes(s, p).select("t", "x", "y", "z", "v"), 2)
     source = target.withColumn("x", F.col("x") - 1).where("x >= 0")
-    found = splines.optimise(target, source, splines.grid(target, CUBE, 8), CUBE, 8, "ssd", 1e-6, 1)
+    found = splines.optimise(target, source, splines.grid(target, CUBE, 8), CUBE, 8, "ssd", 1e-6)
     return found.select("t", "cx", "cy", "cz", *[r(u, 4).alias(u) for u in splines.MOVES])
 
 
