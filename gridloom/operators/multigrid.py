@@ -70,13 +70,20 @@ def regularised(u: np.ndarray, reg: Regulariser) -> np.ndarray:
         return reg.weight * _laplace(u, h) + reg.own * u
     if reg.kind == "bending":
         return reg.weight * _laplace(_laplace(u, h), h) + reg.own * u
-    slope = [[_forward(u[i], j, h[j]) for j in range(3)] for i in range(3)]
-    grown = reg.spread * (slope[0][0] + slope[1][1] + slope[2][2])
+    slope = np.zeros((3, *u.shape))  # of all components along an axis
+    ends = [tuple(tuple(e if k == 2 - j else slice(None) for k in range(3)) for e in (slice(None, -1), slice(1, None))) for j in range(3)]
+    for j, (upto, later) in enumerate(ends):
+        to = slope[(j, slice(None), *upto)]
+        np.subtract(u[(slice(None), *later)], u[(slice(None), *upto)], out=to)
+        to /= h[j]
+    grown = reg.spread * (slope[0, 0] + slope[1, 1] + slope[2, 2])
     out = reg.own * u
-    for i in range(3):
-        for j in range(3):
-            out[i] += _forward_adjoint(reg.weight * (slope[i][j] + slope[j][i]), j, h[j])
-        out[i] += _forward_adjoint(grown, i, h[i])
+    for j, (upto, later) in enumerate(ends):
+        flux = slope[(j, slice(None), *upto)] + slope[(slice(None), j, *upto)]
+        flux *= reg.weight / h[j]
+        flux[j] += grown[upto] / h[j]
+        out[(slice(None), *upto)] -= flux
+        out[(slice(None), *later)] += flux
     return out
 
 

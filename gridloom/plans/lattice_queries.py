@@ -143,7 +143,7 @@ def _warp_priors(d, s, p, v):
     smooth = stencil.box_mean(cubes(s, p).select("t", "x", "y", "z", "v"), 2)
     split = smooth.select("t", "x", "y", "z", F.greatest(F.col("v"), F.lit(0.0)).alias("gm"), F.greatest(-F.col("v"), F.lit(0.0)).alias("wm"))
     moved = split.select("t", (F.col("x") - 1).alias("x"), "y", "z", F.col("gm").alias("pg"), F.col("wm").alias("pw")).where("x >= 0")
-    found = warp.warp_priors(split.join(moved, ["t", "x", "y", "z"], "left"), ["gm", "wm"], ["pg", "pw"], CUBE, steps=1, side=SIDE)
+    found = warp.warp_priors(split.join(moved, ["t", "x", "y", "z"], "left"), ["gm", "wm"], ["pg", "pw"], CUBE, side=SIDE)
     return found.select("t", "i", *[r(c, 4).alias(c) for c in ("gm", "wm", "dx", "dy", "dz")])
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import splines, stencil
+from gridloom.operators import multigrid, splines, stencil, warp
 from gridloom.plans import registry
 from gridloom.sources.voxels import cubes
 from tests.test_splines import SHAPE, SPACING, control_of, random_control, smooth, volume_of
@@ -50,3 +50,35 @@ def test_ffd_optimised_brings_the_shifted_volume_back(spark):
     source = target.withColumn("x", F.col("x") - 1).where("x >= 0")
     cost = lambda c: splines.similarity(target, source, c, (32, 32, 32), 8).first()["cost"]
     assert cost(found) < 0.02 * cost(splines.grid(target, (32, 32, 32), 8))
+
+
+def test_warp_priors_takes_three_steps_a_level(spark):
+    got = registry.QUERIES["warp_priors"](spark, SF).toPandas().sort_values(["t", "i"])
+    smooth_ = stencil.box_mean(cubes(spark, SF).select("t", "x", "y", "z", "v"), 2).toPandas()
+    v = np.zeros((32, 32, 32))
+    v[smooth_.z, smooth_.y, smooth_.x] = smooth_.v
+    near = np.stack([np.maximum(v, 0), np.maximum(-v, 0)])
+    far = np.zeros_like(near)
+    far[..., :-1] = near[..., 1:]
+    halves = [a / (2 * a.max()) for a in (near, far)]
+    f, d = warp.Whole(*halves, 32, 16).warped(((4.0, 2.0, 0), (2.0, 1.0, 0), (1.0, 0.5, 1), (0.5, 0.25, 2)), 3)
+    want = np.concatenate([f * 2 * near.max(), d]).reshape(5, -1)
+    assert np.allclose(got[["gm", "wm", "dx", "dy", "dz"]].to_numpy().T, want, atol=2e-4)
+
+
+def test_the_elastic_regulariser_is_the_derivative_of_its_energy():
+    rng = np.random.default_rng(4)
+    h = (1.0, 2.0, 0.5)
+
+    def energy(u):
+        slope = np.zeros((3, 3, *u.shape[1:]))  # of a component along an axis
+        for j in range(3):
+            ahead = np.moveaxis(slope[:, j], 3 - j, 0)
+            ahead[:-1] = np.diff(np.moveaxis(u, 3 - j, 0), axis=0) / h[j]
+        strain = (slope + slope.swapaxes(0, 1)) / 2
+        return 0.7 * (strain**2).sum() + 0.15 * (slope[0, 0] + slope[1, 1] + slope[2, 2]).ravel().dot((slope[0, 0] + slope[1, 1] + slope[2, 2]).ravel()) + 0.005 * (u * u).sum()
+
+    for shape in ((5, 4, 6), (1, 3, 2)):
+        u, way = rng.normal(size=(2, 3, *shape))
+        got = (multigrid.regularised(u, multigrid.Regulariser("elastic", 0.7, 0.3, 0.01, h)) * way).sum()
+        assert got == pytest.approx((energy(u + way) - energy(u - way)) / 2)
